@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import WS_CLASS, parse_gt, parse_gt_lenient
+from quarry.operators import evaluate as ev
 from quarry.operators import rank
+from quarry.operators.lookup import title_source
 from quarry.sources import fixtures, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,4 +152,243 @@ def r6_check_answer(spark, sf_dir):
     return rank.answer_check_summary(rank.check_answer(answer, qs, v.articles))
 
 
+# ---------------------------------------------------------------- evaluation
+
+def sql_gt(src: str) -> str:
+    """DuckDB twin of parse_gt."""
+    return (f"list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(coalesce({src}, ''), "
+            f"'{WS_CLASS}+'), lambda x: x <> ''), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x IS NOT NULL))")
+
+
+def sql_tokens(src: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({src}, ''), '{WS_CLASS}+'), lambda x: x <> '')"
+
+
+def sql_eval(p: str, top: str, queries: str, articles: str, k: int = 10) -> str:
+    """DuckDB twin of ground_truth -> judge -> average_precision / article_stats, as CTEs named p_*."""
+    return f"""
+{p}_gt AS (SELECT query_id, {sql_gt('ground_truth')} AS gt FROM {queries}),
+{p}_j AS (SELECT t.query_id, t.rank, t.article_id, list_contains(g.gt, t.article_id)::INT AS rel
+          FROM {top} t JOIN {p}_gt g USING (query_id) WHERE t.rank <= {k}),
+{p}_s AS (SELECT query_id, sum(CASE WHEN rel = 1 THEN hits / rank ELSE 0.0 END) AS s FROM (
+          SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM {p}_j)
+          GROUP BY query_id),
+{p}_ap AS (SELECT g.query_id, CASE WHEN least(len(g.gt), {k}) > 0
+                                   THEN coalesce(s.s, 0.0) / least(len(g.gt), {k}) ELSE 0.0 END AS ap
+           FROM {p}_gt g LEFT JOIN {p}_s s USING (query_id)),
+{p}_stats AS (
+  SELECT a.article_id, coalesce(r.retrieved, 0)::BIGINT AS retrieved, coalesce(v.relevant, 0)::BIGINT AS relevant,
+         coalesce(r.hits, 0)::BIGINT AS hits
+  FROM {articles} a
+  LEFT JOIN (SELECT article_id, count(*) AS retrieved, sum(rel) AS hits FROM {p}_j GROUP BY article_id) r USING (article_id)
+  LEFT JOIN (SELECT article_id, count(*) AS relevant FROM (SELECT unnest(gt) AS article_id FROM {p}_gt)
+             GROUP BY article_id) v USING (article_id))
+"""
+
+
+SQL_R = """
+r_case AS (SELECT query_id, rank, article_id FROM v_top WHERE
+             ((query_id // 10) % 5 = 0 AND rank IN (1)) OR ((query_id // 10) % 5 = 1 AND rank IN (1, 4)) OR
+             ((query_id // 10) % 5 = 2 AND rank IN (10)) OR ((query_id // 10) % 5 = 3 AND rank IN (2, 3, 7))),
+r_g AS (SELECT query_id, string_agg(article_id::VARCHAR, ' ' ORDER BY rank) AS gt FROM r_case GROUP BY query_id),
+r_queries AS (
+  SELECT q.query_id, q.query_text,
+         CASE WHEN g.gt IS NOT NULL THEN g.gt WHEN (q.query_id // 50) % 2 = 0 THEN NULL ELSE '' END AS ground_truth
+  FROM v_queries q LEFT JOIN r_g g USING (query_id))
+"""
+
+WITH_V = f"WITH {SQL_V}, {sql_eval('ve', 'v_top', 'v_queries', 'v_articles')}"
+WITH_R = f"WITH {SQL_V}, {SQL_R}, {sql_eval('re', 'v_top', 'r_queries', 'v_articles')}"
+
+
+class Eval:
+    """One evaluated ranking: fixture, rankings, parsed ground truth, judged ranks, AP, article stats."""
+
+    def __init__(self, fx: fixtures.Fixture, rankings, k: int = 10):
+        self.fx, self.rankings, self.k = fx, rankings, k
+        self.gt = ev.ground_truth(fx.queries)
+        self.judged = ev.judge(rankings, self.gt, k)
+        self.ap = ev.average_precision(self.judged, self.gt, k)
+
+    @property
+    def stats(self):
+        return ev.article_stats(self.judged, self.gt, self.fx.articles)
+
+    @property
+    def titles(self):
+        return title_source(self.fx.article_vectors if self.fx.article_vectors is not None else self.fx.articles,
+                            self.fx.articles)
+
+
+def eval_v(spark, sf_dir) -> Eval:
+    v, r = v_rankings(spark, sf_dir)
+    return Eval(v, r)
+
+
+def eval_r(spark, sf_dir) -> Eval:
+    v, r = v_rankings(spark, sf_dir)
+    fx = fixtures.rank_fixture(spark, sf_dir, r)
+    return Eval(fx, r)
+
+
+def _ap_out(e: Eval):
+    return e.ap.select("query_id", _r6("ap").alias("ap"))
+
+
+@register("v1_ap_rank_cases", f"{WITH_R} SELECT query_id, round(ap, 6) AS ap FROM re_ap")
+def v1_ap_rank_cases(spark, sf_dir):
+    """AP on fixture R, whose answers are known: 1, 0.75, 0.1, 0.531746, 0."""
+    return _ap_out(eval_r(spark, sf_dir))
+
+
+@register("v1_ap_labels", f"{WITH_V} SELECT query_id, round(ap, 6) AS ap FROM ve_ap")
+def v1_ap_labels(spark, sf_dir):
+    return _ap_out(eval_v(spark, sf_dir))
+
+
+@register("v2_map_labels", f"{WITH_V} SELECT round(avg(ap), 6) AS map, count(*)::BIGINT AS n_queries FROM ve_ap")
+def v2_map_labels(spark, sf_dir):
+    m = ev.mean_average_precision(eval_v(spark, sf_dir).ap)
+    return m.select(_r6("map").alias("map"), "n_queries")
+
+
+@register("v2_map_rank_cases", f"{WITH_R} SELECT round(avg(ap), 6) AS map, count(*)::BIGINT AS n_queries FROM re_ap")
+def v2_map_rank_cases(spark, sf_dir):
+    m = ev.mean_average_precision(eval_r(spark, sf_dir).ap)
+    return m.select(_r6("map").alias("map"), "n_queries")
+
+
+@register("v4_article_stats", f"{WITH_V} SELECT article_id, retrieved, relevant, hits FROM ve_stats")
+def v4_article_stats(spark, sf_dir):
+    return eval_v(spark, sf_dir).stats
+
+
+@register("v4_article_stats_rank_cases", f"{WITH_R} SELECT article_id, retrieved, relevant, hits FROM re_stats")
+def v4_article_stats_rank_cases(spark, sf_dir):
+    return eval_r(spark, sf_dir).stats
+
+
+def _sql_report(p: str, queries: str, titles: str, order: str, n: int = 10) -> str:
+    """DuckDB twin of worst/best_queries + query_report."""
+    sel_order = order
+    list_order = "ap ASC, query_id ASC"
+    return f"""
+sel AS (SELECT query_id, ap, row_number() OVER (ORDER BY {list_order}) AS pos FROM (
+          SELECT query_id, ap FROM {p}_ap ORDER BY {sel_order} LIMIT {n})),
+exp_t AS (SELECT query_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (
+          SELECT s.query_id, {sql_tokens('q.ground_truth')} AS toks FROM sel s JOIN {queries} q USING (query_id))),
+exp AS (SELECT e.query_id, string_agg(e.tok || ' «' || coalesce(t.title, '?') || '»', ', ' ORDER BY e.i) AS expected
+        FROM exp_t e LEFT JOIN {titles} t ON t.article_id = TRY_CAST(e.tok AS BIGINT) GROUP BY e.query_id),
+got AS (SELECT r.query_id, string_agg(r.article_id || ' «' || coalesce(t.title, '?') || '»', ', ' ORDER BY r.rank) AS got
+        FROM v_top r JOIN sel USING (query_id) LEFT JOIN {titles} t ON t.article_id = r.article_id GROUP BY r.query_id)
+SELECT s.pos::BIGINT AS pos, s.query_id, round(s.ap, 6) AS ap, q.query_text, q.ground_truth,
+       coalesce(exp.expected, '') AS expected, coalesce(got.got, '') AS got
+FROM sel s JOIN {queries} q USING (query_id) LEFT JOIN exp USING (query_id) LEFT JOIN got USING (query_id)
+"""
+
+
+def _report_out(e: Eval, selected):
+    rep = ev.query_report(selected, e.fx.queries, e.rankings, e.titles)
+    return rep.select(F.col("pos").cast("bigint"), "query_id", _r6("ap").alias("ap"), "query_text", "ground_truth",
+                      "expected", "got")
+
+
+@register("v5_worst_queries", f"{WITH_V}, {_sql_report('ve', 'v_queries', 'v_articles', 'ap ASC, query_id ASC')}")
+def v5_worst_queries(spark, sf_dir):
+    e = eval_v(spark, sf_dir)
+    return _report_out(e, ev.worst_queries(e.ap))
+
+
+@register("v5_worst_queries_rank_cases", f"{WITH_R}, {_sql_report('re', 'r_queries', 'v_articles', 'ap ASC, query_id ASC')}")
+def v5_worst_queries_rank_cases(spark, sf_dir):
+    e = eval_r(spark, sf_dir)
+    return _report_out(e, ev.worst_queries(e.ap))
+
+
+@register("v6_best_queries", f"{WITH_R}, {_sql_report('re', 'r_queries', 'v_articles', 'ap DESC, query_id DESC')}")
+def v6_best_queries(spark, sf_dir):
+    e = eval_r(spark, sf_dir)
+    return _report_out(e, ev.best_queries(e.ap))
+
+
+@register("v6_best_queries_labels", f"{WITH_V}, {_sql_report('ve', 'v_queries', 'v_articles', 'ap DESC, query_id DESC')}")
+def v6_best_queries_labels(spark, sf_dir):
+    e = eval_v(spark, sf_dir)
+    return _report_out(e, ev.best_queries(e.ap))
+
+
+@register("v7_worst_by_fp", f"""{WITH_V}
+SELECT row_number() OVER (ORDER BY fp DESC, article_id)::BIGINT AS pos, s.article_id, coalesce(a.title, '?') AS title,
+       retrieved, relevant, hits, fp
+FROM (SELECT *, retrieved - hits AS fp FROM ve_stats WHERE retrieved - hits > 0 ORDER BY fp DESC, article_id LIMIT 10) s
+LEFT JOIN v_articles a USING (article_id)""")
+def v7_worst_by_fp(spark, sf_dir):
+    e = eval_v(spark, sf_dir)
+    out = ev.worst_by_fp(e.stats, e.titles)
+    return out.select("pos", "article_id", "title", "retrieved", "relevant", "hits", F.col("fp").cast("bigint"))
+
+
+@register("v8_worst_by_missed", f"""{WITH_V}
+SELECT row_number() OVER (ORDER BY missed DESC, article_id)::BIGINT AS pos, s.article_id, coalesce(a.title, '?') AS title,
+       retrieved, relevant, hits, missed, round(recall, 6) AS recall
+FROM (SELECT *, relevant - hits AS missed, CASE WHEN relevant > 0 THEN hits / relevant ELSE 0.0 END AS recall
+      FROM ve_stats WHERE relevant - hits > 0 ORDER BY missed DESC, article_id LIMIT 10) s
+LEFT JOIN v_articles a USING (article_id)""")
+def v8_worst_by_missed(spark, sf_dir):
+    e = eval_v(spark, sf_dir)
+    out = ev.worst_by_missed(e.stats, e.titles)
+    return out.select("pos", "article_id", "title", "retrieved", "relevant", "hits", F.col("missed").cast("bigint"),
+                      _r6("recall").alias("recall"))
+
+
+SQL_BUCKET = "floor(round(ap, 9) * 10) / 10"
+
+
+@register("v9_ap_distribution", f"{WITH_V} SELECT {SQL_BUCKET} AS bucket, count(*)::BIGINT AS n_queries FROM ve_ap GROUP BY 1")
+def v9_ap_distribution(spark, sf_dir):
+    return ev.ap_distribution(eval_v(spark, sf_dir).ap)
+
+
+@register("v9_ap_distribution_rank_cases", f"{WITH_R} SELECT {SQL_BUCKET} AS bucket, count(*)::BIGINT AS n_queries FROM re_ap GROUP BY 1")
+def v9_ap_distribution_rank_cases(spark, sf_dir):
+    return ev.ap_distribution(eval_r(spark, sf_dir).ap)
+
+
+def sql_compare(union_sql: str) -> str:
+    return f"""
+SELECT method, round(avg(ap), 6) AS map, count(*)::BIGINT AS n_queries,
+       count_if(ap = 0)::BIGINT AS n_zero, round(count_if(ap = 0) * 100.0 / count(*), 1) AS pct_zero,
+       count_if({SQL_BUCKET} = 0)::BIGINT AS n_bucket0, round(count_if({SQL_BUCKET} = 0) * 100.0 / count(*), 1) AS pct_bucket0
+FROM ({union_sql}) GROUP BY method"""
+
+
+@register("v11_compare_methods", f"""{WITH_V}, {SQL_R}, {sql_eval('re', 'v_top', 'r_queries', 'v_articles')}
+{sql_compare("SELECT 'labels' AS method, ap FROM ve_ap UNION ALL SELECT 'rank_cases' AS method, ap FROM re_ap")}""")
+def v11_compare_methods(spark, sf_dir):
+    apv = eval_v(spark, sf_dir).ap.withColumn("method", F.lit("labels"))
+    apr = eval_r(spark, sf_dir).ap.withColumn("method", F.lit("rank_cases"))
+    out = ev.compare_methods(apv.unionByName(apr))
+    return out.select("method", _r6("map").alias("map"), "n_queries", "n_zero", "pct_zero", "n_bucket0", "pct_bucket0")
+
+
+# ---------------------------------------------------------------- id parsing
+
+@register("p3_parse_gt", f"""{WITH_R}
+SELECT query_id, len(gt)::BIGINT AS n_ids, array_to_string(list_sort(gt), ' ') AS ids FROM re_gt""")
+def p3_parse_gt(spark, sf_dir):
+    q = eval_r(spark, sf_dir).fx.queries.select("query_id", parse_gt("ground_truth").alias("gt"))
+    return q.select("query_id", F.size("gt").cast("bigint").alias("n_ids"),
+                    F.array_join(F.array_sort("gt"), " ").alias("ids"))
+
+
+@register("p4_parse_gt_lenient", f"""{WITH_R}
+SELECT query_id, len(l)::BIGINT AS n_ids, array_to_string(l, ' ') AS ids FROM (
+  SELECT query_id, list_transform(list_filter({sql_tokens('ground_truth')}, lambda x: regexp_full_match(x, '[0-9]+')),
+                                  lambda x: x::BIGINT) AS l FROM r_queries)""")
+def p4_parse_gt_lenient(spark, sf_dir):
+    q = eval_r(spark, sf_dir).fx.queries.select("query_id", parse_gt_lenient("ground_truth").alias("gt"))
+    return q.select("query_id", F.size("gt").cast("bigint").alias("n_ids"), F.array_join("gt", " ").alias("ids"))
+
+
 FLAGSHIP = "r5_answer"

@@ -10,8 +10,10 @@ QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 # Fixed value: characters of the article body passed to the title generator.
 HEAD_SIZE = 1500
 
-# Python's str.strip() removes Unicode whitespace; Java's \s covers ASCII only, so list the rest.
-_WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]"
+# Python's str.split()/strip() whitespace, spelled out (Java's and RE2's \s differ from it and from each other).
+WS_CLASS = (r"[\t\n\x{000B}\f\r \x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+_WS = WS_CLASS
 
 
 def _col(c) -> Column:
@@ -34,21 +36,21 @@ def py_strip(col) -> Column:
     return F.regexp_replace(c, _WS + "+$", "")
 
 
-def _tokens(col) -> Column:
+def split_ws(col) -> Column:
     """Python ``str.split()``: split on runs of Unicode whitespace, no empty tokens."""
     return F.filter(F.split(_col(col), _WS + "+"), lambda t: t != "")
 
 
 def parse_gt(col) -> Column:
     """Strict ground-truth parse. Whitespace-separated ids -> distinct BIGINT array; null -> []."""
-    ids = F.transform(_tokens(col), lambda t: t.try_cast("bigint"))
+    ids = F.transform(split_ws(col), lambda t: t.try_cast("bigint"))
     ids = F.filter(ids, lambda x: x.isNotNull())
     return F.coalesce(F.array_distinct(ids), F.array().cast("array<bigint>"))
 
 
 def parse_gt_lenient(col) -> Column:
     """Lenient parse. Keep digit-only tokens, keep repeats, in order; null -> []."""
-    ids = F.transform(F.filter(_tokens(col), lambda t: t.rlike("^[0-9]+$")), lambda t: t.cast("bigint"))
+    ids = F.transform(F.filter(split_ws(col), lambda t: t.rlike("^[0-9]+$")), lambda t: t.cast("bigint"))
     return F.coalesce(ids, F.array().cast("array<bigint>"))
 
 
