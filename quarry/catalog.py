@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS, parse_gt, parse_gt_lenient
+from quarry.functions.text import QUERY_INSTRUCTION, char_length, text_head, with_prefix
+from quarry.functions.vectors import TOKEN_PATTERN, l2_normalize
+from quarry.operators import analyze as an
 from quarry.operators import evaluate as ev
+from quarry.operators.infer import hashing_encode
 from quarry.operators import rank
 from quarry.operators.lookup import title_source
 from quarry.sources import fixtures, tables
@@ -391,4 +395,201 @@ def p4_parse_gt_lenient(spark, sf_dir):
     return q.select("query_id", F.size("gt").cast("bigint").alias("n_ids"), F.array_join("gt", " ").alias("ids"))
 
 
+# ---------------------------------------------------------------- text fixture T (hashing encoder)
+
+HASH_DIM = 64
+
+SQL_T = """
+t_docs AS (SELECT doc_id AS article_id, source || ' #' || doc_id AS title, text AS body FROM documents),
+t_pairs AS (SELECT b.item_id AS query_id, d.doc_id AS article_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+t_queries AS (
+  SELECT b.item_id AS query_id, b.text AS query_text, coalesce(g.gt, '') AS ground_truth FROM benchmark b LEFT JOIN (
+    SELECT query_id, string_agg(article_id::VARCHAR, ' ' ORDER BY article_id) AS gt FROM t_pairs GROUP BY query_id) g
+  ON g.query_id = b.item_id)
+"""
+
+
+def sql_hash(name: str, table: str, id_col: str, text_expr: str, dim: int = HASH_DIM) -> str:
+    """DuckDB twin of hashing_vector (E1b + E2): CTE ``name``(id, e)."""
+    return f"""
+{name}_b AS (SELECT {id_col} AS id, list_transform(regexp_extract_all(lower(coalesce({text_expr}, '')), '{TOKEN_PATTERN}'),
+               lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim}) AS b FROM {table}),
+{name}_c AS (SELECT id, list_transform(range({dim}), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS c FROM {name}_b),
+{name} AS (SELECT id, list_transform(c, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END) AS e FROM (
+             SELECT id, c, sqrt(list_sum(list_transform(c, lambda y: y * y))) AS n FROM {name}_c))
+"""
+
+
+def sql_topk(name: str, qv: str, av: str, k: int = 10) -> str:
+    return f"""
+{name} AS (SELECT query_id, rank, article_id, score FROM (
+  SELECT q.id AS query_id, a.id AS article_id, list_dot_product(q.e, a.e) AS score,
+         row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.e, a.e), 9) DESC, a.id) AS rank
+  FROM {qv} q, {av} a) WHERE rank <= {k})
+"""
+
+
+def sql_lenient(src: str) -> str:
+    return f"list_transform(list_filter({sql_tokens(src)}, lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::BIGINT)"
+
+
+SQL_T_METHODS = (SQL_T + ", " + sql_hash("t_qv", "t_queries", "query_id", f"'{QUERY_INSTRUCTION}' || query_text")
+                 + ", " + sql_hash("t_bv", "t_docs", "article_id", f"'{QUERY_INSTRUCTION}' || body")
+                 + ", " + sql_hash("t_hv", "t_docs", "article_id", "substr(body, 1, 1500)")
+                 + ", " + sql_topk("t_top_body", "t_qv", "t_bv") + ", " + sql_topk("t_top_head", "t_qv", "t_hv")
+                 + ", " + sql_eval("tb", "t_top_body", "t_queries", "t_docs")
+                 + ", " + sql_eval("th", "t_top_head", "t_queries", "t_docs")
+                 + ", aps AS (SELECT 'hash_body' AS method, query_id, ap FROM tb_ap UNION ALL "
+                   "SELECT 'hash_head' AS method, query_id, ap FROM th_ap)")
+WITH_T = f"WITH {SQL_T_METHODS}"
+
+
+def text_methods(spark, sf_dir, dim: int = HASH_DIM):
+    """Fixture T ranked two ways: prefixed query vs prefixed body, and vs the body head."""
+    fx = fixtures.text_fixture(spark, sf_dir)
+    qv = hashing_encode(fx.queries.select("query_id", with_prefix("query_text").alias("t")), "t", dim)
+    body = hashing_encode(fx.articles.select("article_id", with_prefix("body").alias("t")), "t", dim)
+    head = hashing_encode(fx.articles.select("article_id", text_head("body").alias("t")), "t", dim)
+    qv = qv.select("query_id", "embedding")
+    runs = {"hash_body": rank.block_top_k(body.select("article_id", "embedding"), qv, 10),
+            "hash_head": rank.block_top_k(head.select("article_id", "embedding"), qv, 10)}
+    return fx, runs
+
+
+def text_ap(spark, sf_dir):
+    fx, runs = text_methods(spark, sf_dir)
+    aps = None
+    for method, r in runs.items():
+        ap = Eval(fx, r).ap.withColumn("method", F.lit(method))
+        aps = ap if aps is None else aps.unionByName(ap)
+    return fx, aps
+
+
+@register("p1_with_prefix", f"SELECT item_id AS query_id, '{QUERY_INSTRUCTION}' || text AS text FROM benchmark")
+def p1_with_prefix(spark, sf_dir):
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return b.select(F.col("item_id").alias("query_id"), with_prefix("text").alias("text"))
+
+
+@register("p2_text_head", "SELECT doc_id AS article_id, substr(text, 1, 1500) AS head FROM documents")
+def p2_text_head(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.col("doc_id").alias("article_id"), text_head("text").alias("head"))
+
+
+@register("p5_text_length", "SELECT doc_id AS article_id, coalesce(length(text), 0)::BIGINT AS n_chars FROM documents")
+def p5_text_length(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.col("doc_id").alias("article_id"), char_length("text").alias("n_chars"))
+
+
+@register("e1b_hashing_encode", f"""WITH {sql_hash('hv', 'documents', 'doc_id', 'text')}
+SELECT id AS article_id, (i - 1)::BIGINT AS bucket, round(w, 6) AS weight FROM (
+  SELECT id, unnest(e) AS w, generate_subscripts(e, 1) AS i FROM hv) WHERE w <> 0""")
+def e1b_hashing_encode(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    v = hashing_encode(d.select(F.col("doc_id").alias("article_id"), "text"), "text", HASH_DIM)
+    # posexplode_outer: a plain explode makes Catalyst infer size(embedding) > 0 below it, inlining the encoder.
+    return (v.select("article_id", F.posexplode_outer("embedding").alias("bucket", "w")).where(F.col("w") != 0)
+            .select("article_id", F.col("bucket").cast("bigint"), _r6("w").alias("weight")))
+
+
+@register("e2_l2_normalize", """
+SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(v[1], 6) AS first FROM (
+  SELECT vec_id, list_transform(s, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END) AS v FROM (
+    SELECT vec_id, s, sqrt(list_sum(list_transform(s, lambda x: x * x))) AS n FROM (
+      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * label) AS s FROM embeddings)))""")
+def e2_l2_normalize(spark, sf_dir):
+    """Vectors scaled by their label (label 0 gives the zero vector, which must stay zero), normalised."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("label"))
+    v = e.select("vec_id", l2_normalize(scaled).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    return v.select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"))
+
+
+@register("t1_fixture_ground_truth", f"WITH {SQL_T} SELECT query_id, query_text, ground_truth FROM t_queries")
+def t1_fixture_ground_truth(spark, sf_dir):
+    """Fixture T's ground truth: documents containing each benchmark passage (Aho-Corasick scan)."""
+    return fixtures.text_fixture(spark, sf_dir).queries
+
+
+@register("v1_ap_text", f"{WITH_T} SELECT method, query_id, round(ap, 6) AS ap FROM aps")
+def v1_ap_text(spark, sf_dir):
+    _, aps = text_ap(spark, sf_dir)
+    return aps.select("method", "query_id", _r6("ap").alias("ap"))
+
+
+@register("r2_top_k_text", f"{WITH_T} SELECT query_id, rank::BIGINT AS rank, article_id, round(score, 6) AS score FROM t_top_body")
+def r2_top_k_text(spark, sf_dir):
+    _, runs = text_methods(spark, sf_dir)
+    r = runs["hash_body"]
+    return r.select("query_id", F.col("rank").cast("bigint"), "article_id", _r6("score").alias("score"))
+
+
+@register("v11_compare_methods_text", f"{WITH_T} {sql_compare('SELECT method, ap FROM aps')}")
+def v11_compare_methods_text(spark, sf_dir):
+    _, aps = text_ap(spark, sf_dir)
+    out = ev.compare_methods(aps)
+    return out.select("method", _r6("map").alias("map"), "n_queries", "n_zero", "pct_zero", "n_bucket0", "pct_bucket0")
+
+
+SQL_ZERO = f"""
+zids AS (SELECT z.method, z.query_id, unnest({sql_lenient('q.ground_truth')}) AS article_id
+         FROM (SELECT * FROM aps WHERE ap = 0) z LEFT JOIN t_queries q USING (query_id)),
+zlen AS (SELECT zids.method, coalesce(length(d.body), 0)::BIGINT AS body_len FROM zids LEFT JOIN t_docs d USING (article_id))
+"""
+
+
+@register("a1_zero_split", f"""{WITH_T}
+SELECT method, count(*)::BIGINT AS n_queries, count_if(ap = 0)::BIGINT AS n_zero,
+       round(count_if(ap = 0) * 100.0 / count(*), 1) AS pct_zero, count_if(ap > 0)::BIGINT AS n_nonzero
+FROM aps GROUP BY method""")
+def a1_zero_split(spark, sf_dir):
+    _, aps = text_ap(spark, sf_dir)
+    return an.zero_split(aps)
+
+
+@register("a2_gt_length_stats", f"""{WITH_T}, {SQL_ZERO}
+SELECT method, count(*)::BIGINT AS n, round(avg(body_len), 6) AS mean_len, round(median(body_len)::DOUBLE, 6) AS median_len,
+       min(body_len)::BIGINT AS min_len, max(body_len)::BIGINT AS max_len FROM zlen GROUP BY method""")
+def a2_gt_length_stats(spark, sf_dir):
+    fx, aps = text_ap(spark, sf_dir)
+    st = an.gt_length_stats(an.zero_gt_lengths(aps, fx.queries, fx.articles))
+    return st.select("method", "n", _r6("mean_len").alias("mean_len"), _r6("median_len").alias("median_len"),
+                     "min_len", "max_len")
+
+
+@register("a3_gt_length_histogram", f"""{WITH_T}, {SQL_ZERO}
+SELECT method, lo::BIGINT AS lo, hi::BIGINT AS hi, count(*)::BIGINT AS n FROM (
+  SELECT method, CASE WHEN body_len >= 50000 THEN 50000 WHEN body_len >= 20000 THEN 20000 WHEN body_len >= 10000 THEN 10000
+                      WHEN body_len >= 5000 THEN 5000 WHEN body_len >= 2000 THEN 2000 WHEN body_len >= 1000 THEN 1000
+                      WHEN body_len >= 500 THEN 500 ELSE 0 END AS lo,
+         CASE WHEN body_len >= 50000 THEN NULL WHEN body_len >= 20000 THEN 50000 WHEN body_len >= 10000 THEN 20000
+              WHEN body_len >= 5000 THEN 10000 WHEN body_len >= 2000 THEN 5000 WHEN body_len >= 1000 THEN 2000
+              WHEN body_len >= 500 THEN 1000 ELSE 500 END AS hi FROM zlen)
+GROUP BY method, lo, hi""")
+def a3_gt_length_histogram(spark, sf_dir):
+    fx, aps = text_ap(spark, sf_dir)
+    return an.gt_length_histogram(an.zero_gt_lengths(aps, fx.queries, fx.articles))
+
+
+@register("a4_zero_examples", f"""{WITH_T},
+first_z AS (SELECT method, query_id FROM (
+  SELECT method, query_id, row_number() OVER (PARTITION BY method ORDER BY query_id) AS rn FROM aps WHERE ap = 0) WHERE rn <= 15),
+ex AS (SELECT f.method, f.query_id, coalesce(q.query_text, '?') AS query_text, coalesce(q.ground_truth, '') AS ground_truth,
+              {sql_lenient('q.ground_truth')} AS ids FROM first_z f LEFT JOIN t_queries q USING (query_id)),
+exu AS (SELECT method, query_id, query_text, ground_truth, unnest(ids) AS article_id, generate_subscripts(ids, 1) - 1 AS pos
+        FROM ex WHERE len(ids) > 0
+        UNION ALL SELECT method, query_id, query_text, ground_truth, NULL AS article_id, NULL AS pos FROM ex WHERE len(ids) = 0)
+SELECT method, query_id, query_text, ground_truth, pos::BIGINT AS pos, article_id,
+       CASE WHEN article_id IS NULL THEN NULL ELSE coalesce(d.title, '?') END AS title,
+       CASE WHEN article_id IS NULL THEN NULL ELSE coalesce(d.body, '') END AS body,
+       CASE WHEN article_id IS NULL THEN NULL ELSE coalesce(length(d.body), 0) END::BIGINT AS body_len
+FROM exu LEFT JOIN t_docs d USING (article_id)""")
+def a4_zero_examples(spark, sf_dir):
+    fx, aps = text_ap(spark, sf_dir)
+    return an.zero_examples(aps, fx.queries, fx.articles)
+
+
 FLAGSHIP = "r5_answer"

@@ -24,10 +24,16 @@ def dot(a, b) -> Column:
 
 
 def l2_normalize(col) -> Column:
-    """V / ||v||; a zero vector stays zero. Result is ARRAY<DOUBLE>."""
+    """V / ||v||; a zero vector stays zero. Result is ARRAY<DOUBLE>.
+
+    The norm is the accumulator handed to the finish function, so it is computed once per row (a norm
+    expression inside the element lambda would be re-evaluated for every element). Pass a column
+    reference: an expression given here is evaluated twice.
+    """
     v = _col(col)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    return F.aggregate(
+        v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda acc: F.transform(v, lambda x: F.when(acc > 0, x.cast("double") / F.sqrt(acc)).otherwise(F.lit(0.0))))
 
 
 def token_buckets(text, dim: int) -> Column:
@@ -36,13 +42,12 @@ def token_buckets(text, dim: int) -> Column:
     return F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim))
 
 
-def hashing_vector(text, dim: int = 64) -> Column:
-    """Hashed bag of words, L2-normalised, as ARRAY<DOUBLE> of length dim.
+def bucket_counts(buckets, dim: int) -> Column:
+    """Dense count vector (ARRAY<DOUBLE>, length dim) of a bucket array column.
 
-    Counting uses array_remove (a native scan) per bucket, so the per-row cost is dim native passes
-    over the token array and only dim lambda calls.
+    One native array_remove scan per bucket; ``buckets`` must be a column reference, since the lambda
+    evaluates it once per bucket.
     """
-    buckets = token_buckets(text, dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda i: (F.size(buckets) - F.size(F.array_remove(buckets, i.cast("bigint")))).cast("double"))
-    return l2_normalize(F.when(_col(text).isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(counts))
+    b = _col(buckets)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                       lambda i: (F.size(b) - F.size(F.array_remove(b, i.cast("bigint")))).cast("double"))

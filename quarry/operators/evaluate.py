@@ -61,7 +61,8 @@ def article_stats(judged: DataFrame, gt: DataFrame, articles: DataFrame) -> Data
     costs one row per task before the shuffle. Ground-truth ids outside the corpus are dropped here (D6).
     """
     ret = judged.groupBy("article_id").agg(F.count(F.lit(1)).alias("retrieved"), F.sum("rel").alias("hits"))
-    relv = gt.select(F.explode("gt").alias("article_id")).groupBy("article_id").agg(F.count(F.lit(1)).alias("relevant"))
+    relv = (gt.select(F.explode_outer("gt").alias("article_id")).where(F.col("article_id").isNotNull())
+            .groupBy("article_id")).agg(F.count(F.lit(1)).alias("relevant"))
     a = articles.select(F.col("article_id").cast("bigint"))
     return (a.join(ret, "article_id", "left").join(relv, "article_id", "left")
             .select("article_id",
