@@ -592,4 +592,77 @@ def a4_zero_examples(spark, sf_dir):
     return an.zero_examples(aps, fx.queries, fx.articles)
 
 
+# ---------------------------------------------------------------- HTML cleanup and text conversion
+
+from quarry import oracle_html as OH  # noqa: E402
+from quarry.operators import html as H  # noqa: E402
+from quarry.operators import markdown as MD  # noqa: E402
+from quarry.plans.prepare import cleanup_stats, prepare_articles  # noqa: E402
+
+STEP_IDS = {"images": "h1", "breaks": "h2", "inputs": "h3", "empty_labels": "h4", "links": "h5",
+            "headline_chunk": "h6", "empty_tags": "h7", "factoids": "h8", "spoilers": "h9", "tabsets": "h10",
+            "nested_tables": "h11", "empty_tables": "h12", "body": "h13"}
+
+
+def _html_articles(spark, sf_dir):
+    return fixtures.html_fixture(spark, sf_dir).articles
+
+
+def _register_step(step: str):
+    ctes, out = OH.clean_html_sql("h_src", "article_id", "body", "hs", [step])
+
+    def run(spark, sf_dir):
+        return H.clean_html(_html_articles(spark, sf_dir), "body", "article_id", [step]).select("article_id", "body")
+    run.__doc__ = f"{STEP_IDS[step].upper()}: only the '{step}' step (plus comment/script/style removal) on fixture H."
+    register(f"{STEP_IDS[step]}_{step}", f"WITH {OH.fixture_sql()}, {ctes} SELECT article_id, body FROM {out}")(run)
+
+
+for _step in H.STEPS:
+    _register_step(_step)
+
+_ALL_CTES, _ALL_OUT = OH.clean_html_sql("h_src", "article_id", "body", "hc")
+SQL_CLEAN = f"{OH.fixture_sql()}, {_ALL_CTES}"
+
+
+@register("h14_clean_html", f"WITH {SQL_CLEAN} SELECT article_id, body FROM {_ALL_OUT}")
+def h14_clean_html(spark, sf_dir):
+    return H.clean_html(_html_articles(spark, sf_dir)).select("article_id", "body")
+
+
+@register("t1_html_to_text", f"WITH {OH.fixture_sql()} SELECT article_id, {OH.html_to_text_sql('body')} AS body FROM h_src")
+def t1_html_to_text(spark, sf_dir):
+    """T1+T3 on raw fixture-H HTML (stage 2 alone)."""
+    return MD.convert_dataframe(_html_articles(spark, sf_dir), "body", "body").select("article_id", "body")
+
+
+@register("t2_collapse_whitespace", f"SELECT doc_id AS article_id, {OH.collapse_sql('text')} AS text FROM documents")
+def t2_collapse_whitespace(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.col("doc_id").alias("article_id"), MD.collapse_whitespace("text").alias("text"))
+
+
+@register("t3_convert_columns", f"""WITH {OH.fixture_sql()}
+SELECT article_id, title, body, {OH.html_to_text_sql('body')} AS body_text FROM h_src""")
+def t3_convert_columns(spark, sf_dir):
+    """T3 with a separate output column: the HTML stays, the text lands in body_text."""
+    return MD.convert_dataframe(_html_articles(spark, sf_dir), "body", "body_text")
+
+
+@register("t4_prepare_articles", f"""WITH {SQL_CLEAN}
+SELECT o.article_id, s.title, {OH.html_to_text_sql('o.body')} AS body FROM {_ALL_OUT} o JOIN h_src s USING (article_id)""")
+def t4_prepare_articles(spark, sf_dir):
+    return prepare_articles(_html_articles(spark, sf_dir)).select("article_id", "title", "body")
+
+
+@register("t5_cleanup_stats", f"""WITH {SQL_CLEAN},
+st AS (SELECT s.article_id, length(s.body) AS l0, length(o.body) AS l1, length({OH.html_to_text_sql('o.body')}) AS l2
+       FROM h_src s JOIN {_ALL_OUT} o USING (article_id))
+SELECT count(*)::BIGINT AS n_articles, round(avg(l0), 6) AS mean_raw, round(avg(l1), 6) AS mean_stage1,
+       round(avg(l2), 6) AS mean_stage2 FROM st""")
+def t5_cleanup_stats(spark, sf_dir):
+    st = cleanup_stats(_html_articles(spark, sf_dir))
+    return st.select("n_articles", _r6("mean_raw").alias("mean_raw"), _r6("mean_stage1").alias("mean_stage1"),
+                     _r6("mean_stage2").alias("mean_stage2"))
+
+
 FLAGSHIP = "r5_answer"

@@ -165,3 +165,53 @@ def noisy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("query_id"),
         F.col("text").alias("query_text"))
+
+
+# Synthetic wrappers of fixture H, chosen by doc_id % 8 (TEXT = the document, '&' escaped;
+# LANG = its language code). They supply the structures the crawled pages lack.
+HTML_WRAPPERS = [
+    '<div class="spoiler"><label></label><div class="spoiler-text"> LANG </div><div class="spoiler-content"><p>TEXT</p></div></div>',
+    '<div class="spoiler"><div class="spoiler-text">LANG</div></div>',
+    '<div class="spoiler"><div class="spoiler-text">LANG</div><div class="spoiler-content"></div></div>',
+    '<div class="spoiler"><label>x</label><div class="spoiler-content"><p>TEXT</p></div></div>',
+    '<div class="x tabset"><input><label class="tab-label">A</label><label class="tab-label">B</label>'
+    '<div class="tab-panel"><p>TEXT</p></div><div class="tab-panel"></div></div>',
+    '<div class="tabset"><label class="tab-label">LANG</label><div class="tab-panel"><p>TEXT</p></div>'
+    '<div class="tab-panel"><p>LANG</p></div></div>',
+    '<div class="tabset"><label class="tab-label">A</label><p>TEXT</p></div>',
+    '<table><tr><td><table><tr><td> LANG </td><td>B</td></tr></table></td><td>TEXT</td></tr></table>'
+    '<table><tr><td> </td></tr></table><p><img alt=" A "> <img> <a href="x">t <b>u</b></a> '
+    '<headline>H</headline><chunk>C</chunk></p><div class="a factoid">F</div><div><div></div>x</div>'
+    '<label> </label><span>&nbsp;</span>',
+]
+SYNTHETIC_ID_OFFSET = 1_000_000_000
+
+
+def _wrap_expr(text, lang, doc_id):
+    expr = None
+    for i, tpl in enumerate(HTML_WRAPPERS):
+        pieces = []
+        for j, part in enumerate(tpl.split("TEXT")):
+            if j:
+                pieces.append(text)
+            for k, sub in enumerate(part.split("LANG")):
+                if k:
+                    pieces.append(lang)
+                pieces.append(F.lit(sub))
+        built = F.concat(F.lit("<html><head><title>"), lang, F.lit("</title></head><body>"), *pieces,
+                         F.lit("</body></html>"))
+        cond = F.pmod(doc_id, F.lit(len(HTML_WRAPPERS))) == i
+        expr = F.when(cond, built) if expr is None else expr.when(cond, built)
+    return expr
+
+
+def html_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
+    """Fixture H: crawled pages (title from <title>) plus every document wrapped in a synthetic structure."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.col("page_id").alias("article_id"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("body"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.replace(F.col("text"), F.lit("&"), F.lit("&amp;"))
+    synth = docs.select((F.col("doc_id") + SYNTHETIC_ID_OFFSET).alias("article_id"), F.col("lang").alias("title"),
+                        _wrap_expr(text, F.col("lang"), F.col("doc_id")).alias("body"))
+    return Fixture(pages.unionByName(synth), None)
