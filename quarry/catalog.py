@@ -665,4 +665,224 @@ def t5_cleanup_stats(spark, sf_dir):
                      _r6("mean_stage2").alias("mean_stage2"))
 
 
+# ---------------------------------------------------------------- prompts and injected models
+
+from quarry.functions import prompts as PR  # noqa: E402
+from quarry.operators import infer  # noqa: E402
+from quarry.plans import answer as ANS  # noqa: E402
+from quarry.plans import enrich  # noqa: E402
+from quarry.plans import evaluation as EVR  # noqa: E402
+from quarry.session import scratch_path  # noqa: E402
+from quarry.streaming import answer_stream  # noqa: E402
+
+
+def _sql_prompt(system: str, shots, label: str, text_expr: str) -> str:
+    n = 2 + 2 * len(shots)
+    roles = ",".join(["system"] + ["user", "assistant"] * len(shots) + ["user"])
+    fixed_chars = len(system) + sum(len(label + a) + len(b) for a, b in shots)
+    return (f"{n}::BIGINT AS n_messages, '{roles}' AS roles, {OH.q(label)} || {text_expr} AS last_content, "
+            f"({fixed_chars} + length({OH.q(label)} || {text_expr}))::BIGINT AS n_chars")
+
+
+def _prompt_out(df, key: str, prompt_col: str = "prompt"):
+    p = F.col(prompt_col)
+    return df.select(key, F.size(p).cast("bigint").alias("n_messages"),
+                     F.array_join(F.transform(p, lambda m: m["role"]), ",").alias("roles"),
+                     F.element_at(p, -1)["content"].alias("last_content"),
+                     F.aggregate(F.transform(p, lambda m: F.length(m["content"])), F.lit(0),
+                                 lambda a, x: a + x).cast("bigint").alias("n_chars"))
+
+
+SQL_NOISY = "noisy AS (SELECT conv_id * 1000 + turn AS query_id, text AS query_text FROM conversations WHERE role = 'user')"
+
+
+@register("e3_rewrite_prompt", f"WITH {SQL_NOISY} SELECT query_id, "
+          f"{_sql_prompt(PR.REWRITE_SYSTEM, PR.REWRITE_SHOTS, PR.REWRITE_LABEL, 'query_text')} FROM noisy")
+def e3_rewrite_prompt(spark, sf_dir):
+    q = fixtures.noisy_queries(spark, sf_dir)
+    return _prompt_out(q.withColumn("prompt", PR.rewrite_prompt("query_text")), "query_id")
+
+
+@register("e4_title_prompt", "SELECT doc_id AS article_id, "
+          + _sql_prompt(PR.TITLE_SYSTEM, PR.TITLE_SHOTS, PR.TITLE_LABEL, "substr(text, 1, 1500)") + " FROM documents")
+def e4_title_prompt(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _prompt_out(d.select(F.col("doc_id").alias("article_id"), PR.title_prompt(text_head("text")).alias("prompt")),
+                       "article_id")
+
+
+@register("e1_embed_column")
+def e1_embed_column(spark, sf_dir):
+    """E1 through the injected-model path: a Python encoder factory run by predict_batch_udf."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"),
+                                                                  with_prefix("text").alias("t"))
+    enc = infer.embed_column(b, "t", infer.hashing_encoder_factory(HASH_DIM), infer.BATCH_QUERIES)
+    return enc.select("query_id", F.size("embedding").cast("bigint").alias("dim"),
+                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+
+
+@register("e5_rewrite_queries")
+def e5_rewrite_queries(spark, sf_dir):
+    """E5 with the deterministic stand-in generator (no model weights are available)."""
+    return enrich.rewrite_queries(fixtures.noisy_queries(spark, sf_dir), infer.last_user_message_factory())
+
+
+@register("e6_generate_titles")
+def e6_generate_titles(spark, sf_dir):
+    fx = fixtures.text_fixture(spark, sf_dir)
+    return enrich.generate_titles(fx.articles, infer.last_user_message_factory(8))
+
+
+@register("e7_rewrite_and_embed")
+def e7_rewrite_and_embed(spark, sf_dir):
+    out = enrich.rewrite_and_embed(fixtures.noisy_queries(spark, sf_dir), infer.last_user_message_factory(),
+                                   infer.hashing_encoder_factory(HASH_DIM))
+    return out.select("query_id", "rewritten_text", F.size("embedding").cast("bigint").alias("dim"))
+
+
+@register("e8_generate_and_embed")
+def e8_generate_and_embed(spark, sf_dir):
+    fx = fixtures.text_fixture(spark, sf_dir)
+    out = enrich.generate_and_embed(fx.articles, infer.last_user_message_factory(8), infer.hashing_encoder_factory(HASH_DIM))
+    return out.select("article_id", "generated_title", F.size("embedding").cast("bigint").alias("dim"))
+
+
+# ---------------------------------------------------------------- pluggable ranker, evaluation runs, answer job
+
+@register("r4_pluggable_ranker", f"{WITH_V} SELECT query_id, round(ap, 6) AS ap FROM ve_ap")
+def r4_pluggable_ranker(spark, sf_dir):
+    """Any (articles, queries, k) -> rankings callable plugs into evaluation; here one that ranks in
+    query blocks of a tenth of the budget, checked to give the same AP."""
+    def my_ranker(articles, queries, k):
+        return rank.block_top_k(articles, queries, k, block_bytes=rank.DEFAULT_BLOCK_BYTES // 10)
+    v = fixtures.vector_fixture(spark, sf_dir)
+    return _ap_out(Eval(v, my_ranker(v.article_vectors, v.query_vectors, 10)))
+
+
+@register("v10_evaluate_run", f"""{WITH_V}
+SELECT 'labels' AS method, 'labels' AS run, round(avg(ap), 6) AS map, count(*)::BIGINT AS n_queries FROM ve_ap""")
+def v10_evaluate_run(spark, sf_dir):
+    """V10 + S9 + S10: a full run written to the shared folder; the summary is read back from disk."""
+    v = fixtures.vector_fixture(spark, sf_dir)
+    summary = EVR.run_method(scratch_path(spark, "run"), "labels", ranker=rank.dense_ranker,
+                             article_vectors=v.article_vectors, queries=v.queries, query_vectors=v.query_vectors,
+                             articles=v.articles)
+    return summary.select("method", "run", _r6("map").alias("map"), "n_queries")
+
+
+@register("v12_method_suite", f"{WITH_T} {sql_compare('SELECT method, ap FROM aps')}")
+def v12_method_suite(spark, sf_dir):
+    """V12 over fixture T: body and body-head methods run and compared from their written AP tables."""
+    fx = fixtures.text_fixture(spark, sf_dir)
+    qv = hashing_encode(fx.queries.select("query_id", with_prefix("query_text").alias("t")), "t", HASH_DIM)
+    body = hashing_encode(fx.articles.select("article_id", with_prefix("body").alias("t")), "t", HASH_DIM)
+    head = hashing_encode(fx.articles.select("article_id", text_head("body").alias("t")), "t", HASH_DIM)
+    qv = qv.select("query_id", "embedding")
+    configs = [EVR.MethodConfig("hash_body", body.select("article_id", "embedding"), qv),
+               EVR.MethodConfig("hash_head", head.select("article_id", "embedding"), qv)]
+    out = EVR.run_suite(configs, fx.queries, fx.articles, scratch_path(spark, "suite"))
+    return out.select("method", _r6("map").alias("map"), "n_queries", "n_zero", "pct_zero", "n_bucket0", "pct_bucket0")
+
+
+SQL_R7 = (f"{SQL_NOISY}, h_pages AS (SELECT page_id AS article_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title "
+          f"FROM pages), "
+          + sql_hash("r7_qv", "noisy", "query_id", f"'{QUERY_INSTRUCTION}' || query_text") + ", "
+          + sql_hash("r7_av", "h_pages", "article_id", "title") + ", " + sql_topk("r7_top", "r7_qv", "r7_av"))
+SQL_R7_ANSWER = (f"WITH {SQL_R7} SELECT n.query_id, coalesce(string_agg(t.article_id::VARCHAR, ' ' ORDER BY t.rank), '') "
+                 f"AS answer FROM noisy n LEFT JOIN r7_top t USING (query_id) GROUP BY n.query_id")
+
+
+def _pages_titles(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.col("page_id").alias("article_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@register("r7_answer_queries", SQL_R7_ANSWER)
+def r7_answer_queries(spark, sf_dir):
+    """Unlabelled queries (conversation user turns) answered against page titles, through the CSV sink."""
+    path = scratch_path(spark, "answer")
+    ANS.answer_to_csv(fixtures.noisy_queries(spark, sf_dir), _pages_titles(spark, sf_dir), path,
+                      embed=ANS.hashing_embedder(HASH_DIM))
+    return tables.read_answer(spark, path)
+
+
+@register("r7_answer_stream", SQL_R7_ANSWER)
+def r7_answer_stream(spark, sf_dir):
+    """The same answers from the streaming job: query files are answered per micro-batch."""
+    src = scratch_path(spark, "stream-in")
+    fixtures.noisy_queries(spark, sf_dir).repartition(3).write.parquet(src)
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    q = answer_stream(spark, src, _pages_titles(spark, sf_dir), out, ckpt, embed=ANS.hashing_embedder(HASH_DIM))
+    q.awaitTermination()
+    return spark.read.parquet(out).select("query_id", "answer")
+
+
+# ---------------------------------------------------------------- sink / scan round trips
+
+@register("s1_read_articles", f"""WITH {OH.fixture_sql()}
+SELECT count(*)::BIGINT AS n_rows, sum(length(title))::BIGINT AS title_chars, sum(length(body))::BIGINT AS body_chars FROM h_src""")
+def s1_read_articles(spark, sf_dir):
+    path = scratch_path(spark, "articles")
+    _html_articles(spark, sf_dir).write.parquet(path)
+    a = tables.read_articles(spark, path)
+    return a.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.sum(F.length("title")).cast("bigint").alias("title_chars"),
+                 F.sum(F.length("body")).cast("bigint").alias("body_chars"))
+
+
+@register("s2_read_labelled_queries", f"WITH {SQL_T} SELECT query_id, query_text, ground_truth FROM t_queries")
+def s2_read_labelled_queries(spark, sf_dir):
+    path = scratch_path(spark, "calibration")
+    fixtures.text_fixture(spark, sf_dir).queries.write.parquet(path)
+    return tables.read_labelled_queries(spark, path)
+
+
+@register("s3_read_queries", f"WITH {SQL_NOISY} SELECT query_id, query_text FROM noisy")
+def s3_read_queries(spark, sf_dir):
+    path = scratch_path(spark, "test")
+    fixtures.noisy_queries(spark, sf_dir).write.parquet(path)
+    return tables.read_queries(spark, path)
+
+
+@register("s4_cleaned_round_trip", f"""WITH {SQL_CLEAN}
+SELECT o.article_id, s.title, {OH.html_to_text_sql('o.body')} AS body FROM {_ALL_OUT} o JOIN h_src s USING (article_id)""")
+def s4_cleaned_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "cleaned")
+    tables.write_cleaned(prepare_articles(_html_articles(spark, sf_dir)), path)
+    return tables.read_cleaned(spark, path)
+
+
+@register("s6_embeddings_round_trip", """
+SELECT count(*)::BIGINT AS n_rows, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim
+FROM embeddings WHERE vec_id % 10 <> 0""")
+def s6_embeddings_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "title-emb")
+    v = fixtures.vector_fixture(spark, sf_dir)
+    tables.write_embeddings(v.article_vectors.join(v.articles, "article_id"), path, "article_id", ("title",))
+    return tables.embedding_summary(tables.read_embeddings(spark, path))
+
+
+@register("s7_derived_text")
+def s7_derived_text(spark, sf_dir):
+    path = scratch_path(spark, "rewritten")
+    tables.write_derived_text(enrich.rewrite_queries(fixtures.noisy_queries(spark, sf_dir),
+                                                     infer.last_user_message_factory()), path)
+    return spark.read.parquet(path)
+
+
+@register("s8_answer_csv", f"""WITH {SQL_V}
+SELECT q.query_id, coalesce(string_agg(t.article_id::VARCHAR, ' ' ORDER BY t.rank), '') AS answer
+FROM v_q q LEFT JOIN v_top t USING (query_id) GROUP BY q.query_id""")
+def s8_answer_csv(spark, sf_dir):
+    path = scratch_path(spark, "answer-v")
+    tables.write_answer(r5_answer(spark, sf_dir), path)
+    return tables.read_answer(spark, path)
+
+
+@register("s9_ap_round_trip", f"{WITH_V} SELECT 'labels' AS method, query_id, round(ap, 6) AS ap FROM ve_ap")
+def s9_ap_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "ap")
+    tables.write_ap(eval_v(spark, sf_dir).ap, path, "labels")
+    return tables.read_ap(spark, path, ["labels"]).select("method", "query_id", _r6("ap").alias("ap"))
+
+
 FLAGSHIP = "r5_answer"

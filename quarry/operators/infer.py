@@ -43,8 +43,10 @@ def encoder_udf(make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]],
 def embed_column(df: DataFrame, text_col: str, make_encoder, batch_size: int = BATCH_QUERIES,
                  out: str = "embedding", normalize: bool = True) -> DataFrame:
     """E1 (+E2): add ``out`` = encoder(text), L2-normalised as the reference's encoder calls are."""
-    vec = encoder_udf(make_encoder, batch_size)(F.col(text_col))
-    return df.withColumn(out, l2_normalize(vec).cast("array<float>") if normalize else vec)
+    raw = f"_{out}_raw"
+    staged = df.withColumn(raw, encoder_udf(make_encoder, batch_size)(F.col(text_col)))
+    vec = l2_normalize(raw).cast("array<float>") if normalize else F.col(raw)
+    return staged.withColumn(out, vec).drop(raw)
 
 
 def hashing_encode(df: DataFrame, text_col: str, dim: int = 64, out: str = "embedding") -> DataFrame:
