@@ -467,19 +467,19 @@ def text_ap(spark, sf_dir):
 
 @register("p1_with_prefix", f"SELECT item_id AS query_id, '{QUERY_INSTRUCTION}' || text AS text FROM benchmark")
 def p1_with_prefix(spark, sf_dir):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    b = tables.read_table(spark, f"{sf_dir}/benchmark.parquet")
     return b.select(F.col("item_id").alias("query_id"), with_prefix("text").alias("text"))
 
 
 @register("p2_text_head", "SELECT doc_id AS article_id, substr(text, 1, 1500) AS head FROM documents")
 def p2_text_head(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read_table(spark, f"{sf_dir}/documents.parquet")
     return d.select(F.col("doc_id").alias("article_id"), text_head("text").alias("head"))
 
 
 @register("p5_text_length", "SELECT doc_id AS article_id, coalesce(length(text), 0)::BIGINT AS n_chars FROM documents")
 def p5_text_length(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read_table(spark, f"{sf_dir}/documents.parquet")
     return d.select(F.col("doc_id").alias("article_id"), char_length("text").alias("n_chars"))
 
 
@@ -487,7 +487,7 @@ def p5_text_length(spark, sf_dir):
 SELECT id AS article_id, (i - 1)::BIGINT AS bucket, round(w, 6) AS weight FROM (
   SELECT id, unnest(e) AS w, generate_subscripts(e, 1) AS i FROM hv) WHERE w <> 0""")
 def e1b_hashing_encode(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read_table(spark, f"{sf_dir}/documents.parquet")
     v = hashing_encode(d.select(F.col("doc_id").alias("article_id"), "text"), "text", HASH_DIM)
     # posexplode_outer: a plain explode makes Catalyst infer size(embedding) > 0 below it, inlining the encoder.
     return (v.select("article_id", F.posexplode_outer("embedding").alias("bucket", "w")).where(F.col("w") != 0)
@@ -501,7 +501,7 @@ SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS n
       SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * label) AS s FROM embeddings)))""")
 def e2_l2_normalize(spark, sf_dir):
     """Vectors scaled by their label (label 0 gives the zero vector, which must stay zero), normalised."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = tables.read_table(spark, f"{sf_dir}/embeddings.parquet")
     scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("label"))
     v = e.select("vec_id", l2_normalize(scaled).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
@@ -637,7 +637,7 @@ def t1_html_to_text(spark, sf_dir):
 
 @register("t2_collapse_whitespace", f"SELECT doc_id AS article_id, {OH.collapse_sql('text')} AS text FROM documents")
 def t2_collapse_whitespace(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read_table(spark, f"{sf_dir}/documents.parquet")
     return d.select(F.col("doc_id").alias("article_id"), MD.collapse_whitespace("text").alias("text"))
 
 
@@ -706,7 +706,7 @@ def e3_rewrite_prompt(spark, sf_dir):
 @register("e4_title_prompt", "SELECT doc_id AS article_id, "
           + _sql_prompt(PR.TITLE_SYSTEM, PR.TITLE_SHOTS, PR.TITLE_LABEL, "substr(text, 1, 1500)") + " FROM documents")
 def e4_title_prompt(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read_table(spark, f"{sf_dir}/documents.parquet")
     return _prompt_out(d.select(F.col("doc_id").alias("article_id"), PR.title_prompt(text_head("text")).alias("prompt")),
                        "article_id")
 
@@ -714,7 +714,7 @@ def e4_title_prompt(spark, sf_dir):
 @register("e1_embed_column")
 def e1_embed_column(spark, sf_dir):
     """E1 through the injected-model path: a Python encoder factory run by predict_batch_udf."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"),
+    b = tables.read_table(spark, f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"),
                                                                   with_prefix("text").alias("t"))
     enc = infer.embed_column(b, "t", infer.hashing_encoder_factory(HASH_DIM), infer.BATCH_QUERIES)
     return enc.select("query_id", F.size("embedding").cast("bigint").alias("dim"),
@@ -793,7 +793,7 @@ SQL_R7_ANSWER = (f"WITH {SQL_R7} SELECT n.query_id, coalesce(string_agg(t.articl
 
 
 def _pages_titles(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    return tables.read_table(spark, f"{sf_dir}/pages.parquet").select(
         F.col("page_id").alias("article_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 

@@ -14,6 +14,9 @@ HEAD_SIZE = 1500
 WS_CLASS = (r"[\t\n\x{000B}\f\r \x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 _WS = WS_CLASS
+# The same characters as a literal set, for btrim.
+WS_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _col(c) -> Column:
@@ -32,8 +35,7 @@ def text_head(col, n: int = HEAD_SIZE) -> Column:
 
 def py_strip(col) -> Column:
     """Python ``str.strip()``: leading and trailing Unicode whitespace, U+00A0 included."""
-    c = F.regexp_replace(_col(col), "^" + _WS + "+", "")
-    return F.regexp_replace(c, _WS + "+$", "")
+    return F.btrim(_col(col), F.lit(WS_CHARS))
 
 
 def split_ws(col) -> Column:

@@ -37,6 +37,10 @@ EMPTY_TAGS = ["p", "div", "span", "strong", "em"]
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
              "track", "wbr"]
 
+# Class tokens the steps look at, as bits of the per-tag class mask.
+CLASS_BITS = {"factoid": 1, "spoiler": 2, "spoiler-content": 4, "spoiler-text": 8, "tabset": 16, "tab-panel": 32,
+              "tab-label": 64}
+
 TOKEN_PATTERN = r"<[^>]*>|<|[^<]+"
 NBSP_ENTITIES = r"&nbsp;|&#160;|&#[xX][aA]0;"
 STEPS = ["images", "breaks", "inputs", "empty_labels", "links", "headline_chunk", "empty_tags", "factoids",
@@ -82,7 +86,12 @@ def flat_rewrite(col: Column, steps) -> Column:
 
 
 def tokens(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(doc, pos, tok) plus kind, name, class list, depth and partner position of every tag."""
+    """(doc, pos, tok) plus kind, name, class list, depth and partner position of every tag.
+
+    Documents are hash-partitioned by id first; every later window is partitioned by doc plus finer
+    keys, which that partitioning already satisfies, so this is the job's only exchange of tokens.
+    """
+    df = df.repartition(F.col(id_col))
     t = (df.select(F.col(id_col).alias("doc"),
                    F.posexplode_outer(F.regexp_extract_all(F.col(html_col), F.lit(TOKEN_PATTERN), 0)).alias("pos", "tok"))
          .where(F.col("tok").isNotNull()))
@@ -94,9 +103,12 @@ def tokens(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
             .when(openlike, "open").when(tok.rlike(r"^<[!?]"), "decl").otherwise("text"))
     cls_text = F.concat_ws(" ", F.regexp_extract(tok, r'''(?i)\sclass\s*=\s*"([^"]*)"''', 1),
                            F.regexp_extract(tok, r"(?i)\sclass\s*=\s*'([^']*)'", 1))
-    cls = F.filter(F.split(cls_text, WS_CLASS + "+"), lambda c: c != "")
+    cls = F.split(cls_text, WS_CLASS + "+")
+    mask = sum((F.array_contains(cls, c).cast("int") * bit for c, bit in CLASS_BITS.items()), F.lit(0))
+    blank = F.regexp_replace(tok, NBSP_ENTITIES, " ").rlike("^" + WS_CLASS + "*$")
     t = t.select("doc", "pos", "tok", kind.alias("kind"), F.when(openlike | tok.startswith("</"), name).alias("name"),
-                 F.when(kind == "open", cls).otherwise(F.array().cast("array<string>")).alias("cls"))
+                 F.when(kind == "open", mask).otherwise(F.lit(0)).alias("cls"),
+                 ((kind == "text") & ~blank).cast("int").alias("nbk"))
     delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     run = F.sum(delta).over(Window.partitionBy("doc", "name").orderBy("pos")
                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -113,14 +125,17 @@ def _paired() -> Column:
     return F.col("partner").isNotNull() & (adj == F.col("partner"))
 
 
+def _has(cls: str) -> Column:
+    return F.col("cls").bitwiseAND(CLASS_BITS[cls]) != 0
+
+
 def _nonblank() -> Column:
-    text = F.regexp_replace("tok", NBSP_ENTITIES, " ")
-    return (F.col("kind") == "html") | ((F.col("kind") == "text") & ~text.rlike("^" + WS_CLASS + "*$"))
+    return F.col("nbk") == 1
 
 
 def _with_emptiness(t: DataFrame) -> DataFrame:
     """Adds _ok (pair intact) and _empty (no non-blank text between the pair) on both ends of each pair."""
-    t = t.withColumn("_nb", F.sum(_nonblank().cast("int")).over(_run()))
+    t = t.withColumn("_nb", F.sum("nbk").over(_run()))
     other = F.when(F.col("kind") == "open", F.lead("_nb").over(_pair())).when(F.col("kind") == "close", F.lag("_nb").over(_pair()))
     return t.withColumn("_ok", _paired()).withColumn("_empty", F.col("_ok") & (other == F.col("_nb")))
 
@@ -159,7 +174,7 @@ def unwrap_links(t: DataFrame) -> DataFrame:
 def unwrap_factoids(t: DataFrame) -> DataFrame:
     """H8: drop the tags of divs whose class list holds the token 'factoid'; the content stays."""
     t = t.withColumn("_ok", _paired())
-    is_f = (F.col("name") == "div") & F.array_contains("cls", "factoid")
+    is_f = (F.col("name") == "div") & _has("factoid")
     drop = is_f & ((F.col("kind") == "open") | ((F.col("kind") == "close") & F.col("_ok")))
     return _drop_cols(t.where(~drop))
 
@@ -178,14 +193,14 @@ def clean_spoilers(t: DataFrame) -> DataFrame:
     <p><strong>title</strong>: </p> when its first .spoiler-text has text; without content or
     children the whole spoiler goes."""
     t = t.withColumn("_ok", _paired())
-    t = _enclosing(t, (F.col("name") == "div") & F.array_contains("cls", "spoiler") & F.col("_ok"), "_sp")
+    t = _enclosing(t, (F.col("name") == "div") & _has("spoiler") & F.col("_ok"), "_sp")
     w = Window.partitionBy("doc", "_sp")
     full = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     in_sp = F.col("_sp").isNotNull() & (F.col("pos") != F.col("_sp"))
     is_open = (F.col("kind") == "open") & F.col("_ok") & in_sp
 
     def first_el(token):
-        return F.min(F.when(is_open & F.array_contains("cls", token), F.struct("pos", "partner"))).over(w)
+        return F.min(F.when(is_open & _has(token), F.struct("pos", "partner"))).over(w)
     t = t.withColumn("_c", first_el("spoiler-content")).withColumn("_t", first_el("spoiler-text"))
     c_open, c_close = F.col("_c.pos"), F.col("_c.partner")
     inside_c = (F.col("pos") > c_open) & (F.col("pos") < c_close)
@@ -196,7 +211,8 @@ def clean_spoilers(t: DataFrame) -> DataFrame:
     keep = F.col("_sp").isNull() | ((F.col("_kids") > 0) & inside_c) | head
     t = t.where(keep)
     t = (t.withColumn("tok", F.when(head, _heading(F.col("_title"))).otherwise(F.col("tok")))
-          .withColumn("kind", F.when(head, F.lit("html")).otherwise(F.col("kind"))))
+          .withColumn("kind", F.when(head, F.lit("html")).otherwise(F.col("kind")))
+          .withColumn("nbk", F.when(head, F.lit(1)).otherwise(F.col("nbk"))))
     return _drop_cols(t)
 
 
@@ -205,11 +221,11 @@ def clean_tabsets(t: DataFrame) -> DataFrame:
     replaced by its children led by the label heading (none for surplus panels); the rest of the
     tabset goes. A tabset without panels is unwrapped."""
     t = t.withColumn("_ok", _paired())
-    t = _enclosing(t, (F.col("name") == "div") & F.array_contains("cls", "tabset") & F.col("_ok"), "_ts")
+    t = _enclosing(t, (F.col("name") == "div") & _has("tabset") & F.col("_ok"), "_ts")
     in_ts = F.col("_ts").isNotNull() & (F.col("pos") != F.col("_ts"))
     opened = (F.col("kind") == "open") & F.col("_ok") & in_ts
-    is_panel = (F.col("name") == "div") & F.array_contains("cls", "tab-panel")
-    is_label = (F.col("name") == "label") & F.array_contains("cls", "tab-label")
+    is_panel = (F.col("name") == "div") & _has("tab-panel")
+    is_label = (F.col("name") == "label") & _has("tab-label")
     t = _enclosing(t, is_panel & F.col("_ok") & F.col("_ts").isNotNull(), "_pn")
     t = _enclosing(t, is_label & F.col("_ok") & F.col("_ts").isNotNull(), "_lb")
     w_ts = Window.partitionBy("doc", "_ts")
@@ -238,7 +254,8 @@ def clean_tabsets(t: DataFrame) -> DataFrame:
             | (~unwrap & ((inside_pn & (F.col("_kids") > 0)) | head)))
     t = t.withColumn("_title", title).where(keep)
     t = (t.withColumn("tok", F.when(head, _heading(F.col("_title"))).otherwise(F.col("tok")))
-          .withColumn("kind", F.when(head, F.lit("html")).otherwise(F.col("kind"))))
+          .withColumn("kind", F.when(head, F.lit("html")).otherwise(F.col("kind")))
+          .withColumn("nbk", F.when(head, F.lit(1)).otherwise(F.col("nbk"))))
     return _drop_cols(t)
 
 
@@ -290,12 +307,14 @@ def assemble(t: DataFrame) -> DataFrame:
 def clean_html(df: DataFrame, column: str = "body", id_col: str = "article_id", steps=None) -> DataFrame:
     """``df`` with ``column`` cleaned; ``steps`` (names from STEPS) selects a subset, in order."""
     steps = STEPS if steps is None else [s for s in STEPS if s in steps]
-    flat = df.select(F.col(id_col).alias("_doc"), flat_rewrite(F.col(column), steps).alias("_html"))
-    t = tokens(flat, "_doc", "_html")
+    src = df.select(F.col(id_col).alias("_doc"), F.col(column).alias("_html"))
+    t = tokens(src.select("_doc", flat_rewrite(F.col("_html"), steps).alias("_html")), "_doc", "_html")
     for step in steps:
         if step in ELEMENT_STEPS:
             t = ELEMENT_STEPS[step](t)
     cleaned = assemble(t).withColumnRenamed("doc", "_doc")
-    out = df.join(cleaned, F.col(id_col) == F.col("_doc"), "left")
-    cleaned_col = F.when(F.col(column).isNull(), F.lit(None)).otherwise(F.coalesce("html", F.lit("")))
+    # Join back only the other columns (and a null flag): the raw HTML is not shuffled a second time.
+    rest = df.select(*[F.col(c) for c in df.columns if c != column], F.col(column).isNull().alias("_null"))
+    out = rest.join(cleaned, F.col(id_col) == F.col("_doc"), "left")
+    cleaned_col = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(F.coalesce("html", F.lit("")))
     return out.select(*[cleaned_col.alias(column) if c == column else F.col(c) for c in df.columns])

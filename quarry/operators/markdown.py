@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import py_strip
 
-# The rewrite chain (pattern, replacement) applied in order.
+# The rewrite chain (pattern, replacement) applied in order. Rules sharing a replacement
+# are one alternation, so the text is scanned once per distinct replacement.
+_BLOCK = "p|div|ul|ol|table|tbody|thead|article|section|header|footer|nav|main|aside|blockquote|pre"
 TEXT_RULES = (
-    [(r"(?s)<!--.*?-->", ""), (r"(?is)<script\b[^>]*>.*?</script\s*>", ""), (r"(?is)<style\b[^>]*>.*?</style\s*>", "")]
+    [(r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")]
     + [(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
     + [(r"(?i)</h[1-6]\s*>", "\n\n"),
-       (r"(?i)<li\b[^>]*>", "\n* "), (r"(?i)</li\s*>", "\n"),
-       (r"(?i)</t[dh]\s*>", " | "), (r"(?i)</?tr\b[^>]*>", "\n"),
-       (r"(?i)<br\b[^>]*>", "\n"),
-       (r"(?i)</?(p|div|ul|ol|table|tbody|thead|article|section|header|footer|nav|main|aside|blockquote|pre)\b[^>]*>", "\n"),
+       (r"(?i)<li\b[^>]*>", "\n* "),
+       (r"(?i)</t[dh]\s*>", " | "),
+       (r"(?i)</li\s*>|</?tr\b[^>]*>|<br\b[^>]*>|</?(" + _BLOCK + r")\b[^>]*>", "\n"),
        (r"<[^>]*>", "")])
 
 # Named entities decoded by T1; '&amp;' must stay last.

@@ -101,14 +101,14 @@ def _block_topk(bc, k: int, id_col: str, emb_col: str):
 def _query_blocks(queries: DataFrame, id_col: str, emb_col: str, block_bytes: int):
     """Split the query side into broadcastable blocks after checking its size.
 
-    The row count is taken first (column pruning keeps it cheap, even when vectors come from a model);
-    the dimension from one row. Only blocks that fit the budget ever reach the driver.
+    One aggregate gives the row count and the vector dimension (min = max is checked when the blocks
+    are collected). No filter on the vector column: Catalyst would push it below the projections and
+    inline the vector expression into it. Only blocks that fit the budget ever reach the driver.
     """
-    n = queries.count()
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(emb_col)).alias("d")).first()
+    n, dim = int(row["n"]), int(row["d"] or 0)
     if n == 0:
         return 0, []
-    dim = queries.select(F.size(emb_col).alias("d")).where(F.col("d") >= 0).first()
-    dim = int(dim["d"]) if dim else 0
     n_blocks = max(1, math.ceil(n * max(dim, 1) * 8 / block_bytes))
     if n_blocks == 1:
         return dim, [queries]
@@ -143,10 +143,6 @@ def block_top_k(articles: DataFrame, queries: DataFrame, k: int = 10, *, article
         block_bytes = int(spark.conf.get("quarry.rank.blockBytes", str(DEFAULT_BLOCK_BYTES)))
     arts = articles.select(F.col(article_id).cast("bigint").alias("article_id"),
                            F.col(emb_col).alias("embedding"))
-    parallelism = spark.sparkContext.defaultParallelism
-    if arts.rdd.getNumPartitions() < parallelism:
-        # Small corpora arrive as one row group; spread them so every core runs GEMM.
-        arts = arts.repartition(parallelism)
     dim, blocks = _query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(emb_col).alias("embedding")),
                                 "query_id", "embedding", block_bytes)
     partials = []

@@ -6,7 +6,7 @@ catalog's oracle SQL.
 
 from __future__ import annotations
 
-from quarry.functions.text import WS_CLASS
+from quarry.functions.text import WS_CHARS, WS_CLASS
 from quarry.operators import html as H
 from quarry.operators import markdown as M
 from quarry.sources.fixtures import HTML_WRAPPERS, SYNTHETIC_ID_OFFSET
@@ -21,7 +21,7 @@ def rx(col: str, pattern: str, repl: str) -> str:
 
 
 def strip(col: str) -> str:
-    return rx(rx(col, "^" + WS_CLASS + "+", ""), WS_CLASS + "+$", "")
+    return f"trim({col}, {q(WS_CHARS)})"
 
 
 def fixture_sql() -> str:
@@ -56,13 +56,16 @@ def _flat(col: str, steps) -> str:
     return out
 
 
-NB = (f"(kind = 'html' OR (kind = 'text' AND NOT regexp_matches({rx('tok', H.NBSP_ENTITIES, ' ')}, "
-      f"{q('^' + WS_CLASS + '*$')})))")
+NB = "(nbk = 1)"
+
+
+def has(cls: str) -> str:
+    return f"(cls & {H.CLASS_BITS[cls]} <> 0)"
 PAIR = "PARTITION BY doc, name, depth ORDER BY pos"
 RUN = "PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEFORE = "PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 FULL = "ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-COLS = "doc, pos, tok, kind, name, cls, depth, partner"
+COLS = "doc, pos, tok, kind, name, cls, nbk, depth, partner"
 OK = (f"(partner IS NOT NULL AND partner = CASE WHEN kind = 'open' THEN lead(pos) OVER ({PAIR}) "
       f"WHEN kind = 'close' THEN lag(pos) OVER ({PAIR}) END)")
 
@@ -106,15 +109,15 @@ class _Chain:
     def factoids(self, src: str) -> str:
         a = self.add(f"SELECT *, {OK} AS _ok FROM {src}")
         return self.finish(self.add(
-            f"SELECT * FROM {a} WHERE NOT (name = 'div' AND list_contains(cls, 'factoid') AND "
+            f"SELECT * FROM {a} WHERE NOT (name = 'div' AND {has('factoid')} AND "
             f"(kind = 'open' OR (kind = 'close' AND _ok)))"))
 
     def spoilers(self, src: str) -> str:
-        a = self.enclosing(src, "name = 'div' AND list_contains(cls, 'spoiler') AND _ok", "_sp")
+        a = self.enclosing(src, f"name = 'div' AND {has('spoiler')} AND _ok", "_sp")
         a = self.add(f"SELECT * EXCLUDE (_ok), {OK} AS _ok FROM {a}")
         op = "kind = 'open' AND _ok AND _sp IS NOT NULL AND pos <> _sp"
-        b = self.add(f"SELECT *, min(CASE WHEN {op} AND list_contains(cls, 'spoiler-content') THEN pos END) "
-                     f"OVER (PARTITION BY doc, _sp) AS _co, min(CASE WHEN {op} AND list_contains(cls, 'spoiler-text') "
+        b = self.add(f"SELECT *, min(CASE WHEN {op} AND {has('spoiler-content')} THEN pos END) "
+                     f"OVER (PARTITION BY doc, _sp) AS _co, min(CASE WHEN {op} AND {has('spoiler-text')} "
                      f"THEN pos END) OVER (PARTITION BY doc, _sp) AS _to FROM {a}")
         c = self.add(f"SELECT *, max(CASE WHEN pos = _co THEN partner END) OVER (PARTITION BY doc, _sp) AS _cc, "
                      f"max(CASE WHEN pos = _to THEN partner END) OVER (PARTITION BY doc, _sp) AS _tc FROM {b}")
@@ -125,12 +128,13 @@ class _Chain:
         e = self.add(f"SELECT * FROM {d} WHERE _sp IS NULL OR (_kids > 0 AND pos > _co AND pos < _cc) OR {head}")
         return self.finish(self.add(
             f"SELECT doc, pos, CASE WHEN {head} THEN '<p><strong>' || _title || '</strong>: </p>' ELSE tok END AS tok, "
-            f"CASE WHEN {head} THEN 'html' ELSE kind END AS kind, name, cls, depth, partner FROM {e}"))
+            f"CASE WHEN {head} THEN 'html' ELSE kind END AS kind, name, cls, CASE WHEN {head} THEN 1 ELSE nbk END AS nbk, "
+            f"depth, partner FROM {e}"))
 
     def tabsets(self, src: str) -> str:
-        a = self.enclosing(src, "name = 'div' AND list_contains(cls, 'tabset') AND _ok", "_ts")
-        is_panel = "(name = 'div' AND list_contains(cls, 'tab-panel'))"
-        is_label = "(name = 'label' AND list_contains(cls, 'tab-label'))"
+        a = self.enclosing(src, f"name = 'div' AND {has('tabset')} AND _ok", "_ts")
+        is_panel = f"(name = 'div' AND {has('tab-panel')})"
+        is_label = f"(name = 'label' AND {has('tab-label')})"
         a = self.add(f"SELECT * EXCLUDE (_ok) FROM {a}")
         a = self.enclosing(a, f"{is_panel} AND _ok AND _ts IS NOT NULL", "_pn")
         a = self.add(f"SELECT * EXCLUDE (_ok) FROM {a}")
@@ -152,7 +156,8 @@ class _Chain:
         e = self.add(f"SELECT *, {head} AS _head FROM {d} WHERE {keep}")
         return self.finish(self.add(
             f"SELECT doc, pos, CASE WHEN _head THEN '<p><strong>' || _title || '</strong>: </p>' ELSE tok END AS tok, "
-            f"CASE WHEN _head THEN 'html' ELSE kind END AS kind, name, cls, depth, partner FROM {e}"))
+            f"CASE WHEN _head THEN 'html' ELSE kind END AS kind, name, cls, CASE WHEN _head THEN 1 ELSE nbk END AS nbk, "
+            f"depth, partner FROM {e}"))
 
     def nested_tables(self, src: str) -> str:
         a = self.enclosing(src, "name = 'table' AND depth = 2 AND _ok", "_nt")
@@ -161,7 +166,7 @@ class _Chain:
                      f"WHERE _nt IS NULL OR _pc IS NOT NULL")
         return self.finish(self.add(
             f"SELECT doc, pos, CASE WHEN _nt IS NULL THEN tok WHEN pos = _first THEN _pc ELSE ' ' || _pc END AS tok, "
-            f"kind, name, cls, depth, partner FROM {c}"))
+            f"kind, name, cls, nbk, depth, partner FROM {c}"))
 
     def body(self, src: str) -> str:
         a = self.add(f"SELECT *, min(CASE WHEN name = 'body' AND kind = 'open' THEN pos END) OVER (PARTITION BY doc) AS _bo, "
@@ -185,16 +190,19 @@ def clean_html_sql(src: str, id_col: str, body_col: str, prefix: str, steps=None
             f"WHEN regexp_matches(tok, '^<[!?]') THEN 'decl' ELSE 'text' END")
     cls_text = (f"concat_ws(' ', regexp_extract(tok, {q(chr(40) + '?i)' + r'''\sclass\s*=\s*"([^"]*)"''')}, 1), "
                 f"regexp_extract(tok, {q('(?i)' + chr(92) + 'sclass' + chr(92) + 's*=' + chr(92) + 's*' + chr(39) + '([^' + chr(39) + ']*)' + chr(39))}, 1))")
-    cls = f"list_filter(regexp_split_to_array({cls_text}, {q(WS_CLASS + '+')}), lambda c: c <> '')"
+    cls = f"regexp_split_to_array({cls_text}, {q(WS_CLASS + '+')})"
+    mask = " + ".join(f"list_contains({cls}, {q(c)})::INT * {bit}" for c, bit in H.CLASS_BITS.items())
+    blank = f"regexp_matches({rx('tok', H.NBSP_ENTITIES, ' ')}, {q('^' + WS_CLASS + '*$')})"
     a = ch.add(f"SELECT doc, pos, tok, {kind} AS kind, CASE WHEN {openlike} OR starts_with(tok, '</') THEN {name} END AS name, "
-               f"CASE WHEN {kind} = 'open' THEN {cls} ELSE []::VARCHAR[] END AS cls FROM {raw}")
+               f"CASE WHEN {kind} = 'open' THEN {mask} ELSE 0 END AS cls, "
+               f"({kind} = 'text' AND NOT {blank})::INT AS nbk FROM {raw}")
     delta = "CASE WHEN kind = 'open' THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END"
     b = ch.add(f"SELECT *, CASE WHEN kind = 'open' THEN r WHEN kind = 'close' THEN r + 1 END AS depth FROM ("
                f"SELECT *, sum({delta}) OVER (PARTITION BY doc, name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING "
                f"AND CURRENT ROW) AS r FROM {a})")
     nxt = f"(kind = 'open' AND lead(kind) OVER ({PAIR}) = 'close')"
     prv = f"(kind = 'close' AND lag(kind) OVER ({PAIR}) = 'open')"
-    t = ch.add(f"SELECT doc, pos, tok, kind, name, CASE WHEN {prv} THEN lag(cls) OVER ({PAIR}) ELSE cls END AS cls, depth, "
+    t = ch.add(f"SELECT doc, pos, tok, kind, name, CASE WHEN {prv} THEN lag(cls) OVER ({PAIR}) ELSE cls END AS cls, nbk, depth, "
                f"CASE WHEN {nxt} THEN lead(pos) OVER ({PAIR}) WHEN {prv} THEN lag(pos) OVER ({PAIR}) END AS partner FROM {b}")
     for step in steps:
         if step == "empty_labels":

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.sources import tables
 from quarry.sources.tables import read_embeddings
 
 # Fixed value: ranks that become ground truth in fixture R, by case (query_id // 10) % 5.
@@ -145,8 +146,8 @@ def containment_pairs(docs: DataFrame, passages: DataFrame, block_bytes: int = D
 
 
 def text_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = tables.read_table(spark, f"{sf_dir}/documents.parquet")
+    bench = tables.read_table(spark, f"{sf_dir}/benchmark.parquet")
     articles = docs.select(F.col("doc_id").alias("article_id"),
                            F.concat(F.col("source"), F.lit(" #"), F.col("doc_id").cast("string")).alias("title"),
                            F.col("text").alias("body"))
@@ -161,7 +162,7 @@ def text_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
 
 def noisy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of ``conversations`` as (query_id, query_text); query_id = conv_id * 1000 + turn."""
-    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    conv = tables.read_table(spark, f"{sf_dir}/conversations.parquet")
     return conv.where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("query_id"),
         F.col("text").alias("query_text"))
@@ -207,10 +208,10 @@ def _wrap_expr(text, lang, doc_id):
 
 def html_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     """Fixture H: crawled pages (title from <title>) plus every document wrapped in a synthetic structure."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    pages = tables.read_table(spark, f"{sf_dir}/pages.parquet").select(
         F.col("page_id").alias("article_id"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("body"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.read_table(spark, f"{sf_dir}/documents.parquet")
     text = F.replace(F.col("text"), F.lit("&"), F.lit("&amp;"))
     synth = docs.select((F.col("doc_id") + SYNTHETIC_ID_OFFSET).alias("article_id"), F.col("lang").alias("title"),
                         _wrap_expr(text, F.col("lang"), F.col("doc_id")).alias("body"))

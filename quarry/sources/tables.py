@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 ARTICLE_SCHEMA = "article_id BIGINT, title STRING, body STRING"
 LABELLED_QUERY_SCHEMA = "query_id BIGINT, query_text STRING, ground_truth STRING"
 QUERY_SCHEMA = "query_id BIGINT, query_text STRING"
 AP_SCHEMA = "query_id BIGINT, ap DOUBLE, method STRING"
 
 
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Parquet scan (schema fixed when given), spread over all cores when it has fewer partitions."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return spread(reader.parquet(path))
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles (article_id, title, body as HTML)."""
-    return spark.read.schema(ARTICLE_SCHEMA).parquet(path)
+    return read_table(spark, path, ARTICLE_SCHEMA)
 
 
 def read_labelled_queries(spark: SparkSession, path: str) -> DataFrame:
     """Calibration queries (query_id, query_text, ground_truth as space-separated ids)."""
-    return spark.read.schema(LABELLED_QUERY_SCHEMA).parquet(path)
+    return read_table(spark, path, LABELLED_QUERY_SCHEMA)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """S3: unlabelled queries (query_id, query_text)."""
-    return spark.read.schema(QUERY_SCHEMA).parquet(path)
+    return read_table(spark, path, QUERY_SCHEMA)
 
 
 def write_cleaned(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -33,7 +41,7 @@ def write_cleaned(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
     """S4 scan."""
-    return spark.read.schema(ARTICLE_SCHEMA).parquet(path)
+    return read_table(spark, path, ARTICLE_SCHEMA)
 
 
 def checked_embeddings(df: DataFrame, emb_col: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -53,7 +61,7 @@ def checked_embeddings(df: DataFrame, emb_col: str = "embedding", dim: int | Non
 
 def read_embeddings(spark: SparkSession, path: str, emb_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """Embedding table scan with the checks of :func:`checked_embeddings`."""
-    return checked_embeddings(spark.read.parquet(path), emb_col, dim)
+    return checked_embeddings(read_table(spark, path), emb_col, dim)
 
 
 def embedding_summary(df: DataFrame, emb_col: str = "embedding") -> DataFrame:
