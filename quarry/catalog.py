@@ -508,8 +508,8 @@ def e2_l2_normalize(spark, sf_dir):
     return v.select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"))
 
 
-@register("t1_fixture_ground_truth", f"WITH {SQL_T} SELECT query_id, query_text, ground_truth FROM t_queries")
-def t1_fixture_ground_truth(spark, sf_dir):
+@register("fixture_t_ground_truth", f"WITH {SQL_T} SELECT query_id, query_text, ground_truth FROM t_queries")
+def fixture_t_ground_truth(spark, sf_dir):
     """Fixture T's ground truth: documents containing each benchmark passage (Aho-Corasick scan)."""
     return fixtures.text_fixture(spark, sf_dir).queries
 
@@ -885,4 +885,42 @@ def s9_ap_round_trip(spark, sf_dir):
     return tables.read_ap(spark, path, ["labels"]).select("method", "query_id", _r6("ap").alias("ap"))
 
 
+# ---------------------------------------------------------------- title lookup and rendering
+
+from quarry.operators.lookup import render_ids, with_titles  # noqa: E402
+
+SQL_PAGE_TITLES = "p_titles AS (SELECT page_id AS article_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)"
+
+
+@register("p6_title_lookup", f"""WITH {SQL_V}, {SQL_PAGE_TITLES}
+SELECT t.query_id, t.rank::BIGINT AS rank, t.article_id, coalesce(p.title, '?') AS title
+FROM v_top t LEFT JOIN p_titles p USING (article_id)""")
+def p6_title_lookup(spark, sf_dir):
+    """Fixture V's top 10 with titles looked up in the pages' titles; ids without a page get '?'."""
+    _, r = v_rankings(spark, sf_dir)
+    out = with_titles(r, _pages_titles(spark, sf_dir))
+    return out.select("query_id", F.col("rank").cast("bigint"), "article_id", "title")
+
+
+@register("p7_title_source", "SELECT count(*)::BIGINT AS n_titles FROM embeddings WHERE vec_id % 10 <> 0")
+def p7_title_source(spark, sf_dir):
+    """Titles come from the embedding table when it has them, else from the article table."""
+    v = fixtures.vector_fixture(spark, sf_dir)
+    with_title = v.article_vectors.join(v.articles.select("article_id", "title"), "article_id")
+    a = title_source(with_title, v.articles)
+    b = title_source(v.article_vectors, v.articles)
+    return a.join(b, ["article_id", "title"]).agg(F.count(F.lit(1)).cast("bigint").alias("n_titles"))
+
+
+@register("p8_render_ids", f"""WITH {SQL_V}, {SQL_PAGE_TITLES}
+SELECT q.query_id, coalesce(string_agg(t.article_id || ' «' || coalesce(p.title, '?') || '»', ', ' ORDER BY t.rank), '') AS got
+FROM v_q q LEFT JOIN v_top t USING (query_id) LEFT JOIN p_titles p ON p.article_id = t.article_id GROUP BY q.query_id""")
+def p8_render_ids(spark, sf_dir):
+    v, r = v_rankings(spark, sf_dir)
+    ids = r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))),
+                                                lambda x: x["article_id"]).alias("ids"))
+    ids = v.query_vectors.select("query_id").join(ids, "query_id", "left")
+    return render_ids(ids, "query_id", "ids", _pages_titles(spark, sf_dir), "got")
+
+
 FLAGSHIP = "r5_answer"
