@@ -285,6 +285,30 @@ def body_children(t: DataFrame) -> DataFrame:
     return _drop_cols(t.where(keep))
 
 
+SIMPLE_STEPS = ["empty_labels", "links", "empty_tags", "factoids"]
+
+
+def simple_steps(t: DataFrame, steps) -> DataFrame:
+    """H4, H5, H7 and H8 in one pass.
+
+    None of the four changes the non-blank text the emptiness checks read (removed elements are empty,
+    links keep their text, factoids keep their content), so one emptiness computation serves all of them
+    and the two sweeps (removals, link interiors) share one window ordering. The result is the one of
+    running them one after the other, which the per-step queries check.
+    """
+    t = _with_emptiness(t)
+    tags = (["label"] if "empty_labels" in steps else []) + (EMPTY_TAGS if "empty_tags" in steps else [])
+    t = _cover(t, F.col("name").isin(tags) & F.col("_empty"), "_rm")
+    keep = F.col("_rm") == 0
+    if "links" in steps:
+        t = _cover(t, (F.col("name") == "a") & F.col("_ok"), "_in")
+        keep = keep & ((F.col("_in") == 0) | F.col("kind").isin("text", "html"))
+    if "factoids" in steps:
+        is_f = (F.col("name") == "div") & _has("factoid")
+        keep = keep & ~(is_f & ((F.col("kind") == "open") | ((F.col("kind") == "close") & F.col("_ok"))))
+    return _drop_cols(t.where(keep))
+
+
 ELEMENT_STEPS = {
     "empty_labels": lambda t: remove_empty(t, ["label"]),
     "links": unwrap_links,
@@ -309,8 +333,11 @@ def clean_html(df: DataFrame, column: str = "body", id_col: str = "article_id",
     steps = STEPS if steps is None else [s for s in STEPS if s in steps]
     src = df.select(F.col(id_col).alias("_doc"), F.col(column).alias("_html"))
     t = tokens(src.select("_doc", flat_rewrite(F.col("_html"), steps).alias("_html")), "_doc", "_html")
+    simple = [s for s in steps if s in SIMPLE_STEPS]
+    if len(simple) > 1:
+        t = simple_steps(t, simple)
     for step in steps:
-        if step in ELEMENT_STEPS:
+        if step in ELEMENT_STEPS and not (len(simple) > 1 and step in SIMPLE_STEPS):
             t = ELEMENT_STEPS[step](t)
     cleaned = assemble(t).withColumnRenamed("doc", "_doc")
     # Join back only the other columns (and a null flag): the raw HTML is not shuffled a second time.
