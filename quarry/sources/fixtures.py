@@ -47,10 +47,10 @@ def vector_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     is_query = (F.col("vec_id") % 10) == 0
     arts = emb.where(~is_query).select(F.col("vec_id").alias("article_id"), "embedding", "label")
     qs = emb.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    # Pairs sharing a label; label groups are large, AQE's skew-join split handles the hot ones.
-    pairs = qs.select("query_id", "label").join(arts.select("article_id", "label"), "label")
-    gt = _ids_string(pairs, "query_id", "article_id", "ground_truth")
-    queries = (qs.join(gt, "query_id", "left")
+    # One id list per label (it is every query's ground-truth string for that label), joined many-to-one
+    # to the queries: no (query, article) pairs are formed.
+    per_label = _ids_string(arts.select("label", "article_id"), "label", "article_id", "ground_truth")
+    queries = (qs.join(per_label, "label", "left")
                .select("query_id",
                        F.concat(F.lit("vector "), F.col("query_id").cast("string"), F.lit(" label "),
                                 F.col("label").cast("string")).alias("query_text"),
