@@ -923,4 +923,40 @@ def p8_render_ids(spark, sf_dir):
     return render_ids(ids, "query_id", "ids", _pages_titles(spark, sf_dir), "got")
 
 
+# ---------------------------------------------------------------- R1 pair scoring, V3, A5
+
+@register("r1_score_pairs", f"""WITH {SQL_V}
+SELECT query_id, article_id, round(score, 6) AS score, round(score, 6) AS gemm_score FROM v_top""")
+def r1_score_pairs(spark, sf_dir):
+    """R1 on given pairs: the top-10 pairs re-scored by the JVM dot product, beside the GEMM score."""
+    v, r = v_rankings(spark, sf_dir)
+    pairs = r.select("query_id", "article_id", F.col("score").alias("gemm_score"))
+    scored = rank.score_pairs(pairs.select("query_id", "article_id"), v.query_vectors, v.article_vectors)
+    return (scored.join(pairs, ["query_id", "article_id"])
+            .select("query_id", "article_id", _r6("score").alias("score"), _r6("gemm_score").alias("gemm_score")))
+
+
+@register("v3_per_query_ap", f"""{WITH_R}
+SELECT query_id, round(ap, 6) AS ap, {SQL_BUCKET} AS bucket FROM re_ap""")
+def v3_per_query_ap(spark, sf_dir):
+    """V3: the per-query AP table (one row per query id; duplicate ids are rejected up front)."""
+    ap = eval_r(spark, sf_dir).ap
+    return ap.select("query_id", _r6("ap").alias("ap"), ev.ap_bucket().alias("bucket"))
+
+
+@register("a5_analyze", f"""{WITH_T}, {SQL_ZERO},
+z AS (SELECT method, count(*)::BIGINT AS n_queries, count_if(ap = 0)::BIGINT AS n_zero FROM aps GROUP BY method),
+l AS (SELECT method, count(*)::BIGINT AS n_lengths, max(body_len)::BIGINT AS max_len FROM zlen GROUP BY method)
+SELECT z.method, z.n_queries, z.n_zero, coalesce(l.n_lengths, 0)::BIGINT AS n_lengths, l.max_len
+FROM z LEFT JOIN l USING (method)""")
+def a5_analyze(spark, sf_dir):
+    """A5: the full analysis of both text methods in one pass; two sections joined by method."""
+    fx, aps = text_ap(spark, sf_dir)
+    sec = an.analyze(aps, fx.queries, fx.articles)
+    st = sec["gt_length_stats"].select("method", F.col("n").alias("n_lengths"), "max_len")
+    return (sec["zero_split"].join(st, "method", "left")
+            .select("method", "n_queries", "n_zero", F.coalesce("n_lengths", F.lit(0)).cast("bigint").alias("n_lengths"),
+                    "max_len"))
+
+
 FLAGSHIP = "r5_answer"
