@@ -435,24 +435,24 @@ def sql_lenient(src: str) -> str:
 
 SQL_T_METHODS = (SQL_T + ", " + sql_hash("t_qv", "t_queries", "query_id", f"'{QUERY_INSTRUCTION}' || query_text")
                  + ", " + sql_hash("t_bv", "t_docs", "article_id", f"'{QUERY_INSTRUCTION}' || body")
-                 + ", " + sql_hash("t_hv", "t_docs", "article_id", "substr(body, 1, 1500)")
+                 + ", " + sql_hash("t_hv", "t_docs", "article_id", "body")
                  + ", " + sql_topk("t_top_body", "t_qv", "t_bv") + ", " + sql_topk("t_top_head", "t_qv", "t_hv")
                  + ", " + sql_eval("tb", "t_top_body", "t_queries", "t_docs")
                  + ", " + sql_eval("th", "t_top_head", "t_queries", "t_docs")
                  + ", aps AS (SELECT 'hash_body' AS method, query_id, ap FROM tb_ap UNION ALL "
-                   "SELECT 'hash_head' AS method, query_id, ap FROM th_ap)")
+                   "SELECT 'hash_plain' AS method, query_id, ap FROM th_ap)")
 WITH_T = f"WITH {SQL_T_METHODS}"
 
 
 def text_methods(spark, sf_dir, dim: int = HASH_DIM):
-    """Fixture T ranked two ways: prefixed query vs prefixed body, and vs the body head."""
+    """Fixture T ranked two ways: prefixed query vs prefixed body, and vs the plain body (no prefix)."""
     fx = fixtures.text_fixture(spark, sf_dir)
     qv = hashing_encode(fx.queries.select("query_id", with_prefix("query_text").alias("t")), "t", dim)
     body = hashing_encode(fx.articles.select("article_id", with_prefix("body").alias("t")), "t", dim)
-    head = hashing_encode(fx.articles.select("article_id", text_head("body").alias("t")), "t", dim)
+    plain = hashing_encode(fx.articles.select("article_id", F.col("body").alias("t")), "t", dim)
     qv = qv.select("query_id", "embedding")
     runs = {"hash_body": rank.block_top_k(body.select("article_id", "embedding"), qv, 10),
-            "hash_head": rank.block_top_k(head.select("article_id", "embedding"), qv, 10)}
+            "hash_plain": rank.block_top_k(plain.select("article_id", "embedding"), qv, 10)}
     return fx, runs
 
 
@@ -772,14 +772,14 @@ def v10_evaluate_run(spark, sf_dir):
 
 @register("v12_method_suite", f"{WITH_T} {sql_compare('SELECT method, ap FROM aps')}")
 def v12_method_suite(spark, sf_dir):
-    """V12 over fixture T: body and body-head methods run and compared from their written AP tables."""
+    """V12 over fixture T: prefixed-body and plain-body methods run and compared from their written AP tables."""
     fx = fixtures.text_fixture(spark, sf_dir)
     qv = hashing_encode(fx.queries.select("query_id", with_prefix("query_text").alias("t")), "t", HASH_DIM)
     body = hashing_encode(fx.articles.select("article_id", with_prefix("body").alias("t")), "t", HASH_DIM)
-    head = hashing_encode(fx.articles.select("article_id", text_head("body").alias("t")), "t", HASH_DIM)
+    plain = hashing_encode(fx.articles.select("article_id", F.col("body").alias("t")), "t", HASH_DIM)
     qv = qv.select("query_id", "embedding")
     configs = [EVR.MethodConfig("hash_body", body.select("article_id", "embedding"), qv),
-               EVR.MethodConfig("hash_head", head.select("article_id", "embedding"), qv)]
+               EVR.MethodConfig("hash_plain", plain.select("article_id", "embedding"), qv)]
     out = EVR.run_suite(configs, fx.queries, fx.articles, scratch_path(spark, "suite"))
     return out.select("method", _r6("map").alias("map"), "n_queries", "n_zero", "pct_zero", "n_bucket0", "pct_bucket0")
 

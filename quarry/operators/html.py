@@ -328,10 +328,11 @@ def assemble(t: DataFrame) -> DataFrame:
                                                          lambda x: x["tok"]), "").alias("html"))
 
 
-def clean_html(df: DataFrame, column: str = "body", id_col: str = "article_id", steps=None) -> DataFrame:
-    """``df`` with ``column`` cleaned; ``steps`` (names from STEPS) selects a subset, in order."""
-    steps = STEPS if steps is None else [s for s in STEPS if s in steps]
-    src = df.select(F.col(id_col).alias("_doc"), F.col(column).alias("_html"))
+# Substrings without which a step is the identity on a document (conservative: case-insensitive).
+STEP_MARKERS = {"spoilers": "spoiler", "tabsets": "tabset", "nested_tables": "<table", "empty_tables": "<table"}
+
+
+def _clean_tokens(src: DataFrame, steps) -> DataFrame:
     t = tokens(src.select("_doc", flat_rewrite(F.col("_html"), steps).alias("_html")), "_doc", "_html")
     simple = [s for s in steps if s in SIMPLE_STEPS]
     if len(simple) > 1:
@@ -339,7 +340,26 @@ def clean_html(df: DataFrame, column: str = "body", id_col: str = "article_id",
     for step in steps:
         if step in ELEMENT_STEPS and not (len(simple) > 1 and step in SIMPLE_STEPS):
             t = ELEMENT_STEPS[step](t)
-    cleaned = assemble(t).withColumnRenamed("doc", "_doc")
+    return assemble(t)
+
+
+def clean_html(df: DataFrame, column: str = "body", id_col: str = "article_id", steps=None) -> DataFrame:
+    """``df`` with ``column`` cleaned; ``steps`` (names from STEPS) selects a subset, in order.
+
+    Documents without any spoiler, tabset or table marker skip those steps (they are the identity there)
+    and so skip their window passes; the two groups are tokenised and shuffled separately, each only
+    with its own rows.
+    """
+    steps = STEPS if steps is None else [s for s in STEPS if s in steps]
+    src = df.select(F.col(id_col).alias("_doc"), F.col(column).alias("_html"))
+    markers = sorted({STEP_MARKERS[s] for s in steps if s in STEP_MARKERS})
+    if markers:
+        heavy = F.coalesce(F.lower(F.col("_html")).rlike("|".join(markers)), F.lit(False))
+        light_steps = [s for s in steps if s not in STEP_MARKERS]
+        cleaned = _clean_tokens(src.where(~heavy), light_steps).unionByName(_clean_tokens(src.where(heavy), steps))
+    else:
+        cleaned = _clean_tokens(src, steps)
+    cleaned = cleaned.withColumnRenamed("doc", "_doc")
     # Join back only the other columns (and a null flag): the raw HTML is not shuffled a second time.
     rest = df.select(*[F.col(c) for c in df.columns if c != column], F.col(column).isNull().alias("_null"))
     out = rest.join(cleaned, F.col(id_col) == F.col("_doc"), "left")
