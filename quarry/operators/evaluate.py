@@ -87,20 +87,25 @@ def best_queries(ap: DataFrame, n: int = 10) -> DataFrame:
     return _listed(top, [F.col("ap").asc(), F.col("query_id").asc()])
 
 
-def query_report(selected: DataFrame, queries: DataFrame, rankings: DataFrame, titles: DataFrame) -> DataFrame:
+def query_report(selected: DataFrame, queries: DataFrame, rankings: DataFrame, titles: DataFrame,
+                 max_rank: int = 10, n_selected: int = 10) -> DataFrame:
     """V5/V6 details: text, expected and returned ids rendered with titles.
 
+    ``selected`` holds at most ``n_selected`` queries (the n of worst/best_queries).
+
     Expected ids are the raw ground-truth tokens in their order (a NULL ground truth renders as '');
     returned ids are in rank order.
     """
     sel = selected.join(queries.select("query_id", "query_text", "ground_truth"), "query_id", "left")
     expected = sel.select("query_id", F.coalesce(split_ws("ground_truth"), F.array().cast("array<string>")).alias("ids"))
-    got = (rankings.join(selected.select("query_id"), "query_id", "left_semi")
+    got = (rankings.where(F.col("rank") <= max_rank).join(selected.select("query_id"), "query_id", "left_semi")
            .groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))),
                                                 lambda x: x["article_id"]).alias("ids")))
     got = selected.select("query_id").join(got, "query_id", "left")
+    # Returned ids are bounded by n_selected x max_rank, so their title lookup broadcasts the ids and
+    # streams the title table; ground-truth lists have no static bound and use a plain join.
     e = render_ids(expected, "query_id", "ids", titles, "expected")
-    g = render_ids(got, "query_id", "ids", titles, "got")
+    g = render_ids(got, "query_id", "ids", titles, "got", max_rows=n_selected * max_rank)
     return sel.join(e, "query_id", "left").join(g, "query_id", "left")
 
 
@@ -108,7 +113,7 @@ def worst_by_fp(stats: DataFrame, titles: DataFrame, n: int = 10) -> DataFrame:
     """V7: articles with the most false positives (retrieved - hits), only > 0; ties by article_id."""
     s = stats.withColumn("fp", F.col("retrieved") - F.col("hits")).where(F.col("fp") > 0)
     top = s.orderBy(F.col("fp").desc(), F.col("article_id").asc()).limit(n)
-    return with_titles(_listed(top, [F.col("fp").desc(), F.col("article_id").asc()]), titles)
+    return with_titles(_listed(top, [F.col("fp").desc(), F.col("article_id").asc()]), titles, max_rows=n)
 
 
 def worst_by_missed(stats: DataFrame, titles: DataFrame, n: int = 10) -> DataFrame:
@@ -116,7 +121,7 @@ def worst_by_missed(stats: DataFrame, titles: DataFrame, n: int = 10) -> DataFra
     s = (stats.withColumn("missed", F.col("relevant") - F.col("hits")).where(F.col("missed") > 0)
          .withColumn("recall", F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(F.lit(0.0))))
     top = s.orderBy(F.col("missed").desc(), F.col("article_id").asc()).limit(n)
-    return with_titles(_listed(top, [F.col("missed").desc(), F.col("article_id").asc()]), titles)
+    return with_titles(_listed(top, [F.col("missed").desc(), F.col("article_id").asc()]), titles, max_rows=n)
 
 
 def ap_bucket(ap_col="ap") -> F.Column:

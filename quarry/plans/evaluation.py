@@ -40,8 +40,8 @@ def evaluate(ranker: Ranker, article_vectors: DataFrame, queries: DataFrame, que
     report = {
         "summary": ev.mean_average_precision(ap).select(F.lit(method).alias("run"), "map", "n_queries"),
         "per_query_ap": ap,
-        "worst_queries": ev.query_report(ev.worst_queries(ap, n_report), queries, rankings, titles),
-        "best_queries": ev.query_report(ev.best_queries(ap, n_report), queries, rankings, titles),
+        "worst_queries": ev.query_report(ev.worst_queries(ap, n_report), queries, rankings, titles, k, n_report),
+        "best_queries": ev.query_report(ev.best_queries(ap, n_report), queries, rankings, titles, k, n_report),
         "worst_by_fp": ev.worst_by_fp(stats, titles, n_report),
         "worst_by_missed": ev.worst_by_missed(stats, titles, n_report),
         "ap_distribution": ev.ap_distribution(ap),
