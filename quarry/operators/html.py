@@ -59,20 +59,37 @@ FLAT_STEPS = {
     "headline_chunk": [(r"(?i)</?(headline|chunk)\b[^>]*>", "")],
 }
 
+_CACHE: dict = {}
+
+
+def _cached(name: str, build):
+    """One JVM object per active Spark context for specs and predicates used dozens of times per plan
+    (each build is several py4j calls; the objects are immutable and safe to share between plans)."""
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), name)
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
 def _w_doc():
-    return Window.partitionBy("doc").orderBy("pos")
+    return _cached("w_doc", lambda: Window.partitionBy("doc").orderBy("pos"))
 
 
 def _run():
-    return _w_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _cached("run", lambda: _w_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def _before():
-    return _w_doc().rowsBetween(Window.unboundedPreceding, -1)
+    return _cached("before", lambda: _w_doc().rowsBetween(Window.unboundedPreceding, -1))
 
 
 def _pair():
-    return Window.partitionBy("doc", "name", "depth").orderBy("pos")
+    return _cached("pair", lambda: Window.partitionBy("doc", "name", "depth").orderBy("pos"))
+
+
+def _is(kind: str) -> Column:
+    return _cached("kind_" + kind, lambda: F.col("kind") == kind)
 
 
 def flat_rewrite(col: Column, steps) -> Column:
@@ -109,19 +126,19 @@ def tokens(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     t = t.select("doc", "pos", "tok", kind.alias("kind"), F.when(openlike | tok.startswith("</"), name).alias("name"),
                  F.when(kind == "open", mask).otherwise(F.lit(0)).alias("cls"),
                  ((kind == "text") & ~blank).cast("int").alias("nbk"))
-    delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    delta = F.when(_is("open"), 1).when(_is("close"), -1).otherwise(0)
     run = F.sum(delta).over(Window.partitionBy("doc", "name").orderBy("pos")
                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumn("depth", F.when(F.col("kind") == "open", run).when(F.col("kind") == "close", run + 1))
-    nxt_open = (F.col("kind") == "open") & (F.lead("kind").over(_pair()) == "close")
-    prv_close = (F.col("kind") == "close") & (F.lag("kind").over(_pair()) == "open")
+    t = t.withColumn("depth", F.when(_is("open"), run).when(_is("close"), run + 1))
+    nxt_open = _is("open") & (F.lead("kind").over(_pair()) == "close")
+    prv_close = _is("close") & (F.lag("kind").over(_pair()) == "open")
     return (t.withColumn("partner", F.when(nxt_open, F.lead("pos").over(_pair())).when(prv_close, F.lag("pos").over(_pair())))
              .withColumn("cls", F.when(prv_close, F.lag("cls").over(_pair())).otherwise(F.col("cls"))))
 
 
 def _paired() -> Column:
     """The tag's partner is still its neighbour in the (doc, tag, depth) sequence."""
-    adj = F.when(F.col("kind") == "open", F.lead("pos").over(_pair())).when(F.col("kind") == "close", F.lag("pos").over(_pair()))
+    adj = F.when(_is("open"), F.lead("pos").over(_pair())).when(_is("close"), F.lag("pos").over(_pair()))
     return F.col("partner").isNotNull() & (adj == F.col("partner"))
 
 
@@ -136,21 +153,21 @@ def _nonblank() -> Column:
 def _with_emptiness(t: DataFrame) -> DataFrame:
     """Adds _ok (pair intact) and _empty (no non-blank text between the pair) on both ends of each pair."""
     t = t.withColumn("_nb", F.sum("nbk").over(_run()))
-    other = F.when(F.col("kind") == "open", F.lead("_nb").over(_pair())).when(F.col("kind") == "close", F.lag("_nb").over(_pair()))
+    other = F.when(_is("open"), F.lead("_nb").over(_pair())).when(_is("close"), F.lag("_nb").over(_pair()))
     return t.withColumn("_ok", _paired()).withColumn("_empty", F.col("_ok") & (other == F.col("_nb")))
 
 
 def _cover(t: DataFrame, sel: Column, out: str) -> DataFrame:
     """out > 0 on every token from a selected open to its close, both included (sel holds on both ends)."""
-    start = F.when(sel & (F.col("kind") == "open"), 1).otherwise(0)
-    end = F.when(sel & (F.col("kind") == "close"), 1).otherwise(0)
+    start = F.when(sel & _is("open"), 1).otherwise(0)
+    end = F.when(sel & _is("close"), 1).otherwise(0)
     return t.withColumn(out, F.sum(start).over(_run()) - F.coalesce(F.sum(end).over(_before()), F.lit(0)))
 
 
 def _enclosing(t: DataFrame, sel: Column, out: str) -> DataFrame:
     """out = open position of the selected element around each token (its own two tags included)."""
     t = _cover(t, sel, "_cv_" + out)
-    last_open = F.last(F.when(sel & (F.col("kind") == "open"), F.col("pos")), ignorenulls=True).over(_run())
+    last_open = F.last(F.when(sel & _is("open"), F.col("pos")), ignorenulls=True).over(_run())
     return t.withColumn(out, F.when(F.col("_cv_" + out) > 0, last_open)).drop("_cv_" + out)
 
 
@@ -175,7 +192,7 @@ def unwrap_factoids(t: DataFrame) -> DataFrame:
     """H8: drop the tags of divs whose class list holds the token 'factoid'; the content stays."""
     t = t.withColumn("_ok", _paired())
     is_f = (F.col("name") == "div") & _has("factoid")
-    drop = is_f & ((F.col("kind") == "open") | ((F.col("kind") == "close") & F.col("_ok")))
+    drop = is_f & (_is("open") | (_is("close") & F.col("_ok")))
     return _drop_cols(t.where(~drop))
 
 
@@ -197,7 +214,7 @@ def clean_spoilers(t: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc", "_sp")
     full = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     in_sp = F.col("_sp").isNotNull() & (F.col("pos") != F.col("_sp"))
-    is_open = (F.col("kind") == "open") & F.col("_ok") & in_sp
+    is_open = _is("open") & F.col("_ok") & in_sp
 
     def first_el(token):
         return F.min(F.when(is_open & _has(token), F.struct("pos", "partner"))).over(w)
@@ -223,7 +240,7 @@ def clean_tabsets(t: DataFrame) -> DataFrame:
     t = t.withColumn("_ok", _paired())
     t = _enclosing(t, (F.col("name") == "div") & _has("tabset") & F.col("_ok"), "_ts")
     in_ts = F.col("_ts").isNotNull() & (F.col("pos") != F.col("_ts"))
-    opened = (F.col("kind") == "open") & F.col("_ok") & in_ts
+    opened = _is("open") & F.col("_ok") & in_ts
     is_panel = (F.col("name") == "div") & _has("tab-panel")
     is_label = (F.col("name") == "label") & _has("tab-label")
     t = _enclosing(t, is_panel & F.col("_ok") & F.col("_ts").isNotNull(), "_pn")
@@ -244,13 +261,13 @@ def clean_tabsets(t: DataFrame) -> DataFrame:
     t = t.withColumn("_pi", F.when(panel_open, F.count(F.when(panel_open, 1)).over(
         w_ts.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     inside_pn = F.col("_pn").isNotNull() & (F.col("pos") != F.col("_pn")) & ~(
-        (F.col("kind") == "close") & (F.col("partner") == F.col("_pn")))
+        _is("close") & (F.col("partner") == F.col("_pn")))
     t = t.withColumn("_kids", F.count(F.when(inside_pn, 1)).over(w_pn))
     title = F.when(F.col("_pi") <= F.size("_labels"), F.element_at("_labels", F.col("_pi").cast("int"))).otherwise(F.lit(""))
     head = panel_open & (F.col("_kids") > 0) & (title != "")
     unwrap = F.col("_np") == 0
     keep = (F.col("_ts").isNull()
-            | (unwrap & (F.col("pos") != F.col("_ts")) & ~((F.col("kind") == "close") & (F.col("partner") == F.col("_ts"))))
+            | (unwrap & (F.col("pos") != F.col("_ts")) & ~(_is("close") & (F.col("partner") == F.col("_ts"))))
             | (~unwrap & ((inside_pn & (F.col("_kids") > 0)) | head)))
     t = t.withColumn("_title", title).where(keep)
     t = (t.withColumn("tok", F.when(head, _heading(F.col("_title"))).otherwise(F.col("tok")))
@@ -277,7 +294,7 @@ def flatten_nested_tables(t: DataFrame) -> DataFrame:
 def body_children(t: DataFrame) -> DataFrame:
     """The tokens inside the first <body>, or the whole document when there is none."""
     full = _w_doc().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("_bo", F.min(F.when((F.col("name") == "body") & (F.col("kind") == "open"), F.col("pos"))).over(full))
+    t = t.withColumn("_bo", F.min(F.when((F.col("name") == "body") & _is("open"), F.col("pos"))).over(full))
     t = t.withColumn("_ok", _paired())
     t = t.withColumn("_bc", F.first(F.when((F.col("pos") == F.col("_bo")) & F.col("_ok"), F.col("partner")),
                                     ignorenulls=True).over(full))
@@ -305,7 +322,7 @@ def simple_steps(t: DataFrame, steps) -> DataFrame:
         keep = keep & ((F.col("_in") == 0) | F.col("kind").isin("text", "html"))
     if "factoids" in steps:
         is_f = (F.col("name") == "div") & _has("factoid")
-        keep = keep & ~(is_f & ((F.col("kind") == "open") | ((F.col("kind") == "close") & F.col("_ok"))))
+        keep = keep & ~(is_f & (_is("open") | (_is("close") & F.col("_ok"))))
     return _drop_cols(t.where(keep))
 
 
