@@ -133,16 +133,27 @@ def _to_matrix(block: DataFrame, id_col: str, emb_col: str, dim: int):
 
 
 def block_top_k(articles: DataFrame, queries: DataFrame, k: int = 10, *, article_id: str = "article_id",
-                query_id: str = "query_id", emb_col: str = "embedding", block_bytes: int | None = None) -> DataFrame:
+                query_id: str = "query_id", emb_col: str = "embedding", block_bytes: int | None = None,
+                max_tasks: int | None = None) -> DataFrame:
     """R1+R2+R3: exact top-k articles per query by dot product.
 
     Returns (query_id, rank, article_id, score); k > number of articles returns all of them.
+
+    Every GEMM task emits |query block| x k candidates however much of the corpus it read, so the
+    shuffle before the final top-k scales with the number of tasks. ``max_tasks`` (or the session
+    setting ``quarry.rank.maxTasks``) merges input splits without a shuffle (``coalesce``) so that one
+    task keeps one running top-k across many splits; leave it unset while splits are already large.
     """
     spark = articles.sparkSession
     if block_bytes is None:
         block_bytes = int(spark.conf.get("quarry.rank.blockBytes", str(DEFAULT_BLOCK_BYTES)))
+    if max_tasks is None:
+        conf = spark.conf.get("quarry.rank.maxTasks", None)
+        max_tasks = int(conf) if conf else None
     arts = articles.select(F.col(article_id).cast("bigint").alias("article_id"),
                            F.col(emb_col).alias("embedding"))
+    if max_tasks:
+        arts = arts.coalesce(max_tasks)
     dim, blocks = _query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(emb_col).alias("embedding")),
                                 "query_id", "embedding", block_bytes)
     partials = []

@@ -32,6 +32,8 @@ def test_block_ranker_equals_brute_force_with_ties(spark):
     assert _ranked(rank.block_top_k(a, q, 5)) == want
     # many small query blocks (the beyond-budget path) give the same answer
     assert _ranked(rank.block_top_k(a, q, 5, block_bytes=8 * 8 * 2)) == want
+    # fewer, larger GEMM tasks (running top-k across merged splits) give the same answer
+    assert _ranked(rank.block_top_k(a.repartition(6), q, 5, max_tasks=2)) == want
     ranked = _ranked(rank.block_top_k(a, q, 5))[200]
     tie = [i for i, x in enumerate(ranked) if x in (5, 17, 23)]
     assert [ranked[i] for i in tie] == [5, 17, 23] and tie == list(range(tie[0], tie[0] + 3))
