@@ -12,14 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.answer import answer_queries
+from quarry.plans.answer import answer_queries, hashing_embedder
+from quarry.plans.evaluation import materialize
 from quarry.sources.tables import QUERY_SCHEMA
 
 
 def answer_stream(spark: SparkSession, queries_path: str, articles: DataFrame, out_path: str, checkpoint: str,
                   article_vectors: DataFrame | None = None, embed=None, k: int = 10, max_files: int = 1,
                   available_now: bool = True):
-    """Start the stream; returns the StreamingQuery. ``articles`` holds (article_id, title)."""
+    """Start the stream; returns the StreamingQuery. ``articles`` holds (article_id, title).
+
+    Article title vectors are encoded once, before the stream starts, and written to the shared
+    checkpoint folder; every micro-batch ranks its queries against that table instead of encoding the
+    corpus again.
+    """
+    if article_vectors is None:
+        enc = (embed or hashing_embedder())(articles.select("article_id", F.col("title").alias("_t")), "_t")
+        article_vectors = materialize(enc.select("article_id", "embedding"), "stream-article-vectors")
     stream = (spark.readStream.schema(QUERY_SCHEMA).option("maxFilesPerTrigger", max_files)
               .parquet(queries_path))
 
