@@ -35,7 +35,7 @@ MEMO = 200_000
 MAGIC = b"PFR1"
 
 #: White space of Unicode as the tokenizer's own patterns have it (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 # ---------------------------------------------------------------- patched frame of reference
