@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, mixing, sharding, tokens
+from quarry.llm import bpe, mixing, near_dedup, sharding, tokens
 
-QUERIES = {f.__name__: f for f in (sharding.op1_sharding, tokens.op2_token_files, mixing.op6_mixing, bpe.op7_bpe)}
+QUERIES = {f.__name__: f for f in (sharding.op1_sharding, tokens.op2_token_files, near_dedup.op3_near_dedup, mixing.op6_mixing, bpe.op7_bpe)}
 ORACLE = {**sharding.ORACLE}
