@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, mixing, near_dedup, quality, sharding, tokens
+from quarry.llm import ann, bpe, chat, mixing, near_dedup, quality, sharding, tokens
 
-QUERIES = {f.__name__: f for f in (sharding.op1_sharding, tokens.op2_token_files, near_dedup.op3_near_dedup, quality.op5_quality, mixing.op6_mixing, bpe.op7_bpe)}
-ORACLE = {**sharding.ORACLE}
+QUERIES = {f.__name__: f for f in (sharding.op1_sharding, tokens.op2_token_files, near_dedup.op3_near_dedup, ann.op4_nearest, quality.op5_quality, mixing.op6_mixing, bpe.op7_bpe, chat.op10_chat)}
+ORACLE = {**sharding.ORACLE, **chat.ORACLE}
