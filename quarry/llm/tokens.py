@@ -6,8 +6,9 @@ writes to will do, and a lost task leaves nothing behind). All integers are litt
     magic "PFR1"; u32 documents; u32 ids; u64 ids before this segment within its part
     three packed columns: doc ids (as u64 differences to the first, which follows as i64), ids per document, ids
     a packed column: u32 values; u32 blocks; per block u32 byte offset of the block (the index of block starts)
-    a block of up to 512 values: u64 minimum; u8 width; u16 exceptions; the values less the minimum in `width`
-      bits each, low bits first; then the exceptions: u16 position and u64 value less the minimum
+    a block of 512 values (the last one repeats its last value): u64 minimum; u8 width; u16 exceptions; the low
+      `width` bits of each value less the minimum, high bits first; then the exceptions: u16 position and u64
+      value less the minimum
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ PERCENTILE = 0.9
 #: A segment is closed once it holds this many ids.
 SEGMENT_IDS = 1 << 20
 #: Distinct chunks remembered by a worker (two generations of this size).
-MEMO = 200_000
+MEMO = 400_000
 MAGIC = b"PFR1"
 
 #: White space of Unicode as the tokenizer's own patterns have it (fixed values).
@@ -42,13 +44,29 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits needed by each value (0 for 0)."""
-    out = np.zeros(values.shape, dtype=np.uint8)
-    v = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = v >= (np.uint64(1) << np.uint64(step))
-        out[big] += step
-        v[big] >>= np.uint64(step)
-    return out + (v > 0)
+    high = values >> np.uint64(32)
+    bits = np.frexp(np.where(high > 0, high, values).astype(np.float64))[1]  # exact: both halves are below 2 ** 53
+    return np.where(high > 0, bits + 32, bits).astype(np.int64)
+
+
+def _word(width: int) -> np.dtype:
+    """The smallest big-endian unsigned integer that holds ``width`` bits."""
+    return np.dtype(f">u{1 if width <= 8 else 2 if width <= 16 else 4 if width <= 32 else 8}")
+
+
+def _spread(starts: np.ndarray, size: int) -> np.ndarray:
+    return starts[:, None] + np.arange(size)
+
+
+def _exception_places(starts: np.ndarray, width: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Byte places of all exceptions, block by block."""
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(starts + _HEAD + width * (BLOCK // 8), count) + within * _EXC.itemsize
+
+
+_EXC = np.dtype([("p", "<u2"), ("v", "<u8")])
+_HEADER = np.dtype([("low", "<u8"), ("width", "u1"), ("exceptions", "<u2")])
+_HEAD = _HEADER.itemsize
 
 
 def pack_column(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -62,61 +80,62 @@ def pack_column(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = padded.min(axis=1)
     rest = padded - low[:, None]
     need = _bits(rest)
-    width = np.sort(need, axis=1)[:, min(BLOCK - 1, int(percentile * BLOCK))]
-    # exceptions cost 10 bytes each; where packing everything is smaller, the block has none
-    widest = need.max(axis=1)
-    patched = (need > width[:, None]).sum(axis=1) * 80 + width.astype(np.int64) * BLOCK
-    width = np.where(patched < widest.astype(np.int64) * BLOCK, width, widest)
-    body: list[bytes | None] = [None] * blocks
-    for w in np.unique(width):
-        which = np.flatnonzero(width == w)
-        part = rest[which]
-        over = need[which] > w
+    at = min(BLOCK - 1, int(percentile * BLOCK))
+    width, widest = np.partition(need, at, axis=1)[:, at], need.max(axis=1)
+    # where packing everything at the widest is smaller than patching, the block has no exceptions
+    patched = (need > width[:, None]).sum(axis=1) * _EXC.itemsize * 8 + width * BLOCK
+    width = np.where(patched < widest * BLOCK, width, widest)
+    over = need > width[:, None]
+    header = np.zeros(blocks, dtype=_HEADER)
+    header["low"], header["width"], header["exceptions"] = low, width, over.sum(axis=1)
+    sizes = _HEAD + width * (BLOCK // 8) + header["exceptions"].astype(np.int64) * _EXC.itemsize
+    starts = np.cumsum(sizes) - sizes
+    body = np.zeros(int(sizes.sum()), dtype=np.uint8)
+    body[_spread(starts, _HEAD)] = header.view(np.uint8).reshape(blocks, _HEAD)
+    for w in np.unique(width).tolist():
         if w:
-            planes = ((part[:, :, None] >> np.arange(w, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            packed = np.packbits(planes.reshape(len(which), -1), axis=1, bitorder="little")
-        for k, b in enumerate(which):
-            at = np.flatnonzero(over[k])
-            exc = np.empty(len(at), dtype=[("p", "<u2"), ("v", "<u8")])
-            exc["p"], exc["v"] = at, part[k][at]
-            body[b] = struct.pack("<QBH", int(low[b]), int(w), len(at)) + (packed[k].tobytes() if w else b"") + exc.tobytes()
-    starts = np.cumsum([0] + [len(b) for b in body[:-1]], dtype=np.uint32)
-    return struct.pack("<II", n, blocks) + starts.astype("<u4").tobytes() + b"".join(body)
-
-
-def _block(data: memoryview, at: int) -> np.ndarray:
-    low, w, n_exc = struct.unpack_from("<QBH", data, at)
-    at += 11
-    size = w * BLOCK // 8
-    if w:
-        planes = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little").reshape(BLOCK, w)
-        wide = np.zeros((BLOCK, -(-w // 8) * 8), dtype=np.uint8)
-        wide[:, :w] = planes
-        by = np.packbits(wide, axis=1, bitorder="little")
-        full = np.zeros((BLOCK, 8), dtype=np.uint8)
-        full[:, :by.shape[1]] = by
-        out = full.view("<u8").reshape(BLOCK).copy()
-    else:
-        out = np.zeros(BLOCK, dtype=np.uint64)
-    exc = np.frombuffer(data, [("p", "<u2"), ("v", "<u8")], n_exc, at + size)
-    out[exc["p"]] = exc["v"]
-    return out + np.uint64(low)
+            which = np.flatnonzero(width == w)
+            word = _word(w)
+            bits = np.unpackbits(rest[which].astype(word).view(np.uint8).reshape(len(which), BLOCK, word.itemsize), axis=2)
+            body[_spread(starts[which] + _HEAD, w * (BLOCK // 8))] = np.packbits(
+                bits[:, :, word.itemsize * 8 - w:].reshape(len(which), -1), axis=1)
+    block, place = np.nonzero(over)
+    if len(block):
+        exc = np.empty(len(block), dtype=_EXC)
+        exc["p"], exc["v"] = place, rest[block, place]
+        places = _exception_places(starts, width, header["exceptions"].astype(np.int64))
+        body[_spread(places, _EXC.itemsize)] = exc.view(np.uint8).reshape(-1, _EXC.itemsize)
+    return struct.pack("<II", n, blocks) + starts.astype("<u4").tobytes() + body.tobytes()
 
 
 def unpack_column(data: memoryview, at: int, first: int = 0, count: int | None = None) -> tuple[np.ndarray, int]:
-    """Values ``first`` .. ``first + count`` of the column at ``at``, reached by the block index, and the
-    column's end (of a whole read; a partial read returns the end of what it read)."""
+    """Values ``first`` .. ``first + count`` of the column at ``at``, reached by the block index, and where the last
+    block read ends (the end of the column, when it is read whole)."""
     n, blocks = struct.unpack_from("<II", data, at)
-    starts = np.frombuffer(data, "<u4", blocks, at + 8)
     base = at + 8 + 4 * blocks
     if not n:
         return np.zeros(0, dtype=np.uint64), base
     stop = n if count is None else min(n, first + count)
-    b0, b1 = first // BLOCK, -(-stop // BLOCK)
-    got = np.concatenate([_block(data, base + int(starts[b])) for b in range(b0, b1)]) if b1 > b0 else np.zeros(0, np.uint64)
-    last = base + int(starts[b1 - 1]) if b1 else base
-    _, w, n_exc = struct.unpack_from("<QBH", data, last)
-    return got[first - b0 * BLOCK:stop - b0 * BLOCK], last + 11 + w * BLOCK // 8 + 10 * n_exc
+    b0, b1 = first // BLOCK, max(-(-stop // BLOCK), first // BLOCK + 1)
+    starts = base + np.frombuffer(data, "<u4", blocks, at + 8)[b0:b1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    header = raw[_spread(starts, _HEAD)].view(_HEADER)[:, 0]
+    width, exceptions = header["width"].astype(np.int64), header["exceptions"].astype(np.int64)
+    out = np.zeros((len(starts), BLOCK), dtype=np.uint64)
+    for w in np.unique(width).tolist():
+        if w:
+            which = np.flatnonzero(width == w)
+            word = _word(w)
+            bits = np.unpackbits(raw[_spread(starts[which] + _HEAD, w * (BLOCK // 8))], axis=1)
+            wide = np.zeros((len(which), BLOCK, word.itemsize * 8), dtype=np.uint8)
+            wide[:, :, word.itemsize * 8 - w:] = bits.reshape(len(which), BLOCK, w)
+            out[which] = np.packbits(wide, axis=2).view(word)[:, :, 0]
+    if exceptions.any():
+        exc = raw[_spread(_exception_places(starts, width, exceptions), _EXC.itemsize)].view(_EXC)[:, 0]
+        out[np.repeat(np.arange(len(starts)), exceptions), exc["p"]] = exc["v"]
+    out += header["low"][:, None]
+    end = int(starts[-1] + _HEAD + width[-1] * (BLOCK // 8) + exceptions[-1] * _EXC.itemsize)
+    return out.ravel()[first - b0 * BLOCK:stop - b0 * BLOCK], end
 
 
 def write_segment(doc_ids: list[int], counts: list[int], ids: np.ndarray, before: int) -> bytes:
@@ -140,42 +159,73 @@ def read_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
 
 # ---------------------------------------------------------------- encoding
 
+class Memo(dict):
+    """What ``learn`` gives for a key, remembered for the last ``size`` to ``2 * size`` distinct keys."""
+
+    def __init__(self, learn, size: int):
+        super().__init__()
+        self.learn, self.size, self.old = learn, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        if got is None:
+            got = self.learn(key)
+        self[key] = got
+        return got
+
+
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, which sees every distinct chunk once.
+    """Ids of whole texts by the tokenizers library, which sees every distinct piece once.
 
     A chunk is a run of white space with the run of other characters after it. The tokenizer's own splitting
     never joins a character to white space that follows it, and looks no further ahead than the next
-    character that isn't white space, so the ids of a text are those of its chunks, one after another.
+    character that isn't white space, so the ids of a text are those of its chunks, one after another. A plain
+    chunk (at most one space or newline, then letters, then marks other than an apostrophe) is split here as the
+    tokenizer's pattern does, and its pieces go to the library's model; every other chunk goes through the whole of the
+    library.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo, self.new, self.old = memo, {}, {}
+        self.model = self.tok.model
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        # the library's name of every byte up to 0xDF; higher bytes are named by themselves
+        some = "".join(map(chr, range(2048)))
+        self.names = dict(zip(some.encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(some)[0][0]))
+        byte_level = isinstance(self.tok.pre_tokenizer, ByteLevel) and self.tok.normalizer is None
+        self.plain = re.compile(r"([ \n]?)([^\W\d_]*)((?:[^\w\s'\x1c-\x1f]|_)*)").fullmatch if byte_level else lambda chunk: None
+        self.pieces = Memo(self._piece, memo // 2)
+        self.known = Memo(self._chunk, memo)
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
 
-    def _learn(self, missing: Iterable[str]) -> None:
-        todo = []
-        for c in missing:
-            if c in self.old:
-                self.new[c] = self.old[c]
-            else:
-                todo.append(c)
-        for k in range(0, len(todo), 4096):
-            some = todo[k:k + 4096]
-            for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                self.new[c] = np.array(e.ids, dtype="<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        name = piece.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = self.plain(chunk)
+        if m:
+            first, word, marks = m.groups()
+            if (word.isalpha() or not word and marks) and not any(map(chunk.__contains__, self.added)):
+                got = b""
+                if first == "\n":
+                    got, first = self.pieces[first], ""
+                if word:
+                    got, first = got + self.pieces[first + word], ""
+                return got + self.pieces[first + marks] if marks else got
+        return array("I", self.tok.encode_batch_fast([chunk], add_special_tokens=False)[0].ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        chunks = self.chunks(text)
-        if len(self.new) > self.memo:
-            self.old, self.new = self.new, {}
-        self._learn(set(chunks).difference(self.new))
-        return b"".join(map(self.new.__getitem__, chunks))
+        """The ids as unsigned 32-bit integers of the machine (little-endian wherever Spark runs on x86 or ARM)."""
+        return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
 
 def encode_to_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id",
