@@ -48,9 +48,9 @@ def source_targets(sizes: DataFrame, cycle=CYCLE, share: float = SHARE, max_epoc
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             keep: list[str] = (), weight: Column | None = None, cycle=CYCLE, share: float = SHARE,
+             weight: Column | None = None, cycle=CYCLE, share: float = SHARE,
              max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """How many times the mix takes each row: doc_id, size, source_size, target, copies, taken (and ``keep``).
+    """How many times the mix takes each row: doc_id, size, source_size, target, taken, copies, source, text_hash.
 
     A row's key is -ln(u) / weight with u drawn from a hash of (seed, id, text), so reruns agree and an order
     by key is a weighted sample without replacement. A source first gives its complete epochs; the rest of
@@ -60,27 +60,54 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Defined cases: null text has size 0; a null source is a source of its own and comes last; null ids are
     hashed like any value; rows that tie are separated by their place in the input; a source of size 0
-    has target 0 and its rows are copied as often as its epochs (0); an empty table gives no rows.
+    has target 0 and its rows are not copied; an empty table gives no rows.
     """
     text = F.col(text_col)
-    src = columns(docs, *dict.fromkeys([id_col, text_col, source_col, *keep]))
+    src = columns(docs, *dict.fromkeys([id_col, text_col, source_col]))
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(text.cast("binary"))), 11)
     u = (h + F.lit(1)) / F.lit(float(2 ** 53))
     rows = src.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
                       (-F.log(u) / (weight if weight is not None else quality_weight(text))).alias("key"),
-                      *[F.col(c).alias(f"_k_{c}") for c in keep])
-    placed = ordered_totals(rows, ["key", "doc_id"], ["size"], group=["source"], name="op6-sizes")
-    targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, max_epochs)
-    targets = targets.withColumnRenamed("source", "_source")
+                      text_hash(text).alias("text_hash"))
+    placed = ordered_totals(rows, ["key", "doc_id", "text_hash"], ["size"], group=["source"], name="op6-sizes")
+    placed = placed.withColumnRenamed("_total_size", "source_size")
+    targets = source_targets(rows_by_source(placed), cycle, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")
     extra = ((F.col("size") > 0) & (F.col("_before_size") + F.col("size") / 2.0 <= rest)).cast("long")
     copies = (epochs + F.least(extra, F.lit(int(max_epochs)) - epochs)).cast("long")
+    targets = targets.select(F.col("source").alias("_source"), "target")
     return (placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
             .withColumn("copies", copies)
             .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
-                    *[F.col(f"_k_{c}").alias(c) for c in keep if c not in ("doc_id",)]))
+                    "source", "text_hash"))
+
+
+def rows_by_source(placed: DataFrame) -> DataFrame:
+    """One row per source, with its size."""
+    return placed.groupBy("source").agg(F.max("source_size").alias("source_size"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with every row repeated as often as the mix takes it (0, 1 or more times), all columns kept.
+
+    Rows that agree in id, text and source are one row here, repeated as often as the mix takes them together.
+    """
+    taken = mix_rows(docs, id_col, text_col, source_col, **options).filter("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s")).agg(
+        F.sum("copies").alias("_copies"))
+    marked = docs.withColumn("_text_hash", text_hash(docs[text_col]))
+    same = (marked[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
+            & marked[source_col].eqNullSafe(F.col("_s")))
+    one = Window.partitionBy("_id", "_h", "_s").orderBy("_id")
+    return (marked.join(taken, same).withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+            .select(*[marked[c] for c in docs.columns]))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

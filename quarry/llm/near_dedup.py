@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, columns, groups, materialize, read, string_column
@@ -277,7 +277,8 @@ def _key(values: np.ndarray) -> bytes:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Link documents whose sets of ``k``-word shingles have at least ``percent`` % of their union in common, and
-    return per row: doc_id, n_shingles, component_id (smallest id reachable), kept (it is that one).
+    return per row: doc_id, n_shingles, component_id (smallest id reachable), kept (it is that one), text_hash, and
+    stays (it is the first row of its component, also where ids repeat).
 
     Defined cases: null and empty texts and texts of white space have an empty set and stay alone; a text with
     fewer than ``k`` words is one shingle; rows with equal sets share a component; rows that repeat an id
@@ -287,22 +288,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     similarity = percent / 100.0
-    docs = columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                                                  text_hash(F.col(text_col)).alias("text_hash"))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             sets = [shingle_set(t, k, hashes) for t in string_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_key(s) for s in sets], pa.binary()),
                  pa.array([min_tokens(s).astype("<u4").tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n", "set_key", "tokens"])
+                names=["doc_id", "text_hash", "n", "set_key", "tokens"])
 
-    embedded = materialize(docs.mapInArrow(embed, "doc_id long, n long, set_key binary, tokens binary"), "op3-sets")
+    embedded = materialize(docs.mapInArrow(embed, "doc_id long, text_hash long, n long, set_key binary, tokens binary"),
+                           "op3-sets")
     full = embedded.filter("n > 0")
-    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+    # the first document of a group: null ids last, then the smallest id, set and text
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key", "text_hash")
+    classes = materialize(full.groupBy("set_key").agg(F.min(first).alias("first"), F.first("n").alias("n"),
                                                       F.first("tokens").alias("tokens"))
+                          .select("set_key", "first", F.col("first.doc_id").alias("doc_id"), "n", "tokens")
                           .withColumn("cls", F.monotonically_increasing_id()), "op3-classes")
 
     edges, comp, start = None, None, 0
@@ -319,13 +325,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         edges = links if edges is None else edges.union(links)
         comp = components(edges, "op3-comp")
 
-    named = classes.select("cls", "set_key", "doc_id").join(comp, F.col("cls") == F.col("v"), "left")
-    named = named.select("set_key", "doc_id", F.coalesce("label", "cls").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "label").select("set_key", "component_id")
-    alone = embedded.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    grouped = full.select("doc_id", "n", "set_key").join(by_set, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.select("cls", "set_key", "first").join(comp, F.col("cls") == F.col("v"), "left")
+    named = named.select("set_key", "first", F.coalesce("label", "cls").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("_first"))
+    by_set = named.join(least, "label").select("set_key", F.col("_first.doc_id").alias("component_id"),
+                                               F.col("_first.set_key").alias("_set"), F.col("_first.text_hash").alias("_text"))
+    mine = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash"]
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    grouped = full.select("doc_id", "n", "set_key", "text_hash").join(by_set, "set_key").select(
+        *mine, kept.alias("kept"), (kept & (F.col("set_key") == F.col("_set")) & (F.col("text_hash") == F.col("_text"))).alias("stays"))
+    alone = embedded.filter("n = 0").withColumn("component_id", F.col("doc_id")).select(
+        *mine, F.lit(True).alias("kept"), F.lit(True).alias("stays"))
+    return grouped.union(alone).select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "stays")
+
+
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, all columns kept.
+
+    The first row stays: by id, then by a hash of the set and of the text. Rows that repeat both id and text are one
+    document; null ids are matched as values.
+    """
+    stays = near_duplicates(docs, k, percent, id_col, text_col).filter("stays").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    marked = docs.withColumn("_text_hash", text_hash(docs[text_col]))
+    same = marked[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
+    one = Window.partitionBy(id_col, "_text_hash").orderBy(id_col)
+    return (marked.join(stays, same, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+            .select(*[marked[c] for c in docs.columns]))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

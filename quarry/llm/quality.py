@@ -191,6 +191,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, max_bytes
     return fit(x, per, y)
 
 
+def document_scores(texts: list[str], field: LineField | None) -> np.ndarray:
+    """Mean of the good marginals of each text's lines, weighted by their bytes (and one for the line's end)."""
+    if field is None:
+        return np.full(len(texts), 0.5)
+    x, size, per = line_features(texts)
+    weight, at = size + 1.0, np.cumsum(per) - per
+    return (np.add.reduceat(field.marginals(x, per) * weight, at) / np.add.reduceat(weight, at)).clip(0.0, 1.0)
+
+
 def score(docs: DataFrame, field: LineField | None, threshold: float = THRESHOLD, id_col: str = "doc_id",
           text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """doc_id, score, predicted (and the columns named by ``keep``) for every row.
@@ -208,14 +217,7 @@ def score(docs: DataFrame, field: LineField | None, threshold: float = THRESHOLD
         for big in batches:
             for k in range(0, big.num_rows, 200):
                 batch = big.slice(k, 200)
-                texts = string_column(batch, "_text")
-                x, size, per = line_features(texts)
-                if field is None:
-                    scores = np.full(len(texts), 0.5)
-                else:
-                    weight = size + 1.0
-                    at = np.cumsum(per) - per
-                    scores = (np.add.reduceat(field.marginals(x, per) * weight, at) / np.add.reduceat(weight, at)).clip(0.0, 1.0)
+                scores = document_scores(string_column(batch, "_text"), field)
                 columns_out = [batch.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns_out + [batch.column(f"_k_{c}") for c in keep],
                                                  names=["doc_id", "score", "predicted", *keep])
@@ -226,6 +228,21 @@ def score(docs: DataFrame, field: LineField | None, threshold: float = THRESHOLD
     return src.select(*chosen).mapInArrow(run, ", ".join(out))
 
 
+def keep_good(docs: DataFrame, field: LineField | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the field doesn't reject, all columns kept; without a field, all rows."""
+    bounded_batches(docs.sparkSession)
+    if field is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, 200):
+                batch = big.slice(k, 200)
+                yield batch.filter(pa.array(document_scores(string_column(batch, text_col), field) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, train(docs, read(spark, sf_dir, "labels")))
