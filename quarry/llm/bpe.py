@@ -10,7 +10,7 @@ the order of the vocabulary, adds one gadget:
 The paths that are left are exactly the token sequences that the merges produce. Arcs of one label all lead
 to one state, and a state only ever loses an arc by being copied, so the table needs three numbers a state
 (the state it copies, the label it lacks, the merge that made it) and, for a label, its target, its left half
-and its merge. An arc is looked up by walking back through those, and remembered.
+and its merge. Arcs that were looked up are remembered.
 
 A part of a canonical token sequence is canonical, so each prefix of a word is reached by one path only: encoding
 marks, from left to right, the one token that reaches each place of the word.
@@ -21,18 +21,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import columns, read, string_column
-from quarry.llm.tokens import SPACE
+from quarry.llm.tokens import SPACE, Memo
 
 #: Distinct chunks and words remembered by a worker (two generations of this size).
-MEMO = 150_000
+MEMO = 300_000
 #: Arcs remembered by a worker.
 ARCS = 2_000_000
 
@@ -48,10 +49,9 @@ class TokenAutomaton:
         self.parent, self.lacks, self.born = [-1], [-1], [-1]  # of a state
         self.arcs: dict[int, bool] = {}
         self.width = n
-        self.longest = max(map(len, base), default=1)
         for k, (a, b) in enumerate(merges):
             la, lb = self.label.get(a), self.label.get(b)
-            if la is None or lb is None or a + b in self.label or not self.has_arc(self.target[la], lb):
+            if la is None or lb is None or a + b in self.label or not self._walk(self.target[la], lb):
                 continue  # the pair never stands side by side, so the merge never applies
             label = len(self.label)
             self.label[a + b] = label
@@ -61,10 +61,13 @@ class TokenAutomaton:
             self.lacks.append(lb)
             self.born.append(k)
             self.target[la] = len(self.parent) - 1
-            self.longest = max(self.longest, len(a + b))
-        self.arcs.clear()
+        self._index()
+        #: label of every token, and None for every string that only begins tokens
+        self.prefixes: dict[str, int | None] = {t[:k]: None for t in self.label for k in range(1, len(t))}
+        self.prefixes.update(self.label)
 
-    def has_arc(self, state: int, label: int) -> bool:
+    def _walk(self, state: int, label: int) -> bool:
+        """Whether the state has the arc, by walking back to the states that it copies."""
         left, made, parent, lacks, born = self.left, self.made, self.parent, self.lacks, self.born
         while state:
             if made[label] >= born[state]:
@@ -75,38 +78,76 @@ class TokenAutomaton:
                 state = parent[state]
         return True
 
+    def _index(self) -> None:
+        """Number the tree of copies in preorder and list, per label, the states that lack it, each with the
+        nearest one above it, so that an arc is looked up without walking the tree."""
+        n = len(self.parent)
+        below = [1] * n
+        for q in range(n - 1, 0, -1):  # a copy comes after what it copies
+            below[self.parent[q]] += below[q]
+        self.enter, free = [0] * n, [1] * n
+        for q in range(1, n):
+            p = self.parent[q]
+            self.enter[q] = self.enter[p] + free[p]
+            free[p] += below[q]
+        self.leave = [e + b for e, b in zip(self.enter, below)]
+        self.without: dict[int, tuple[list[int], list[int], list[int]]] = {}  # preorder numbers, states, nearest above
+        for q in sorted(range(1, n), key=self.enter.__getitem__):
+            numbers, states, above = self.without.setdefault(self.lacks[q], ([], [], []))
+            up = len(states) - 1
+            while up >= 0 and self.leave[states[up]] <= self.enter[q]:
+                up = above[up]
+            numbers.append(self.enter[q])
+            states.append(q)
+            above.append(up)
+
+    def has_arc(self, state: int, label: int) -> bool:
+        """Whether the state has the arc: neither the label nor, at the time it was made, its left half, and so on
+        to the base symbol, is lacked by the state or by one that it copies."""
+        here, before = self.enter[state], len(self.parent)
+        while label >= 0:
+            lists = self.without.get(label)
+            if lists:
+                numbers, states, above = lists
+                k = bisect_right(numbers, here) - 1
+                while k >= 0:
+                    q = states[k]
+                    if here < self.leave[q] and self.born[q] <= before:
+                        return False
+                    k = above[k]
+            before, label = self.made[label], self.left[label]
+        return True
+
     def encode(self, symbols: list[str]) -> list[str]:
         """The tokens of one word, given as base symbols."""
         n = len(symbols)
-        at: list[tuple[int, str, int] | None] = [None] * (n + 1)  # per place: where the token starts, token, state
-        at[0] = (0, "", 0)
-        label_of, target, arcs = self.label, self.target, self.arcs
+        begun, token, state = [-1] * (n + 1), [""] * (n + 1), [0] * (n + 1)  # of the token that reaches a place
+        prefixes, target, arcs, width = self.prefixes, self.target, self.arcs, self.width
+        begun[0] = 0
         for j in range(n):
-            here = at[j]
-            if here is None:
+            if begun[j] < 0:
                 continue
-            state, sub = here[2], ""
-            for i in range(j, n):
-                sub += symbols[i]
-                if len(sub) > self.longest:
-                    break
-                label = label_of.get(sub)
-                if label is None or at[i + 1] is not None:
+            row, sub = state[j] * width, ""
+            for i in range(j + 1, n + 1):
+                sub += symbols[i - 1]
+                label = prefixes.get(sub, -1)
+                if label is None or begun[i] >= 0:
                     continue
-                key = state * self.width + label
-                ok = arcs.get(key)
+                if label < 0:
+                    break
+                ok = arcs.get(row + label)
                 if ok is None:
                     if len(arcs) > ARCS:
                         arcs.clear()
-                    ok = arcs[key] = self.has_arc(state, label)
+                    ok = arcs[row + label] = self.has_arc(state[j], label)
                 if ok:
-                    at[i + 1] = (j, sub, target[label])
-        if at[n] is None:
+                    begun[i], token[i], state[i] = j, sub, target[label]
+        if begun[n] < 0:
             raise ValueError("a base symbol of the word is not in the vocabulary")
         out = []
         while n:
-            n, token, _ = at[n]
-            out.append(token)
+            out.append(token[n])
+            n = begun[n]
         return out[::-1]
 
 
@@ -129,57 +170,36 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find_added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.chunks = re.compile(f"[^{SPACE}]+").findall
-        self.parts = regex.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
-        self.memo, self.words, self.old_words = memo, {}, {}
-        self.new, self.old = {}, {}
-
-    def _word(self, word: str) -> list[str]:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > self.memo:
-                self.old_words, self.words = self.words, {}
-            got = self.old_words.get(word)
-            if got is None:
-                got = self.automaton.encode([*word[:-1], word[-1] + self.end])
-            self.words[word] = got
-        return got
-
-    def _chunk(self, chunk: str) -> list[tuple[int, str]]:
-        """(id, label) of a text without white space."""
-        if chunk.isascii() and chunk.isalpha():
-            words = [chunk.lower()]
+        # ASCII letters and then marks: two words for the tokenizer's pattern, with nothing to normalize but case
+        self.plain = re.compile(r"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.words = Memo(self._word, memo // 2)
+        self.known = Memo(self._chunk, memo)
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        tokens = self.automaton.encode([*word[:-1], word[-1] + self.end])
+        return array("I", [self.vocab[t] for t in tokens]).tobytes(), " ".join(tokens)
+
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids (unsigned 32-bit integers of the machine) and labels of a text without white space."""
+        m = self.plain(chunk)
+        if m and "<" not in chunk:
+            words = [w for w in (m[1].lower(), m[2]) if w]
+            if len(words) == 1:
+                return self.words[words[0]]
+            got = [self.words[w] for w in words]
         else:
-            words = []
+            got = []
             pieces = self.find_added.split(chunk) if self.find_added else [chunk]
             for k, piece in enumerate(pieces):
                 if k % 2:
-                    words.append(piece)
+                    got.append((array("I", [self.added[piece]]).tobytes(), piece))
                 elif piece:
-                    words += [w for w, _ in self.split(self.normalize(piece))]
-        out = []
-        for w in words:
-            if w in self.added:
-                out.append((self.added[w], w))
-            else:
-                out += [(self.vocab[t], t) for t in self._word(w)]
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        for c in missing:
-            got = self.old.get(c)
-            if got is None:
-                pairs = self._chunk(c)
-                ids = b"".join(i.to_bytes(4, "little") for i, _ in pairs)
-                got = (ids, " ".join(t for _, t in pairs))
-            self.new[c] = got
+                    got += [self.words[w] for w, _ in self.split(self.normalize(piece))]
+        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the text that their arc labels give."""
-        chunks = self.chunks(text)
-        if len(self.new) > self.memo:
-            self.old, self.new = self.new, {}
-        self._learn(set(chunks).difference(self.new))
-        got = list(map(self.new.__getitem__, chunks))
+        """Ids as unsigned 32-bit integers, and the text that their arc labels give."""
+        got = list(map(self.known.__getitem__, self.chunks(text)))
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
 
 
@@ -205,7 +225,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         bpe = None
         for big in batches:
             bpe = bpe or WordBpe(tokenizer)
-            for k in range(0, big.num_rows, 256):
+            for k in range(0, big.num_rows, 256):  # bounds what a batch of long texts decodes to
                 batch = big.slice(k, 256)
                 rows = []
                 for d, text in zip(batch.column("doc_id").to_pylist(), string_column(batch, "text")):
