@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import ann, bpe, chat, mixing, near_dedup, pages, quality, sharding, tokens
+from quarry.llm import ann, bpe, chat, mixing, near_dedup, pages, quality, search, sharding, tokens
 
-QUERIES = {f.__name__: f for f in (sharding.op1_sharding, tokens.op2_token_files, near_dedup.op3_near_dedup, ann.op4_nearest, quality.op5_quality, mixing.op6_mixing, bpe.op7_bpe, pages.op9_main_text, chat.op10_chat)}
-ORACLE = {**sharding.ORACLE, **chat.ORACLE}
+QUERIES = {f.__name__: f for f in (sharding.op1_sharding, tokens.op2_token_files, near_dedup.op3_near_dedup, ann.op4_nearest, quality.op5_quality, mixing.op6_mixing, bpe.op7_bpe, search.op8_search, pages.op9_main_text, chat.op10_chat)}
+ORACLE = {**sharding.ORACLE, **search.ORACLE, **chat.ORACLE}
