@@ -104,7 +104,7 @@ class TokenAutomaton:
     def has_arc(self, state: int, label: int) -> bool:
         """Whether the state has the arc: neither the label nor, at the time it was made, its left half, and so on
         to the base symbol, is lacked by the state or by one that it copies."""
-        here, before = self.enter[state], len(self.parent)
+        here, before = self.enter[state], self.width
         while label >= 0:
             lists = self.without.get(label)
             if lists:
