@@ -1,36 +1,30 @@
-"""HTML article cleanup (H1-H14) as one relational Spark job, without a DOM per row.
+"""HTML article cleanup (H1-H14): one row in, one row out, no shuffle.
 
-Flat steps are regular-expression rewrites of the whole text. Element steps work on a token table
+Flat steps (images, breaks, inputs, headline/chunk) are regular-expression rewrites in the JVM. Element steps run
+on the document's tokens in one Arrow-batched pass: the text is cut into tags and text, opens and closes of one tag
+name are paired with a stack (a stray close shifts nothing), and every step is a sweep over the tokens, linear in
+their number. Documents are independent, so nothing is exchanged, sorted or joined back, and rows that share an id,
+or have none, stay rows of their own.
 
-    (doc, pos, tok, kind, name, cls, depth, partner)
+Step order follows the reference and is part of the contract: images, breaks, inputs, empty labels, links,
+headline/chunk, empty p/div/span/strong/em, factoids, spoilers, tabsets, nested tables, empty tables, then the
+children of <body>. H6 runs with the flat steps: unwrapping tags changes no text and no other step looks at those
+two tags.
 
-built once: ``posexplode`` of the tag/text split, tag names and class lists by regex, and tag pairing
-by depth -- a running +1/-1 sum per (doc, tag) gives every open and close its depth, and an open
-pairs with the *next* event of the same (doc, tag, depth) if that is a close (so a stray close tag
-shifts nothing). Removing or unwrapping whole elements keeps every other pair intact, so pairing is
-computed once. Element ranges are applied with sweeps: +1 at the open, -1 after the close, running
-sum > 0 means inside. "Empty" (no stripped text) compares the running count of non-blank text tokens
-at both ends of an element, read across the pair with lead/lag.
-
-Every window is partitioned by ``doc`` (plus finer keys), so after the single shuffle of tokens by
-document all steps run in place: each adds sorts within partitions, no further exchange. A document
-is one input row; its tokens stay together, bounded by its own size.
-
-Step order follows the reference and is part of the contract: images, breaks, inputs, empty labels,
-links, headline/chunk, empty p/div/span/strong/em, factoids, spoilers, tabsets, nested tables,
-empty tables, then the children of <body>. H6 runs with the flat steps: unwrapping tags changes no
-text and no other step looks at those two tags.
-
-Out of contract (as in the reference's own note on nested tabsets): spoilers nested in spoilers,
-tabsets in tabsets, panels in panels.
+Spoilers are taken outermost first and in document order, so one inside another's content is treated in its turn.
+Out of contract: tabsets in tabsets, panels in panels (only the outermost count).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import html
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import WS_CLASS, py_strip
+from quarry.functions.text import WS_CHARS, WS_CLASS
 
 # Tag sets of the cleanup steps.
 EMPTY_TAGS = ["p", "div", "span", "strong", "em"]
@@ -41,7 +35,7 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 CLASS_BITS = {"factoid": 1, "spoiler": 2, "spoiler-content": 4, "spoiler-text": 8, "tabset": 16, "tab-panel": 32,
               "tab-label": 64}
 
-TOKEN_PATTERN = r"<[^>]*>|<|[^<]+"
+TOKEN_PATTERN = r"""<[A-Za-z/!?](?:"[^"]*"|'[^']*'|[^>"'])*>|<|[^<]+"""
 NBSP_ENTITIES = r"&nbsp;|&#160;|&#[xX][aA]0;"
 STEPS = ["images", "breaks", "inputs", "empty_labels", "links", "headline_chunk", "empty_tags", "factoids",
          "spoilers", "tabsets", "nested_tables", "empty_tables", "body"]
@@ -53,43 +47,16 @@ FLAT_PREP = [(r"(?s)<!--.*?-->", ""),
 FLAT_STEPS = {
     "images": [(r'(?i)<img\b[^>]*?\salt\s*=\s*"' + WS_CLASS + r'*([^"]*?)' + WS_CLASS + r'*"[^>]*>', "$1"),
                (r"(?i)<img\b[^>]*?\salt\s*=\s*'" + WS_CLASS + r"*([^']*?)" + WS_CLASS + r"*'[^>]*>", "$1"),
+               (r"(?i)<img\b[^>]*?\salt\s*=\s*([^\s\"'=<>`]+)[^>]*>", "$1"),
                (r"(?i)<img\b[^>]*>", "")],
     "breaks": [(r"(?i)<br\b[^>]*>", " ")],
     "inputs": [(r"(?i)<input\b[^>]*>", "")],
     "headline_chunk": [(r"(?i)</?(headline|chunk)\b[^>]*>", "")],
 }
 
-_CACHE: dict = {}
-
-
-def _cached(name: str, build):
-    """One JVM object per active Spark context for specs and predicates used dozens of times per plan
-    (each build is several py4j calls; the objects are immutable and safe to share between plans)."""
-    from pyspark import SparkContext
-    key = (id(SparkContext._active_spark_context), name)
-    if key not in _CACHE:
-        _CACHE[key] = build()
-    return _CACHE[key]
-
-
-def _w_doc():
-    return _cached("w_doc", lambda: Window.partitionBy("doc").orderBy("pos"))
-
-
-def _run():
-    return _cached("run", lambda: _w_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def _before():
-    return _cached("before", lambda: _w_doc().rowsBetween(Window.unboundedPreceding, -1))
-
-
-def _pair():
-    return _cached("pair", lambda: Window.partitionBy("doc", "name", "depth").orderBy("pos"))
-
-
-def _is(kind: str) -> Column:
-    return _cached("kind_" + kind, lambda: F.col("kind") == kind)
+_TOKENS = re.compile(TOKEN_PATTERN).findall
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:_-]*)")
+_CLASS = re.compile(r"""\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""", re.I)
 
 
 def flat_rewrite(col: Column, steps) -> Column:
@@ -102,228 +69,180 @@ def flat_rewrite(col: Column, steps) -> Column:
     return out
 
 
-def tokens(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(doc, pos, tok) plus kind, name, class list, depth and partner position of every tag.
-
-    Documents are hash-partitioned by id first; every later window is partitioned by doc plus finer
-    keys, which that partitioning already satisfies, so this is the job's only exchange of tokens.
-    """
-    df = df.repartition(F.col(id_col))
-    t = (df.select(F.col(id_col).alias("doc"),
-                   F.posexplode_outer(F.regexp_extract_all(F.col(html_col), F.lit(TOKEN_PATTERN), 0)).alias("pos", "tok"))
-         .where(F.col("tok").isNotNull()))
-    tok = F.col("tok")
-    name = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
-    openlike = tok.rlike(r"^<[A-Za-z]")
-    kind = (F.when(tok.rlike(r"^</[A-Za-z]"), "close")
-            .when(openlike & (name.isin(VOID_TAGS) | tok.rlike(r"/\s*>$")), "void")
-            .when(openlike, "open").when(tok.rlike(r"^<[!?]"), "decl").otherwise("text"))
-    cls_text = F.concat_ws(" ", F.regexp_extract(tok, r'''(?i)\sclass\s*=\s*"([^"]*)"''', 1),
-                           F.regexp_extract(tok, r"(?i)\sclass\s*=\s*'([^']*)'", 1))
-    cls = F.split(cls_text, WS_CLASS + "+")
-    mask = sum((F.array_contains(cls, c).cast("int") * bit for c, bit in CLASS_BITS.items()), F.lit(0))
-    blank = F.regexp_replace(tok, NBSP_ENTITIES, " ").rlike("^" + WS_CLASS + "*$")
-    t = t.select("doc", "pos", "tok", kind.alias("kind"), F.when(openlike | tok.startswith("</"), name).alias("name"),
-                 F.when(kind == "open", mask).otherwise(F.lit(0)).alias("cls"),
-                 ((kind == "text") & ~blank).cast("int").alias("nbk"))
-    delta = F.when(_is("open"), 1).when(_is("close"), -1).otherwise(0)
-    run = F.sum(delta).over(Window.partitionBy("doc", "name").orderBy("pos")
-                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumn("depth", F.when(_is("open"), run).when(_is("close"), run + 1))
-    nxt_open = _is("open") & (F.lead("kind").over(_pair()) == "close")
-    prv_close = _is("close") & (F.lag("kind").over(_pair()) == "open")
-    return (t.withColumn("partner", F.when(nxt_open, F.lead("pos").over(_pair())).when(prv_close, F.lag("pos").over(_pair())))
-             .withColumn("cls", F.when(prv_close, F.lag("cls").over(_pair())).otherwise(F.col("cls"))))
-
-
-def _paired() -> Column:
-    """The tag's partner is still its neighbour in the (doc, tag, depth) sequence."""
-    adj = F.when(_is("open"), F.lead("pos").over(_pair())).when(_is("close"), F.lag("pos").over(_pair()))
-    return F.col("partner").isNotNull() & (adj == F.col("partner"))
-
-
-def _has(cls: str) -> Column:
-    return F.col("cls").bitwiseAND(CLASS_BITS[cls]) != 0
-
-
-def _nonblank() -> Column:
-    return F.col("nbk") == 1
-
-
-def _with_emptiness(t: DataFrame) -> DataFrame:
-    """Adds _ok (pair intact) and _empty (no non-blank text between the pair) on both ends of each pair."""
-    t = t.withColumn("_nb", F.sum("nbk").over(_run()))
-    other = F.when(_is("open"), F.lead("_nb").over(_pair())).when(_is("close"), F.lag("_nb").over(_pair()))
-    return t.withColumn("_ok", _paired()).withColumn("_empty", F.col("_ok") & (other == F.col("_nb")))
-
-
-def _cover(t: DataFrame, sel: Column, out: str) -> DataFrame:
-    """out > 0 on every token from a selected open to its close, both included (sel holds on both ends)."""
-    start = F.when(sel & _is("open"), 1).otherwise(0)
-    end = F.when(sel & _is("close"), 1).otherwise(0)
-    return t.withColumn(out, F.sum(start).over(_run()) - F.coalesce(F.sum(end).over(_before()), F.lit(0)))
-
-
-def _enclosing(t: DataFrame, sel: Column, out: str) -> DataFrame:
-    """out = open position of the selected element around each token (its own two tags included)."""
-    t = _cover(t, sel, "_cv_" + out)
-    last_open = F.last(F.when(sel & _is("open"), F.col("pos")), ignorenulls=True).over(_run())
-    return t.withColumn(out, F.when(F.col("_cv_" + out) > 0, last_open)).drop("_cv_" + out)
-
-
-def _drop_cols(t: DataFrame) -> DataFrame:
-    return t.drop(*[c for c in t.columns if c.startswith("_")])
-
-
-def remove_empty(t: DataFrame, tags: list[str]) -> DataFrame:
-    """Remove elements of the given tags whose stripped text is empty."""
-    t = _with_emptiness(t)
-    t = _cover(t, F.col("name").isin(tags) & F.col("_empty"), "_rm")
-    return _drop_cols(t.where(F.col("_rm") == 0))
-
-
-def unwrap_links(t: DataFrame) -> DataFrame:
+class Tokens:
+    """A document's tokens. A step removes tokens or replaces one by a heading; positions never move."""
+
+    def __init__(self, text: str):
+        self.tok = _TOKENS(text)
+        n = len(self.tok)
+        self.kind, self.name, self.cls = ["text"] * n, [""] * n, [0] * n
+        self.partner = [-1] * n           # of an open or a close: the position of the other
+        self.alive = [True] * n
+        self.heading: dict[int, str] = {}
+        opened: dict[str, list[int]] = {}
+        for i, tok in enumerate(self.tok):
+            if tok[0] != "<" or len(tok) < 2:
+                continue
+            if tok[1] in "!?":
+                self.kind[i] = "decl"
+                continue
+            m = _NAME.match(tok)
+            if not m:
+                continue
+            name = self.name[i] = m[1].lower()
+            if tok[1] == "/":
+                self.kind[i] = "close"
+                if opened.get(name):
+                    j = opened[name].pop()
+                    self.partner[i], self.partner[j], self.cls[i] = j, i, self.cls[j]
+            elif name in VOID_TAGS or tok.rstrip(">").rstrip().endswith("/"):
+                self.kind[i] = "void"
+            else:
+                self.kind[i] = "open"
+                opened.setdefault(name, []).append(i)
+                m = _CLASS.search(tok)
+                if m:
+                    words = set((m[1] or m[2] or m[3] or "").split())
+                    self.cls[i] = sum(bit for c, bit in CLASS_BITS.items() if c in words)
+
+    def opens(self, name: str | None = None, cls: str | None = None, inside: tuple[int, int] | None = None) -> list[int]:
+        """Opens of whole, living elements, in document order."""
+        bit = CLASS_BITS[cls] if cls else 0
+        lo, hi = inside or (-1, len(self.tok))
+        return [i for i in range(lo + 1, hi) if self.kind[i] == "open" and self.alive[i] and self.whole(i)
+                and (name is None or self.name[i] == name) and (not bit or self.cls[i] & bit)]
+
+    def whole(self, i: int) -> bool:
+        return self.partner[i] >= 0 and self.alive[i] and self.alive[self.partner[i]]
+
+    def pieces(self, lo: int, hi: int) -> list[str]:
+        """Stripped pieces of text between two positions, those without text left out."""
+        out = []
+        for i in range(lo + 1, hi):
+            if self.alive[i]:
+                if i in self.heading:
+                    out += [self.heading[i], ":"]
+                elif self.kind[i] == "text":
+                    out.append(self.tok[i].strip(WS_CHARS))
+        return [p for p in out if p]
+
+    def blank(self, i: int) -> bool:
+        return i not in self.heading and (self.kind[i] != "text" or not html.unescape(self.tok[i]).strip(WS_CHARS))
+
+    def drop(self, lo: int, hi: int) -> None:
+        self.alive[lo:hi] = [False] * (hi - lo)
+
+    def head(self, i: int, title: str) -> None:
+        """Put a heading in the place of token ``i``."""
+        self.tok[i] = f"<p><strong>{title}</strong>: </p>"
+        self.kind[i], self.alive[i], self.heading[i] = "html", True, title
+
+    def text(self) -> str:
+        return "".join(t for t, a in zip(self.tok, self.alive) if a)
+
+
+def remove_empty(t: Tokens, tags: list[str]) -> None:
+    """Remove elements of the given tags whose text is blank, all entities decoded."""
+    seen, filled = [0] * (len(t.tok) + 1), 0
+    for i in range(len(t.tok)):
+        filled += t.alive[i] and not t.blank(i)
+        seen[i + 1] = filled
+    end = 0
+    for i in t.opens():
+        if t.name[i] in tags and seen[t.partner[i]] == seen[i] and t.partner[i] >= end:
+            t.drop(max(i, end), t.partner[i] + 1)
+            end = t.partner[i] + 1
+
+
+def unwrap_links(t: Tokens) -> None:
     """H5: an <a> becomes its text: every tag inside the link goes, with the link's own tags."""
-    t = _cover(t.withColumn("_ok", _paired()), (F.col("name") == "a") & F.col("_ok"), "_in")
-    return _drop_cols(t.where((F.col("_in") == 0) | F.col("kind").isin("text", "html")))
+    end = 0
+    for i in t.opens("a"):
+        for j in range(max(i, end), t.partner[i] + 1):
+            if t.kind[j] not in ("text", "html"):
+                t.alive[j] = False
+        end = max(end, t.partner[i] + 1)
 
 
-def unwrap_factoids(t: DataFrame) -> DataFrame:
+def unwrap_factoids(t: Tokens) -> None:
     """H8: drop the tags of divs whose class list holds the token 'factoid'; the content stays."""
-    t = t.withColumn("_ok", _paired())
-    is_f = (F.col("name") == "div") & _has("factoid")
-    drop = is_f & (_is("open") | (_is("close") & F.col("_ok")))
-    return _drop_cols(t.where(~drop))
-
-
-def _heading(title: Column) -> Column:
-    return F.concat(F.lit("<p><strong>"), title, F.lit("</strong>: </p>"))
-
+    for i in range(len(t.tok)):
+        if t.alive[i] and t.kind[i] == "open" and t.name[i] == "div" and t.cls[i] & CLASS_BITS["factoid"]:
+            if t.whole(i):
+                t.alive[t.partner[i]] = False
+            t.alive[i] = False
 
-def _stripped_text(inside: Column) -> Column:
-    """Text pieces of the tokens where ``inside`` holds, each stripped (get_text(strip=True) pieces)."""
-    return F.when(inside & (F.col("kind") == "text"), py_strip(F.col("tok")))
 
-
-def clean_spoilers(t: DataFrame) -> DataFrame:
+def clean_spoilers(t: Tokens) -> None:
     """H9: a div.spoiler is replaced by the children of its first .spoiler-content, led by
-    <p><strong>title</strong>: </p> when its first .spoiler-text has text; without content or
-    children the whole spoiler goes."""
-    t = t.withColumn("_ok", _paired())
-    t = _enclosing(t, (F.col("name") == "div") & _has("spoiler") & F.col("_ok"), "_sp")
-    w = Window.partitionBy("doc", "_sp")
-    full = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    in_sp = F.col("_sp").isNotNull() & (F.col("pos") != F.col("_sp"))
-    is_open = _is("open") & F.col("_ok") & in_sp
-
-    def first_el(token):
-        return F.min(F.when(is_open & _has(token), F.struct("pos", "partner"))).over(w)
-    t = t.withColumn("_c", first_el("spoiler-content")).withColumn("_t", first_el("spoiler-text"))
-    c_open, c_close = F.col("_c.pos"), F.col("_c.partner")
-    inside_c = (F.col("pos") > c_open) & (F.col("pos") < c_close)
-    inside_t = (F.col("pos") > F.col("_t.pos")) & (F.col("pos") < F.col("_t.partner"))
-    t = (t.withColumn("_kids", F.count(F.when(inside_c, 1)).over(w))
-          .withColumn("_title", F.array_join(F.collect_list(_stripped_text(inside_t)).over(full), "")))
-    head = (F.col("pos") == c_open) & (F.col("_kids") > 0) & (F.col("_title") != "")
-    keep = F.col("_sp").isNull() | ((F.col("_kids") > 0) & inside_c) | head
-    t = t.where(keep)
-    t = (t.withColumn("tok", F.when(head, _heading(F.col("_title"))).otherwise(F.col("tok")))
-          .withColumn("kind", F.when(head, F.lit("html")).otherwise(F.col("kind")))
-          .withColumn("nbk", F.when(head, F.lit(1)).otherwise(F.col("nbk"))))
-    return _drop_cols(t)
-
-
-def clean_tabsets(t: DataFrame) -> DataFrame:
-    """The i-th div.tab-panel pairs with the i-th label.tab-label. Each panel with children is
-    replaced by its children led by the label heading (none for surplus panels); the rest of the
-    tabset goes. A tabset without panels is unwrapped."""
-    t = t.withColumn("_ok", _paired())
-    t = _enclosing(t, (F.col("name") == "div") & _has("tabset") & F.col("_ok"), "_ts")
-    in_ts = F.col("_ts").isNotNull() & (F.col("pos") != F.col("_ts"))
-    opened = _is("open") & F.col("_ok") & in_ts
-    is_panel = (F.col("name") == "div") & _has("tab-panel")
-    is_label = (F.col("name") == "label") & _has("tab-label")
-    t = _enclosing(t, is_panel & F.col("_ok") & F.col("_ts").isNotNull(), "_pn")
-    t = _enclosing(t, is_label & F.col("_ok") & F.col("_ts").isNotNull(), "_lb")
-    w_ts = Window.partitionBy("doc", "_ts")
-    full_ts = w_ts.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w_lb = Window.partitionBy("doc", "_ts", "_lb")
-    full_lb = w_lb.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w_pn = Window.partitionBy("doc", "_ts", "_pn")
-    # label titles, in order, on every row of the tabset
-    inside_lb = F.col("_lb").isNotNull() & (F.col("pos") != F.col("_lb")) & (F.col("kind") != "close")
-    t = t.withColumn("_lt", F.array_join(F.collect_list(_stripped_text(inside_lb)).over(full_lb), ""))
-    label_open = opened & is_label
-    t = t.withColumn("_labels", F.transform(
-        F.array_sort(F.collect_list(F.when(label_open, F.struct("pos", "_lt"))).over(full_ts)), lambda x: x["_lt"]))
-    panel_open = opened & is_panel
-    t = t.withColumn("_np", F.count(F.when(panel_open, 1)).over(w_ts))
-    t = t.withColumn("_pi", F.when(panel_open, F.count(F.when(panel_open, 1)).over(
-        w_ts.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    inside_pn = F.col("_pn").isNotNull() & (F.col("pos") != F.col("_pn")) & ~(
-        _is("close") & (F.col("partner") == F.col("_pn")))
-    t = t.withColumn("_kids", F.count(F.when(inside_pn, 1)).over(w_pn))
-    title = F.when(F.col("_pi") <= F.size("_labels"), F.element_at("_labels", F.col("_pi").cast("int"))).otherwise(F.lit(""))
-    head = panel_open & (F.col("_kids") > 0) & (title != "")
-    unwrap = F.col("_np") == 0
-    keep = (F.col("_ts").isNull()
-            | (unwrap & (F.col("pos") != F.col("_ts")) & ~(_is("close") & (F.col("partner") == F.col("_ts"))))
-            | (~unwrap & ((inside_pn & (F.col("_kids") > 0)) | head)))
-    t = t.withColumn("_title", title).where(keep)
-    t = (t.withColumn("tok", F.when(head, _heading(F.col("_title"))).otherwise(F.col("tok")))
-          .withColumn("kind", F.when(head, F.lit("html")).otherwise(F.col("kind")))
-          .withColumn("nbk", F.when(head, F.lit(1)).otherwise(F.col("nbk"))))
-    return _drop_cols(t)
-
-
-def flatten_nested_tables(t: DataFrame) -> DataFrame:
-    """A table inside a table becomes its text: the stripped, non-blank text pieces joined by a
-    space. Tags inside go; each piece after the first gets a leading space, so no per-row copy of the
-    table text is needed."""
-    t = t.withColumn("_ok", _paired())
-    t = _enclosing(t, (F.col("name") == "table") & (F.col("depth") == 2) & F.col("_ok"), "_nt")
-    piece = F.when(F.col("_nt").isNotNull() & (F.col("kind") == "text") & _nonblank(), py_strip(F.col("tok")))
-    t = t.withColumn("_pc", piece)
-    t = t.withColumn("_first", F.min(F.when(F.col("_pc").isNotNull(), F.col("pos"))).over(Window.partitionBy("doc", "_nt")))
-    t = t.where(F.col("_nt").isNull() | F.col("_pc").isNotNull())
-    t = t.withColumn("tok", F.when(F.col("_nt").isNull(), F.col("tok"))
-                     .when(F.col("pos") == F.col("_first"), F.col("_pc")).otherwise(F.concat(F.lit(" "), F.col("_pc"))))
-    return _drop_cols(t)
-
-
-def body_children(t: DataFrame) -> DataFrame:
+    <p><strong>title</strong>: </p> when its first .spoiler-text has text; without content or children the whole
+    spoiler goes. A spoiler that is left in another's content follows in its turn."""
+    for i in t.opens("div", "spoiler"):
+        if not t.whole(i):
+            continue
+        end = t.partner[i]
+        content = next(iter(t.opens(cls="spoiler-content", inside=(i, end))), None)
+        titled = next(iter(t.opens(cls="spoiler-text", inside=(i, end))), None)
+        title = "".join(t.pieces(titled, t.partner[titled])) if titled is not None else ""
+        if content is None or not any(t.alive[content + 1:t.partner[content]]):
+            t.drop(i, end + 1)
+            continue
+        t.drop(t.partner[content], end + 1)
+        t.drop(i, content + 1)
+        if title:
+            t.head(content, title)
+
+
+def clean_tabsets(t: Tokens) -> None:
+    """The i-th div.tab-panel pairs with the i-th label.tab-label. Each panel with children is replaced by its
+    children led by the label heading (none for surplus panels); the rest of the tabset goes. A tabset without
+    panels is unwrapped."""
+    for i in t.opens("div", "tabset"):
+        if not t.whole(i):
+            continue
+        end = t.partner[i]
+        titles = ["".join(t.pieces(j, t.partner[j])) for j in t.opens("label", "tab-label", (i, end))]
+        panels, last = [], i
+        for j in t.opens("div", "tab-panel", (i, end)):
+            if j > last and t.partner[j] < end:
+                panels.append(j)
+                last = t.partner[j]
+        if not panels:
+            t.alive[i] = t.alive[end] = False
+            continue
+        at = i
+        for k, j in enumerate(panels):
+            t.drop(at, j + 1)
+            at = t.partner[j]
+            if k < len(titles) and titles[k] and any(t.alive[j + 1:at]):
+                t.head(j, titles[k])
+        t.drop(at, end + 1)
+
+
+def flatten_nested_tables(t: Tokens) -> None:
+    """A table inside a table becomes its text: the stripped, non-blank text pieces joined by a space."""
+    tables = t.opens("table")
+    outer = 0   # where the outermost table around ends
+    done = 0    # where the last flattened table ends
+    for i in tables:
+        if i >= outer:
+            outer = t.partner[i] + 1
+        elif i >= done:
+            end = t.partner[i] + 1
+            pieces = [p for p in t.pieces(i, t.partner[i]) if html.unescape(p).strip(WS_CHARS)]
+            t.drop(i, end)
+            if pieces:
+                t.tok[i], t.kind[i], t.alive[i] = " ".join(pieces), "text", True
+            done = end
+
+
+def body_children(t: Tokens) -> None:
     """The tokens inside the first <body>, or the whole document when there is none."""
-    full = _w_doc().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("_bo", F.min(F.when((F.col("name") == "body") & _is("open"), F.col("pos"))).over(full))
-    t = t.withColumn("_ok", _paired())
-    t = t.withColumn("_bc", F.first(F.when((F.col("pos") == F.col("_bo")) & F.col("_ok"), F.col("partner")),
-                                    ignorenulls=True).over(full))
-    keep = F.col("_bo").isNull() | ((F.col("pos") > F.col("_bo")) & (F.col("_bc").isNull() | (F.col("pos") < F.col("_bc"))))
-    return _drop_cols(t.where(keep))
-
-
-SIMPLE_STEPS = ["empty_labels", "links", "empty_tags", "factoids"]
-
-
-def simple_steps(t: DataFrame, steps) -> DataFrame:
-    """H4, H5, H7 and H8 in one pass.
-
-    None of the four changes the non-blank text the emptiness checks read (removed elements are empty,
-    links keep their text, factoids keep their content), so one emptiness computation serves all of them
-    and the two sweeps (removals, link interiors) share one window ordering. The result is the one of
-    running them one after the other, which the per-step queries check.
-    """
-    t = _with_emptiness(t)
-    tags = (["label"] if "empty_labels" in steps else []) + (EMPTY_TAGS if "empty_tags" in steps else [])
-    t = _cover(t, F.col("name").isin(tags) & F.col("_empty"), "_rm")
-    keep = F.col("_rm") == 0
-    if "links" in steps:
-        t = _cover(t, (F.col("name") == "a") & F.col("_ok"), "_in")
-        keep = keep & ((F.col("_in") == 0) | F.col("kind").isin("text", "html"))
-    if "factoids" in steps:
-        is_f = (F.col("name") == "div") & _has("factoid")
-        keep = keep & ~(is_f & (_is("open") | (_is("close") & F.col("_ok"))))
-    return _drop_cols(t.where(keep))
+    start = next((i for i in range(len(t.tok)) if t.alive[i] and t.kind[i] == "open" and t.name[i] == "body"), None)
+    if start is not None:
+        if t.whole(start):
+            t.drop(t.partner[start], len(t.tok))
+        t.drop(0, start + 1)
 
 
 ELEMENT_STEPS = {
@@ -339,46 +258,25 @@ ELEMENT_STEPS = {
 }
 
 
-def assemble(t: DataFrame) -> DataFrame:
-    """(doc, html): tokens back in position order. Tokens are already partitioned by doc: no shuffle."""
-    return t.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))),
-                                                         lambda x: x["tok"]), "").alias("html"))
-
-
-# Substrings without which a step is the identity on a document (conservative: case-insensitive).
-STEP_MARKERS = {"spoilers": "spoiler", "tabsets": "tabset", "nested_tables": "<table", "empty_tables": "<table"}
-
-
-def _clean_tokens(src: DataFrame, steps) -> DataFrame:
-    t = tokens(src.select("_doc", flat_rewrite(F.col("_html"), steps).alias("_html")), "_doc", "_html")
-    simple = [s for s in steps if s in SIMPLE_STEPS]
-    if len(simple) > 1:
-        t = simple_steps(t, simple)
+def clean_document(text: str, steps) -> str:
+    t = Tokens(text)
     for step in steps:
-        if step in ELEMENT_STEPS and not (len(simple) > 1 and step in SIMPLE_STEPS):
-            t = ELEMENT_STEPS[step](t)
-    return assemble(t)
+        if step in ELEMENT_STEPS:
+            ELEMENT_STEPS[step](t)
+    return t.text()
 
 
 def clean_html(df: DataFrame, column: str = "body", id_col: str = "article_id", steps=None) -> DataFrame:
     """``df`` with ``column`` cleaned; ``steps`` (names from STEPS) selects a subset, in order.
 
-    Documents without any spoiler, tabset or table marker skip those steps (they are the identity there)
-    and so skip their window passes; the two groups are tokenised and shuffled separately, each only
-    with its own rows.
+    A null stays null. ``id_col`` is not looked at.
     """
     steps = STEPS if steps is None else [s for s in STEPS if s in steps]
-    src = df.select(F.col(id_col).alias("_doc"), F.col(column).alias("_html"))
-    markers = sorted({STEP_MARKERS[s] for s in steps if s in STEP_MARKERS})
-    if markers:
-        heavy = F.coalesce(F.lower(F.col("_html")).rlike("|".join(markers)), F.lit(False))
-        light_steps = [s for s in steps if s not in STEP_MARKERS]
-        cleaned = _clean_tokens(src.where(~heavy), light_steps).unionByName(_clean_tokens(src.where(heavy), steps))
-    else:
-        cleaned = _clean_tokens(src, steps)
-    cleaned = cleaned.withColumnRenamed("doc", "_doc")
-    # Join back only the other columns (and a null flag): the raw HTML is not shuffled a second time.
-    rest = df.select(*[F.col(c) for c in df.columns if c != column], F.col(column).isNull().alias("_null"))
-    out = rest.join(cleaned, F.col(id_col) == F.col("_doc"), "left")
-    cleaned_col = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(F.coalesce("html", F.lit("")))
-    return out.select(*[cleaned_col.alias(column) if c == column else F.col(c) for c in df.columns])
+    flat = flat_rewrite(F.col(column), steps)
+    if not any(s in ELEMENT_STEPS for s in steps):
+        return df.withColumn(column, flat)
+
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else clean_document(x, steps))
+
+    return df.withColumn(column, F.pandas_udf(clean, "string")(flat))

@@ -24,6 +24,20 @@ CASES = [
      "<table><tr><td> </td></tr></table></body>", "<table><tr><td>A B</td><td>T</td></tr></table>"),
     ("<html><head><script>var t='</p>';</script></head><body><!-- c --><p>x</p></body></html>", "<p>x</p>"),
     ("<div><b>open<p>y</p>", "<div><b>open<p>y</p>"),
+    # a spoiler in a spoiler's content: the outer one first, then the inner one; nothing after it is lost
+    ('<div class="spoiler"><div class="spoiler-text">A</div><div class="spoiler-content">before<div class="spoiler">'
+     '<div class="spoiler-text">B</div><div class="spoiler-content"><p>in</p></div></div>after</div></div>end',
+     "<p><strong>A</strong>: </p>before<p><strong>B</strong>: </p><p>in</p>afterend"),
+    # a stray close shifts nothing: the nested table is still flattened
+    ("</table><table><tr><td><table><tr><td>A</td></tr></table></td></tr></table>",
+     "</table><table><tr><td>A</td></tr></table>"),
+    ('<p title="a>b">q</p>', '<p title="a>b">q</p>'),
+    ("<img alt=Foo width=3>x", "Foox"),
+    ("<p>&emsp;</p><div>&#8195;&#xa0;</div><p>y</p>", "<p>y</p>"),
+    ("<div class=factoid>F</div>", "F"),
+    ("price < 100 <b>x</b>", "price < 100 <b>x</b>"),
+    ('<table><tr><td><table><tr><td><div class="spoiler"><p class="spoiler-text">T</p><div class="spoiler-content">c</div>'
+     '</div></td></tr></table></td></tr></table>', "<table><tr><td>T : c</td></tr></table>"),
 ]
 
 
@@ -39,6 +53,16 @@ def test_null_body_stays_null(spark):
     assert row["body"] is None and row["title"] == "t"
 
 
+def test_rows_with_one_id_or_none_stay_apart(spark):
+    df = spark.createDataFrame([(1, "<p>aaa</p>"), (1, "<p>bbb</p>"), (None, "<p>c</p><p> </p>")], "article_id long, body string")
+    assert sorted(r.body for r in clean_html(df).collect()) == ["<p>aaa</p>", "<p>bbb</p>", "<p>c</p>"]
+
+
+def test_cleaning_needs_no_exchange(spark):
+    df = spark.createDataFrame([(1, "x")], "article_id long, body string")
+    assert "Exchange" not in clean_html(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_html_to_text(spark):
     df = spark.createDataFrame([("<h2>T</h2><p>a &amp; b</p><ul><li>x</li></ul>   \n\n\n\n<p>c&nbsp;</p>",)], "h string")
     # T2 collapses space runs and 3+ newlines separately, so a lone space between newline runs stays
