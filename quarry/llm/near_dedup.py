@@ -34,7 +34,7 @@ TOKENS = 128
 TREES = (2, 10)
 LEVELS = 24
 #: A leaf has at most this many members and shingles in all.
-LEAF_ROWS = 800
+LEAF_ROWS = 1600
 LEAF_SHINGLES = 2_000_000
 #: Pairs whose share of equal tokens is this far below the wanted similarity are not compared in full (over five
 #: standard deviations of the estimate at TOKENS = 128).
@@ -212,10 +212,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     _, token = np.unique(token, return_inverse=True)
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    step = max(1, 4_000_000 // m)
-    for lo in range(0, int(token[-1]) + 1, step):
+    kinds = int(token[-1]) + 1
+    step = min(kinds, max(1, 4_000_000 // m))
+    for lo in range(0, kinds, step):
         a, b = np.searchsorted(token, [lo, lo + step])
-        has = np.zeros((m, step), dtype=np.float32)
+        has = np.zeros((m, min(step, kinds - lo)), dtype=np.float32)
         has[owner[a:b], token[a:b] - lo] = 1.0
         out += has @ has.T
     return out
