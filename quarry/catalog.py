@@ -51,7 +51,8 @@ v_top AS (
     FROM v_q q, v_a a) WHERE rank <= 10),
 v_gt AS (
   SELECT q.query_id, coalesce(string_agg(a.article_id::VARCHAR, ' ' ORDER BY a.article_id), '') AS ground_truth
-  FROM v_q q LEFT JOIN v_a a ON a.label = q.label GROUP BY q.query_id),
+  FROM v_q q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(article_id::VARCHAR), article_id) AS r
+                        FROM v_a) a ON a.label = q.label AND a.r <= 40 GROUP BY q.query_id),
 v_queries AS (
   SELECT q.query_id, 'vector ' || q.query_id || ' label ' || q.label AS query_text, g.ground_truth
   FROM v_q q JOIN v_gt g USING (query_id)),
@@ -85,18 +86,16 @@ def r2_top_k(spark, sf_dir):
 
 
 @register("r2_top_k_beyond_corpus", """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 3),
-a AS (SELECT vec_id AS article_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 7)
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0),
+a AS (SELECT vec_id AS article_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 <> 0)
 SELECT query_id, count(*)::BIGINT AS n_ranked, min(rank)::BIGINT AS first_rank, max(rank)::BIGINT AS last_rank
 FROM (SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id
         ORDER BY round(list_dot_product(q.e, a.e), 9) DESC, a.article_id) AS rank FROM q, a)
 GROUP BY query_id""")
 def r2_top_k_beyond_corpus(spark, sf_dir):
-    """k larger than the corpus returns every article: label-3 vectors ranked against the label-7 ones."""
-    emb = tables.read_embeddings(spark, f"{sf_dir}/embeddings.parquet")
-    q = emb.where(F.col("label") == 3).select(F.col("vec_id").alias("query_id"), "embedding")
-    a = emb.where(F.col("label") == 7).select(F.col("vec_id").alias("article_id"), "embedding")
-    r = rank.block_top_k(a, q, k=1_000_000)
+    """k larger than the corpus returns every article of fixture V for each of its queries."""
+    v = fixtures.vector_fixture(spark, sf_dir)
+    r = rank.block_top_k(v.article_vectors, v.query_vectors, k=1_000_000)
     return r.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_ranked"),
                                      F.min("rank").cast("bigint").alias("first_rank"),
                                      F.max("rank").cast("bigint").alias("last_rank"))
@@ -693,7 +692,7 @@ def _prompt_out(df, key: str, prompt_col: str = "prompt"):
                                  lambda a, x: a + x).cast("bigint").alias("n_chars"))
 
 
-SQL_NOISY = "noisy AS (SELECT conv_id * 1000 + turn AS query_id, text AS query_text FROM conversations WHERE role = 'user')"
+SQL_NOISY = "noisy AS (SELECT conv_id * 1000000 + turn AS query_id, text AS query_text FROM conversations WHERE role = 'user')"
 
 
 @register("e3_rewrite_prompt", f"WITH {SQL_NOISY} SELECT query_id, "
@@ -711,40 +710,67 @@ def e4_title_prompt(spark, sf_dir):
                        "article_id")
 
 
-@register("e1_embed_column")
+def _sql_hash_digest(name: str) -> str:
+    """Filled buckets of the vectors of CTE ``name``: exact whole numbers, whatever the float width."""
+    return (f"(SELECT id, len(list_filter(e, lambda x: x <> 0))::BIGINT AS n_filled, "
+            f"coalesce(list_sum(list_transform(range({HASH_DIM}), lambda i: CASE WHEN e[i + 1] <> 0 THEN i ELSE 0 END)), 0)::BIGINT "
+            f"AS filled_sum FROM {name})")
+
+
+def _hash_digest(col: str = "embedding"):
+    at = F.filter(F.transform(F.col(col), lambda x, i: F.when(x != 0, i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    return [F.size(at).cast("bigint").alias("n_filled"),
+            F.aggregate(at, F.lit(0), lambda a, i: a + i).cast("bigint").alias("filled_sum")]
+
+
+_SQL_STRIP = OH.strip
+
+
+@register("e1_embed_column", f"""WITH {sql_hash('e1_v', 'benchmark', 'item_id', f"'{QUERY_INSTRUCTION}' || text")}
+SELECT id AS query_id, {HASH_DIM}::BIGINT AS dim, n_filled, filled_sum FROM {_sql_hash_digest('e1_v')}""")
 def e1_embed_column(spark, sf_dir):
     """E1 through the injected-model path: a Python encoder factory run by predict_batch_udf."""
     b = tables.read_table(spark, f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"),
                                                                   with_prefix("text").alias("t"))
     enc = infer.embed_column(b, "t", infer.hashing_encoder_factory(HASH_DIM), infer.BATCH_QUERIES)
-    return enc.select("query_id", F.size("embedding").cast("bigint").alias("dim"),
-                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+    return enc.select("query_id", F.size("embedding").cast("bigint").alias("dim"), *_hash_digest())
 
 
-@register("e5_rewrite_queries")
+@register("e5_rewrite_queries", f"""WITH {SQL_NOISY}
+SELECT query_id, query_text, {_SQL_STRIP("coalesce(query_text, '')")} AS rewritten_text FROM noisy""")
 def e5_rewrite_queries(spark, sf_dir):
     """E5 with the deterministic stand-in generator (no model weights are available)."""
-    return enrich.rewrite_queries(fixtures.noisy_queries(spark, sf_dir), infer.last_user_message_factory())
+    return enrich.rewrite_queries(fixtures.noisy_queries(spark, sf_dir), infer.last_user_message)
 
 
-@register("e6_generate_titles")
+@register("e6_generate_titles", f"""
+SELECT doc_id AS article_id, {_SQL_STRIP("coalesce(substr(text, 1, 1500), '')")} AS generated_title FROM documents""")
 def e6_generate_titles(spark, sf_dir):
     fx = fixtures.text_fixture(spark, sf_dir)
-    return enrich.generate_titles(fx.articles, infer.last_user_message_factory(8))
+    return enrich.generate_titles(fx.articles, infer.last_user_message)
+
 
+_SQL_REWRITTEN = f"rewritten AS (SELECT query_id, {_SQL_STRIP("coalesce(query_text, '')")} AS t FROM noisy)"
 
-@register("e7_rewrite_and_embed")
+
+@register("e7_rewrite_and_embed", f"""WITH {SQL_NOISY}, {_SQL_REWRITTEN},
+{sql_hash('e7_v', 'rewritten', 'query_id', f"'{QUERY_INSTRUCTION}' || t")}
+SELECT r.query_id, r.t AS rewritten_text, {HASH_DIM}::BIGINT AS dim, n_filled, filled_sum
+FROM rewritten r JOIN {_sql_hash_digest('e7_v')} v ON v.id = r.query_id""")
 def e7_rewrite_and_embed(spark, sf_dir):
-    out = enrich.rewrite_and_embed(fixtures.noisy_queries(spark, sf_dir), infer.last_user_message_factory(),
+    out = enrich.rewrite_and_embed(fixtures.noisy_queries(spark, sf_dir), infer.last_user_message,
                                    infer.hashing_encoder_factory(HASH_DIM))
-    return out.select("query_id", "rewritten_text", F.size("embedding").cast("bigint").alias("dim"))
+    return out.select("query_id", "rewritten_text", F.size("embedding").cast("bigint").alias("dim"), *_hash_digest())
 
 
-@register("e8_generate_and_embed")
+@register("e8_generate_and_embed", f"""
+WITH e8_t AS (SELECT doc_id, {_SQL_STRIP("coalesce(substr(text, 1, 1500), '')")} AS t FROM documents), {sql_hash('e8_v', 'e8_t', 'doc_id', 't')}
+SELECT doc_id AS article_id, t AS generated_title, {HASH_DIM}::BIGINT AS dim, n_filled, filled_sum
+FROM e8_t JOIN {_sql_hash_digest('e8_v')} v ON v.id = e8_t.doc_id""")
 def e8_generate_and_embed(spark, sf_dir):
     fx = fixtures.text_fixture(spark, sf_dir)
-    out = enrich.generate_and_embed(fx.articles, infer.last_user_message_factory(8), infer.hashing_encoder_factory(HASH_DIM))
-    return out.select("article_id", "generated_title", F.size("embedding").cast("bigint").alias("dim"))
+    out = enrich.generate_and_embed(fx.articles, infer.last_user_message, infer.hashing_encoder_factory(HASH_DIM))
+    return out.select("article_id", "generated_title", F.size("embedding").cast("bigint").alias("dim"), *_hash_digest())
 
 
 # ---------------------------------------------------------------- pluggable ranker, evaluation runs, answer job
@@ -770,17 +796,82 @@ def v10_evaluate_run(spark, sf_dir):
     return summary.select("method", "run", _r6("map").alias("map"), "n_queries")
 
 
-@register("v12_method_suite", f"{WITH_T} {sql_compare('SELECT method, ap FROM aps')}")
+def _run_section(spark, sf_dir, section):
+    """Fixture V evaluated and written twice (the second run replaces the first), one section read back."""
+    path = scratch_path(spark, "run")
+    v = fixtures.vector_fixture(spark, sf_dir)
+    for _ in range(2):
+        EVR.run_method(path, "labels", ranker=rank.dense_ranker, article_vectors=v.article_vectors, queries=v.queries,
+                       query_vectors=v.query_vectors, articles=v.articles)
+    return tables.read_run(spark, f"{path}/runs", section, "labels")
+
+
+@register("s10_header", f"{WITH_V} SELECT 'labels' AS run, 10::INT AS k, TRUE AS dated, 1::BIGINT AS n_headers")
+def s10_header(spark, sf_dir):
+    h = _run_section(spark, sf_dir, "header")
+    return h.groupBy("run", "k", F.col("run_at").isNotNull().alias("dated")).agg(F.count(F.lit(1)).alias("n_headers"))
+
+
+@register("s10_per_query_ap", f"{WITH_V} SELECT query_id, round(ap, 6) AS ap FROM ve_ap")
+def s10_per_query_ap(spark, sf_dir):
+    return _run_section(spark, sf_dir, "per_query_ap").select("query_id", _r6("ap").alias("ap"))
+
+
+@register("s10_ap_distribution", ORACLE["v9_ap_distribution"])
+def s10_ap_distribution(spark, sf_dir):
+    return _run_section(spark, sf_dir, "ap_distribution").select("bucket", "n_queries")
+
+
+@register("s10_worst_by_fp", ORACLE["v7_worst_by_fp"])
+def s10_worst_by_fp(spark, sf_dir):
+    out = _run_section(spark, sf_dir, "worst_by_fp")
+    return out.select("pos", "article_id", "title", "retrieved", "relevant", "hits", F.col("fp").cast("bigint"))
+
+
+@register("s10_worst_by_missed", ORACLE["v8_worst_by_missed"])
+def s10_worst_by_missed(spark, sf_dir):
+    out = _run_section(spark, sf_dir, "worst_by_missed")
+    return out.select("pos", "article_id", "title", "retrieved", "relevant", "hits", F.col("missed").cast("bigint"),
+                      _r6("recall").alias("recall"))
+
+
+def _sql_suite() -> str:
+    """Five methods over fixture T: (query side, article side) of each, by the hashing encoder and the stand-in generator."""
+    prefix = f"'{QUERY_INSTRUCTION}' || "
+    parts = [SQL_T, f"t_rw AS (SELECT query_id, {_SQL_STRIP('query_text')} AS t FROM t_queries)",
+             f"t_gen AS (SELECT article_id, {_SQL_STRIP('substr(body, 1, 1500)')} AS t FROM t_docs)",
+             sql_hash("t_qv", "t_queries", "query_id", prefix + "query_text"), sql_hash("t_rv", "t_rw", "query_id", prefix + "t"),
+             sql_hash("t_tv", "t_docs", "article_id", "title"), sql_hash("t_bv", "t_docs", "article_id", prefix + "body"),
+             sql_hash("t_gv", "t_gen", "article_id", "t")]
+    union = []
+    for name, qv, av in SUITE:
+        parts += [sql_topk(f"top_{name}", f"t_{qv}v", f"t_{av}v"), sql_eval(f"e_{name}", f"top_{name}", "t_queries", "t_docs")]
+        union.append(f"SELECT '{name}' AS method, ap FROM e_{name}_ap")
+    return "WITH " + ", ".join(p.strip() for p in parts) + " " + sql_compare(" UNION ALL ".join(union))
+
+
+#: Method, query side (q: the query, r: its rewrite), article side (t: title, b: body, g: generated title).
+SUITE = [("title", "q", "t"), ("body", "q", "b"), ("rewritten_title", "r", "t"), ("rewritten_body", "r", "b"),
+         ("generated_title", "q", "g")]
+
+
+@register("v12_method_suite", _sql_suite())
 def v12_method_suite(spark, sf_dir):
-    """V12 over fixture T: prefixed-body and plain-body methods run and compared from their written AP tables."""
+    """V12 over fixture T: five methods run and compared from their written AP tables. Each side is encoded once and
+    written (S6); titles and generated titles go without the prefix, queries, rewrites and bodies with it."""
     fx = fixtures.text_fixture(spark, sf_dir)
-    qv = hashing_encode(fx.queries.select("query_id", with_prefix("query_text").alias("t")), "t", HASH_DIM)
-    body = hashing_encode(fx.articles.select("article_id", with_prefix("body").alias("t")), "t", HASH_DIM)
-    plain = hashing_encode(fx.articles.select("article_id", F.col("body").alias("t")), "t", HASH_DIM)
-    qv = qv.select("query_id", "embedding")
-    configs = [EVR.MethodConfig("hash_body", body.select("article_id", "embedding"), qv),
-               EVR.MethodConfig("hash_plain", plain.select("article_id", "embedding"), qv)]
-    out = EVR.run_suite(configs, fx.queries, fx.articles, scratch_path(spark, "suite"))
+    path = scratch_path(spark, "suite")
+    rewritten = enrich.rewrite_queries(fx.queries, infer.last_user_message)
+    generated = enrich.generate_titles(fx.articles, infer.last_user_message)
+    sides = {"q": (fx.queries, "query_id", with_prefix("query_text")), "r": (rewritten, "query_id", with_prefix("rewritten_text")),
+             "t": (fx.articles, "article_id", F.col("title")), "b": (fx.articles, "article_id", with_prefix("body")),
+             "g": (generated, "article_id", F.col("generated_title"))}
+    vectors = {}
+    for name, (df, id_col, text) in sides.items():
+        tables.write_embeddings(hashing_encode(df.select(id_col, text.alias("t")), "t", HASH_DIM), f"{path}/vectors-{name}", id_col)
+        vectors[name] = tables.read_embeddings(spark, f"{path}/vectors-{name}", dim=HASH_DIM)
+    configs = [EVR.MethodConfig(m, vectors[a], vectors[q]) for m, q, a in SUITE]
+    out = EVR.run_suite(configs, fx.queries, fx.articles, path)
     return out.select("method", _r6("map").alias("map"), "n_queries", "n_zero", "pct_zero", "n_bucket0", "pct_bucket0")
 
 
@@ -861,11 +952,12 @@ def s6_embeddings_round_trip(spark, sf_dir):
     return tables.embedding_summary(tables.read_embeddings(spark, path))
 
 
-@register("s7_derived_text")
+@register("s7_derived_text", f"""WITH {SQL_NOISY}
+SELECT query_id, query_text, {_SQL_STRIP("coalesce(query_text, '')")} AS rewritten_text FROM noisy""")
 def s7_derived_text(spark, sf_dir):
     path = scratch_path(spark, "rewritten")
     tables.write_derived_text(enrich.rewrite_queries(fixtures.noisy_queries(spark, sf_dir),
-                                                     infer.last_user_message_factory()), path)
+                                                     infer.last_user_message), path)
     return spark.read.parquet(path)
 
 

@@ -27,23 +27,20 @@ REWRITE_SHOTS = [
      "привязка банковской карты к аккаунту"),
 ]
 
-# Title-generation prompt (system text, label, example pairs) used by the reference.
+# Title-generation prompt (system text and label) used by the reference.
 TITLE_SYSTEM = ("Ты — система генерации кратких описаний статей справки. "
                 "По началу статьи напиши короткую фразу (3-10 слов), "
                 "которая отражает ключевую суть проблемы или инструкции. "
                 "Используй ключевые термины, как если бы пользователь искал эту статью.")
 TITLE_LABEL = "Начало статьи: "
+# Our own neutral examples; callers with articles of their own pass theirs.
 TITLE_SHOTS = [
-    ("У вас будет 2 рабочих дня, чтобы отправить товар (не считая день оплаты заказа). Если не успеваете — продлите отправку на 4 календарных дня по кнопке Продлить срок отправки на странице заказа.",
-     "отправка товара продавцом после оплаты заказа"),
-    ("Как продавцу подключить скидки. Можно оплатить доставку для покупателя. Тогда на карточке товара и в результатах поиска появится отметка о скидке на доставку.",
-     "настройка скидки на доставку для продавца"),
-    ("Авито Доставка работает в разных регионах России. Доставку оплачивает покупатель, а продавец платит комиссию за продажу с Авито Доставкой.",
-     "условия работы и комиссия сервиса доставки"),
-    ("Оплатить товары с Авито Доставкой можно несколькими способами: картой, СБП, бонусами, балансом для покупок или при получении.",
-     "способы оплаты заказа при доставке"),
-    ("Когда покупатель заберёт заказ, вы сможете получить деньги. Откройте завершённый заказ и нажмите Получить оплату.",
-     "получение денег продавцом после доставки"),
+    ("Чтобы вернуть заказ, откройте раздел с покупками, выберите посылку и укажите причину возврата.",
+     "оформление возврата заказа"),
+    ("Если код подтверждения не пришёл, проверьте номер телефона и запросите код ещё раз через минуту.",
+     "не приходит код подтверждения"),
+    ("Квитанцию об оплате можно скачать в личном кабинете на странице платежей.",
+     "скачивание квитанции об оплате"),
 ]
 
 
@@ -66,6 +63,6 @@ def rewrite_prompt(col) -> Column:
     return build_prompt(col, REWRITE_SYSTEM, REWRITE_SHOTS, REWRITE_LABEL)
 
 
-def title_prompt(col) -> Column:
-    """Prompt for a short article title; pass the article head."""
-    return build_prompt(col, TITLE_SYSTEM, TITLE_SHOTS, TITLE_LABEL)
+def title_prompt(col, shots: list[tuple[str, str]] = TITLE_SHOTS) -> Column:
+    """Prompt for a short article title; pass the article head (P2), and example pairs (head, title) of one's own."""
+    return build_prompt(col, TITLE_SYSTEM, shots, TITLE_LABEL)

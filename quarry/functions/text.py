@@ -44,9 +44,12 @@ def split_ws(col) -> Column:
 
 
 def parse_gt(col) -> Column:
-    """Strict ground-truth parse. Whitespace-separated ids -> distinct BIGINT array; null -> []."""
-    ids = F.transform(split_ws(col), lambda t: t.try_cast("bigint"))
-    ids = F.filter(ids, lambda x: x.isNotNull())
+    """Strict ground-truth parse. Whitespace-separated ids -> distinct BIGINT array; null -> []. A token that
+    is no integer is an error: left out, it would shrink the ground truth and raise the score."""
+    def number(t):
+        bad = F.raise_error(F.concat(F.lit("not an article id in a ground truth: "), t)).cast("bigint")
+        return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint")).otherwise(bad)
+    ids = F.transform(split_ws(col), number)
     return F.coalesce(F.array_distinct(ids), F.array().cast("array<bigint>"))
 
 

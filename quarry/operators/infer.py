@@ -6,7 +6,8 @@ loaded model per worker and feeds it Arrow batches of ``batch_size`` rows, so mo
 repeated per row or per batch.
 
 * encoder factory -> ``fn(texts: np.ndarray[str]) -> np.ndarray[float32] (n, dim)``
-* generator factory -> ``fn(prompts: np.ndarray[str]) -> np.ndarray[object] (n,)`` of strings
+* generator factory, given the decoder's limit of new tokens -> ``fn(prompts: np.ndarray[str]) -> np.ndarray[object]
+  (n,)`` of strings
 
 Chat prompts (E3/E4) are ARRAY<STRUCT<role, content>> columns; they reach a generator as JSON text
 (``to_json``) so the UDF needs no nested-type conversion.
@@ -14,6 +15,7 @@ Chat prompts (E3/E4) are ARRAY<STRUCT<role, content>> columns; they reach a gene
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import py_strip
-from quarry.functions.vectors import bucket_counts, l2_normalize, token_buckets
+from quarry.functions.vectors import TOKEN_PATTERN, bucket_counts, l2_normalize, token_buckets
 
 # Batch sizes and generation limits of the reference's jobs.
 BATCH_TITLES = 32
@@ -65,8 +67,9 @@ def hashing_encoder_factory(dim: int = 64):
     """The same hashed bag of words as a Python encoder factory, to exercise E1's injected path."""
     def make():
         import hashlib
-        import re
-        pattern = re.compile(r"[^\W_]+", re.UNICODE)
+
+        import regex
+        pattern = regex.compile(TOKEN_PATTERN)
 
         def encode(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
@@ -80,34 +83,27 @@ def hashing_encoder_factory(dim: int = 64):
     return make
 
 
-def generator_udf(make_generator: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int):
-    """A vectorised UDF (prompt JSON string -> STRING) from a generator factory."""
-    return predict_batch_udf(make_generator, return_type=T.StringType(), batch_size=batch_size)
+def generator_udf(make_generator: Callable[[int], Callable[[np.ndarray], np.ndarray]], batch_size: int, max_new_tokens: int):
+    """A vectorised UDF (prompt JSON string -> STRING) from a generator factory, which is given the decoder's limit."""
+    return predict_batch_udf(functools.partial(make_generator, max_new_tokens), return_type=T.StringType(), batch_size=batch_size)
 
 
-def generate_column(df: DataFrame, prompt_col: str, make_generator, batch_size: int, out: str) -> DataFrame:
+def generate_column(df: DataFrame, prompt_col: str, make_generator, batch_size: int, out: str, max_new_tokens: int) -> DataFrame:
     """Run the generator over chat prompts; the output is stripped as the reference strips it."""
-    gen = generator_udf(make_generator, batch_size)(F.to_json(F.col(prompt_col)))
+    gen = generator_udf(make_generator, batch_size, max_new_tokens)(F.to_json(F.col(prompt_col)))
     return df.withColumn(out, py_strip(gen))
 
 
-def last_user_message_factory(max_words: int = 10):
-    """A stand-in generator without a model: the last user message with its instruction label removed,
-    cut to ``max_words`` words. Deterministic, so runs are repeatable (the reference decodes greedily)."""
-    def make():
-        import json
-
-        def generate(prompts: np.ndarray) -> np.ndarray:
-            res = []
-            for p in prompts:
-                msgs = json.loads(p) if p is not None else []
-                text = next((m.get("content", "") for m in reversed(msgs) if m.get("role") == "user"), "")
-                text = text.split(": ", 1)[1] if ": " in text else text
-                res.append(" ".join(text.split()[:max_words]))
-            return np.array(res, dtype=object)
-        return generate
-    return make
-
+def last_user_message(max_new_tokens: int):
+    """A stand-in generator factory without a model: the whole last user message without its instruction label. It
+    has no decoder, so the decoder's limit does not apply to it."""
+    import json
 
-def column_or_name(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    def generate(prompts: np.ndarray) -> np.ndarray:
+        res = []
+        for p in prompts:
+            msgs = json.loads(p) if p is not None else []
+            text = next((m.get("content") or "" for m in reversed(msgs) if m.get("role") == "user"), "")
+            res.append(text.split(": ", 1)[1] if ": " in text else text)
+        return np.array(res, dtype=object)
+    return generate

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MISSING_TITLE = "?"
-# Largest id list we ship to every executor for a title lookup.
-BROADCAST_ROWS = 100_000
 
 
 def title_source(emb_df: DataFrame, articles: DataFrame) -> DataFrame:
@@ -16,34 +14,20 @@ def title_source(emb_df: DataFrame, articles: DataFrame) -> DataFrame:
     return src.select(F.col("article_id").cast("bigint"), F.col("title"))
 
 
-def with_titles(df: DataFrame, titles: DataFrame, id_col: str = "article_id", max_rows: int | None = None) -> DataFrame:
-    """Add ``title`` by id lookup, '?' when the id is unknown.
-
-    ``max_rows``: a proven bound on the rows of ``df`` (a report of n queries x k ids). Within
-    BROADCAST_ROWS, the ids are broadcast as the build side of an inner join, so the corpus-sized title
-    table is streamed where it lies instead of shuffled; a small left join then restores ids without a
-    title. Without a bound it is a plain left join.
-    """
+def with_titles(df: DataFrame, titles: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """Add ``title`` by id lookup, '?' when the id is unknown. A left join whose strategy is left to Spark."""
     t = titles.select(F.col("article_id").cast("bigint").alias("_tid"), F.col("title").alias("_title"))
-    key = F.col(id_col).cast("bigint")
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        ids = df.select(key.alias("_tid")).distinct()
-        found = t.join(F.broadcast(ids), "_tid")
-        out = df.join(F.broadcast(found), key == F.col("_tid"), "left")
-    else:
-        out = df.join(t, key == F.col("_tid"), "left")
+    out = df.join(t, F.col(id_col).cast("bigint") == F.col("_tid"), "left")
     return out.withColumn("title", F.coalesce("_title", F.lit(MISSING_TITLE))).drop("_tid", "_title")
 
 
-def render_ids(df: DataFrame, key: str, ids_col: str, titles: DataFrame, out: str,
-               max_rows: int | None = None) -> DataFrame:
+def render_ids(df: DataFrame, key: str, ids_col: str, titles: DataFrame, out: str) -> DataFrame:
     """``id «title», id «title»`` in list order, one string per key row; an empty/null list gives ''.
 
-    Ids are rendered as given (so '0012' stays '0012') and looked up as numbers. ``max_rows`` bounds
-    the number of ids (see with_titles).
+    Ids are rendered as given (so '0012' stays '0012') and looked up as numbers.
     """
     e = df.select(key, F.posexplode(ids_col).alias("_pos", "_id"))
-    e = with_titles(e, titles, "_id", max_rows)
+    e = with_titles(e, titles, "_id")
     piece = F.concat(F.col("_id").cast("string"), F.lit(" «"), F.col("title"), F.lit("»"))
     agg = e.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", piece.alias("s")))),
                                                       lambda x: x["s"]), ", ").alias(out))

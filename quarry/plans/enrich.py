@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from quarry.functions.prompts import rewrite_prompt, title_prompt
 from quarry.functions.text import text_head, with_prefix
 from quarry.operators.infer import (BATCH_GENERATE_TITLES, BATCH_QUERIES, BATCH_REWRITE, embed_column,
-                                    generate_column)
+                                    MAX_NEW_TOKENS_REWRITE, MAX_NEW_TOKENS_TITLES, generate_column)
 
 
-def rewrite_queries(queries: DataFrame, make_generator) -> DataFrame:
+def rewrite_queries(queries: DataFrame, make_generator, max_new_tokens: int = MAX_NEW_TOKENS_REWRITE) -> DataFrame:
     """E5: (query_id, query_text, rewritten_text, ground_truth) with the generator's rewrite."""
     p = queries.withColumn("_prompt", rewrite_prompt("query_text"))
-    out = generate_column(p, "_prompt", make_generator, BATCH_REWRITE, "rewritten_text").drop("_prompt")
+    out = generate_column(p, "_prompt", make_generator, BATCH_REWRITE, "rewritten_text", max_new_tokens).drop("_prompt")
     cols = [c for c in ["query_id", "query_text", "rewritten_text", "ground_truth"] if c in out.columns]
     return out.select(*cols)
 
@@ -26,10 +26,11 @@ def rewrite_and_embed(queries: DataFrame, make_generator, make_encoder) -> DataF
     return enc.drop("_in")
 
 
-def generate_titles(articles: DataFrame, make_generator) -> DataFrame:
+def generate_titles(articles: DataFrame, make_generator, max_new_tokens: int = MAX_NEW_TOKENS_TITLES) -> DataFrame:
     """(article_id, generated_title) from the first 1500 characters of the body."""
     p = articles.select("article_id", title_prompt(text_head("body")).alias("_prompt"))
-    return generate_column(p, "_prompt", make_generator, BATCH_GENERATE_TITLES, "generated_title").drop("_prompt")
+    out = generate_column(p, "_prompt", make_generator, BATCH_GENERATE_TITLES, "generated_title", max_new_tokens)
+    return out.drop("_prompt")
 
 
 def generate_and_embed(articles: DataFrame, make_generator, make_encoder) -> DataFrame:

@@ -28,7 +28,7 @@ def evaluate(ranker: Ranker, article_vectors: DataFrame, queries: DataFrame, que
     """Rank, then every report section for ``method``.
 
     The rankings -- the expensive part -- are computed once and materialised; all sections read them.
-    Sections: summary (method, map, n_queries), per_query_ap, worst_queries, best_queries, worst_by_fp,
+    Sections: header (run, run_at, k), summary (run, map, n_queries), per_query_ap, worst_queries, best_queries, worst_by_fp,
     worst_by_missed, ap_distribution.
     """
     rankings = materialize(ranker(article_vectors, query_vectors, k), f"rankings-{method}")
@@ -38,6 +38,7 @@ def evaluate(ranker: Ranker, article_vectors: DataFrame, queries: DataFrame, que
     stats = ev.article_stats(judged, gt, articles)
     titles = title_source(article_vectors, articles)
     report = {
+        "header": summary_header(ap, method, k),
         "summary": ev.mean_average_precision(ap).select(F.lit(method).alias("run"), "map", "n_queries"),
         "per_query_ap": ap,
         "worst_queries": ev.query_report(ev.worst_queries(ap, n_report), queries, rankings, titles, k, n_report),
@@ -49,6 +50,12 @@ def evaluate(ranker: Ranker, article_vectors: DataFrame, queries: DataFrame, que
     return report
 
 
+def summary_header(ap: DataFrame, method: str, k: int) -> DataFrame:
+    """When the run was made and how deep it ranked: one row."""
+    return ap.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(method).alias("run"), F.current_timestamp().alias("run_at"),
+                                                       F.lit(k).cast("int").alias("k"))
+
+
 def run_method(path: str, method: str, **kwargs) -> DataFrame:
     """V10 + S9 + S10: evaluate, write every section and the AP table, return the summary as written."""
     report = evaluate(method=method, **kwargs)

@@ -86,11 +86,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name + "-" + os.urandom(6).hex()
-
-
-def spread(df):
-    """Round-robin a freshly read table over every core when it arrives in fewer partitions (e.g. one
-    parquet row group). A no-op for inputs that already have at least as many partitions as there are
-    cores. Only for leaf scans: counting the partitions of a plan with shuffles would run them."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(parallelism) if df.rdd.getNumPartitions() < parallelism else df

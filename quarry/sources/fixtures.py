@@ -3,7 +3,7 @@
 Every fixture reads whole tables; rows are assigned roles (query or article), never dropped.
 
 * V (vectors): ``embeddings`` rows with ``vec_id % 10 = 0`` are queries, the others articles. A query's
-  ground truth is every article with its label, ascending.
+  ground truth is the GT_IDS articles of its label that come first by a hash of their ids, ascending.
 * R (rank-derived): ground truth picked from ranks of fixture V's top 10 by ``(query_id // 10) % 5``,
   giving known AP values (1, 0.75, 0.1, 0.5317, 0); case 4 alternates NULL and ''.
 * T (text): ``benchmark`` passages are queries, ``documents`` the articles; ground truth is every
@@ -25,6 +25,9 @@ from quarry.sources.tables import read_embeddings
 # Fixed value: ranks that become ground truth in fixture R, by case (query_id // 10) % 5.
 RANK_CASES = {0: [1], 1: [1, 4], 2: [10], 3: [2, 3, 7], 4: []}
 
+# Articles in a query's ground truth in fixture V.
+GT_IDS = 40
+
 DEFAULT_MATCH_BLOCK_BYTES = 64 << 20
 
 
@@ -47,9 +50,11 @@ def vector_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     is_query = (F.col("vec_id") % 10) == 0
     arts = emb.where(~is_query).select(F.col("vec_id").alias("article_id"), "embedding", "label")
     qs = emb.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    # One id list per label (it is every query's ground-truth string for that label), joined many-to-one
-    # to the queries: no (query, article) pairs are formed.
-    per_label = _ids_string(arts.select("label", "article_id"), "label", "article_id", "ground_truth")
+    # One id list of at most GT_IDS ids per label, joined many-to-one to the queries: the window's limit is applied
+    # by every task before the shuffle, so a label of any size sends GT_IDS rows a task.
+    first = Window.partitionBy("label").orderBy(F.md5(F.col("article_id").cast("string")), "article_id")
+    chosen = arts.select("label", "article_id", F.row_number().over(first).alias("_r")).where(F.col("_r") <= GT_IDS)
+    per_label = _ids_string(chosen, "label", "article_id", "ground_truth")
     queries = (qs.join(per_label, "label", "left")
                .select("query_id",
                        F.concat(F.lit("vector "), F.col("query_id").cast("string"), F.lit(" label "),
@@ -161,10 +166,10 @@ def text_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
 
 
 def noisy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of ``conversations`` as (query_id, query_text); query_id = conv_id * 1000 + turn."""
+    """User turns of ``conversations`` as (query_id, query_text); query_id = conv_id * 1000000 + turn."""
     conv = tables.read_table(spark, f"{sf_dir}/conversations.parquet")
     return conv.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("query_id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).cast("bigint").alias("query_id"),
         F.col("text").alias("query_text"))
 
 

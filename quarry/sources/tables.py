@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import spread
-
 ARTICLE_SCHEMA = "article_id BIGINT, title STRING, body STRING"
 LABELLED_QUERY_SCHEMA = "query_id BIGINT, query_text STRING, ground_truth STRING"
 QUERY_SCHEMA = "query_id BIGINT, query_text STRING"
@@ -14,9 +12,9 @@ AP_SCHEMA = "query_id BIGINT, ap DOUBLE, method STRING"
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet scan (schema fixed when given), spread over all cores when it has fewer partitions."""
+    """Parquet scan (schema fixed when given); Spark's own settings split it."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return spread(reader.parquet(path))
+    return reader.parquet(path)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -47,13 +45,12 @@ def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
 def checked_embeddings(df: DataFrame, emb_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """S5 checks, evaluated inline by whatever consumes the rows (no separate pass over the table).
 
-    Every vector must be non-null, free of NaN and, when ``dim`` is given, exactly that long. The block
-    ranker additionally checks each article vector against the query dimension inside its tasks.
+    Every vector must be non-null, free of NaN and ``dim`` long; without ``dim``, as long as the table's longest one
+    (a scalar subquery of the same job).
     """
     v = F.col(emb_col)
-    bad = v.isNull() | F.exists(v, lambda x: F.isnan(x) | x.isNull())
-    if dim is not None:
-        bad = bad | (F.size(v) != dim)
+    want = F.lit(dim) if dim is not None else df.agg(F.max(F.size(emb_col))).scalar()
+    bad = v.isNull() | F.exists(v, lambda x: F.isnan(x) | x.isNull()) | (F.size(v) != want)
     checked = F.when(bad, F.raise_error(F.concat(F.lit("invalid embedding vector (null, NaN or wrong length) in column "),
                                                  F.lit(emb_col)))).otherwise(v)
     return df.withColumn(emb_col, checked.cast("array<float>"))
@@ -99,8 +96,9 @@ def read_answer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query_id BIGINT, answer STRING").option("header", True).csv(path)
 
 
-def write_ap(ap: DataFrame, path: str, method: str | None = None, mode: str = "append") -> None:
-    """S9 sink: per-query AP, one partition folder per method (replaces only that method's folder)."""
+def write_ap(ap: DataFrame, path: str, method: str | None = None, mode: str = "overwrite") -> None:
+    """S9 sink: per-query AP, one partition folder per method. Written again, a method replaces its own folder and no
+    other (dynamic partition overwrite)."""
     out = ap if method is None else ap.withColumn("method", F.lit(method))
     (out.select(F.col("query_id").cast("bigint"), F.col("ap").cast("double"), F.col("method").cast("string"))
         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(path))

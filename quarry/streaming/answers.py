@@ -18,7 +18,7 @@ from quarry.sources.tables import QUERY_SCHEMA
 
 
 def answer_stream(spark: SparkSession, queries_path: str, articles: DataFrame, out_path: str, checkpoint: str,
-                  article_vectors: DataFrame | None = None, embed=None, k: int = 10, max_files: int = 1,
+                  article_vectors: DataFrame | None = None, embed=None, k: int = 10, max_files: int | None = None,
                   available_now: bool = True):
     """Start the stream; returns the StreamingQuery. ``articles`` holds (article_id, title).
 
@@ -29,8 +29,10 @@ def answer_stream(spark: SparkSession, queries_path: str, articles: DataFrame, o
     if article_vectors is None:
         enc = (embed or hashing_embedder())(articles.select("article_id", F.col("title").alias("_t")), "_t")
         article_vectors = materialize(enc.select("article_id", "embedding"), "stream-article-vectors")
-    stream = (spark.readStream.schema(QUERY_SCHEMA).option("maxFilesPerTrigger", max_files)
-              .parquet(queries_path))
+    reader = spark.readStream.schema(QUERY_SCHEMA)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(queries_path)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         ans = answer_queries(batch, articles, embed=embed, k=k, article_vectors=article_vectors)
