@@ -22,14 +22,16 @@ from quarry.functions.text import py_strip
 # The rewrite chain (pattern, replacement) applied in order. Rules sharing a replacement
 # are one alternation, so the text is scanned once per distinct replacement.
 _BLOCK = "p|div|ul|ol|table|tbody|thead|article|section|header|footer|nav|main|aside|blockquote|pre"
+# What a tag holds up to its end; a quoted value may hold '>'.
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^>"'])*"""
 TEXT_RULES = (
-    [(r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")]
-    + [(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
+    [(rf"(?is)<!--.*?-->|<script\b{_ATTRS}>.*?</script\s*>|<style\b{_ATTRS}>.*?</style\s*>", "")]
+    + [(rf"(?i)<h{n}\b{_ATTRS}>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
     + [(r"(?i)</h[1-6]\s*>", "\n\n"),
-       (r"(?i)<li\b[^>]*>", "\n* "),
+       (rf"(?i)<li\b{_ATTRS}>", "\n* "),
        (r"(?i)</t[dh]\s*>", " | "),
-       (r"(?i)</li\s*>|</?tr\b[^>]*>|<br\b[^>]*>|</?(" + _BLOCK + r")\b[^>]*>", "\n"),
-       (r"""<[A-Za-z/!?](?:"[^"]*"|'[^']*'|[^>"'])*>""", "")])
+       (rf"(?i)</li\s*>|</?tr\b{_ATTRS}>|<br\b{_ATTRS}>|</?({_BLOCK})\b{_ATTRS}>", "\n"),
+       (rf"<[A-Za-z/!?]{_ATTRS}>", "")])
 _RULES = [(re.compile(pattern), repl) for pattern, repl in TEXT_RULES]
 _LIST = re.compile(r"(?i)<(/?)(ol|ul|li)\b([^>]*)>")
 _START = re.compile(r"(?i)\bstart\s*=\s*[\"']?(\d+)")
