@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import dot
+from quarry.session import scratch_path
 
 TIE_DECIMALS = 9
 DEFAULT_BLOCK_BYTES = 256 << 20
 # Score-matrix cells per GEMM call inside a task (float64 -> 32 MB).
 CELLS_PER_CHUNK = 4_000_000
+# Queries per GEMM call.
+QUERY_TILE = 2048
 
 RANKING_SCHEMA = "query_id BIGINT, rank INT, article_id BIGINT, score DOUBLE"
 _PARTIAL_SCHEMA = "query_id BIGINT, article_id BIGINT, score DOUBLE, tie_key DOUBLE"
@@ -43,33 +46,49 @@ rankings table (query_id, rank, article_id, score). Any callable of this shape p
 evaluation (quarry.plans.evaluation)."""
 
 
-def _select_topk(scores: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int):
-    """Per row, the k best candidates by (key desc, id asc), in rank order."""
-    nq, m = scores.shape
-    if m == 0:
-        return scores, keys, ids
-    kk = min(k, m)
-    if m > kk:
-        kth = -np.partition(-keys, kk - 1, axis=1)[:, kk - 1]
-        r, c = np.nonzero(keys >= kth[:, None])
-    else:
-        r, c = np.nonzero(np.ones_like(keys, dtype=bool))
-    order = np.lexsort((ids[r, c], -keys[r, c], r))
-    r, c = r[order], c[order]
-    start = np.searchsorted(r, np.arange(nq))
-    keep = (np.arange(len(r)) - start[r]) < kk
-    r, c = r[keep], c[keep]
-    return scores[r, c].reshape(nq, kk), keys[r, c].reshape(nq, kk), ids[r, c].reshape(nq, kk)
+class _Best:
+    """The k best candidates of each query so far, by (key desc, id asc); unfilled places have key -inf."""
+
+    def __init__(self, nq: int, k: int):
+        self.k = k
+        self.score = np.full((nq, k), -np.inf)
+        self.key = np.full((nq, k), -np.inf)
+        self.id = np.full((nq, k), np.iinfo(np.int64).max)
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in the scores of some articles (columns) for the queries from ``first`` on (rows).
+
+        Only cells that reach a query's k-th best are looked at any further; after the first articles these are few,
+        so a cell costs a comparison.
+        """
+        keys = np.round(scores, TIE_DECIMALS)
+        rows = slice(first, first + len(scores))
+        bar = self.key[rows, -1]
+        empty = np.isneginf(bar)
+        if empty.any() and keys.shape[1] > self.k:
+            bar = bar.copy()
+            bar[empty] = -np.partition(-keys[empty], self.k - 1, axis=1)[:, self.k - 1]
+        r, c = np.nonzero(keys >= bar[:, None])
+        if not len(r):
+            return
+        touched = np.unique(r)
+        at = first + touched
+        owner = np.concatenate([np.repeat(touched, self.k), r])
+        score = np.concatenate([self.score[at].ravel(), scores[r, c]])
+        key = np.concatenate([self.key[at].ravel(), keys[r, c]])
+        id_ = np.concatenate([self.id[at].ravel(), ids[c]])
+        order = np.lexsort((id_, -key, owner))
+        owner = owner[order]
+        start = np.searchsorted(owner, touched)
+        pick = order[start[:, None] + np.arange(self.k)]  # every touched query has at least k candidates
+        self.score[at], self.key[at], self.id[at] = score[pick], key[pick], id_[pick]
 
 
 def _block_topk(bc, k: int, id_col: str, emb_col: str):
     def run(batches):
         qids, qmat = bc.value
         nq, dim = qmat.shape
-        best_s = np.empty((nq, 0))
-        best_k = np.empty((nq, 0))
-        best_i = np.empty((nq, 0), dtype=np.int64)
-        step = max(1, CELLS_PER_CHUNK // max(nq, 1))
+        best, seen = None, 0
         for rb in batches:
             n = rb.num_rows
             if n == 0 or nq == 0:
@@ -80,25 +99,37 @@ def _block_topk(bc, k: int, id_col: str, emb_col: str):
                 raise ValueError(f"article vectors must all have the query dimension {dim}")
             ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             amat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
-            for s in range(0, n, step):
-                block = qmat @ amat[s:s + step].T
-                if np.isnan(block).any():
-                    raise ValueError("NaN score: embeddings must not hold NaN")
-                cand_s = np.concatenate([best_s, block], axis=1)
-                cand_k = np.concatenate([best_k, np.round(block, TIE_DECIMALS)], axis=1)
-                cand_i = np.concatenate([best_i, np.broadcast_to(ids[s:s + step], block.shape)], axis=1)
-                best_s, best_k, best_i = _select_topk(cand_s, cand_k, cand_i, k)
-        kk = best_s.shape[1]
-        if kk == 0:
+            seen += n
+            if best is None or best.k < min(k, seen):  # places are made as articles come, so a large k costs no more than them
+                best = _grown(best, nq, min(k, max(seen, 2 * (best.k if best else 0))))
+            for s in range(0, n, CELLS_PER_CHUNK // QUERY_TILE):
+                part = slice(s, s + CELLS_PER_CHUNK // QUERY_TILE)
+                for q in range(0, nq, QUERY_TILE):
+                    block = qmat[q:q + QUERY_TILE] @ amat[part].T
+                    if np.isnan(block).any():
+                        raise ValueError("NaN score: embeddings must not hold NaN")
+                    best.add(q, block, ids[part])
+        if best is None:
             return
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, kk)), pa.array(best_i.ravel()),
-             pa.array(best_s.ravel()), pa.array(best_k.ravel())],
-            names=["query_id", "article_id", "score", "tie_key"])
+        for q in range(0, nq, max(1, 200_000 // best.k)):
+            rows = slice(q, q + max(1, 200_000 // best.k))
+            real = ~np.isneginf(best.key[rows])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qids[rows], real.sum(axis=1))), pa.array(best.id[rows][real]),
+                 pa.array(best.score[rows][real]), pa.array(best.key[rows][real])],
+                names=["query_id", "article_id", "score", "tie_key"])
     return run
 
 
-def _query_blocks(queries: DataFrame, id_col: str, emb_col: str, block_bytes: int):
+def _grown(best: _Best | None, nq: int, k: int) -> _Best:
+    out = _Best(nq, k)
+    if best is not None:
+        for name in ("score", "key", "id"):
+            getattr(out, name)[:, :best.k] = getattr(best, name)
+    return out
+
+
+def _query_blocks(queries: DataFrame, id_col: str, emb_col: str, block_bytes: int, k: int):
     """Split the query side into broadcastable blocks after checking its size.
 
     One aggregate gives the row count and the vector dimension (min = max is checked when the blocks
@@ -109,7 +140,8 @@ def _query_blocks(queries: DataFrame, id_col: str, emb_col: str, block_bytes: in
     n, dim = int(row["n"]), int(row["d"] or 0)
     if n == 0:
         return 0, []
-    n_blocks = max(1, math.ceil(n * max(dim, 1) * 8 / block_bytes))
+    # a query holds its vector and k (score, key, id) places
+    n_blocks = max(1, math.ceil(n * (max(dim, 1) + 3 * min(k, 1000)) * 8 / block_bytes))
     if n_blocks == 1:
         return dim, [queries]
     block_of = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks))
@@ -155,11 +187,17 @@ def block_top_k(articles: DataFrame, queries: DataFrame, k: int = 10, *, article
     if max_tasks:
         arts = arts.coalesce(max_tasks)
     dim, blocks = _query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(emb_col).alias("embedding")),
-                                "query_id", "embedding", block_bytes)
+                                "query_id", "embedding", block_bytes, k)
     partials = []
     for block in blocks:
         bc = spark.sparkContext.broadcast(_to_matrix(block, "query_id", "embedding", dim))
-        partials.append(arts.mapInArrow(_block_topk(bc, k, "article_id", "embedding"), _PARTIAL_SCHEMA))
+        part = arts.mapInArrow(_block_topk(bc, k, "article_id", "embedding"), _PARTIAL_SCHEMA)
+        if len(blocks) > 1:  # written down, so that one block's broadcast at a time is alive
+            path = scratch_path(spark, "top-k-block")
+            part.write.parquet(path)
+            part = spark.read.schema(_PARTIAL_SCHEMA).parquet(path)
+            bc.destroy()
+        partials.append(part)
     if not partials:
         return spark.createDataFrame([], RANKING_SCHEMA)
     cand = partials[0]
@@ -220,22 +258,23 @@ def check_answer(answer: DataFrame, queries: DataFrame, articles: DataFrame, k:
     Checks: every query answered, no unknown query, one row per query, at most k ids, no repeated ids,
     every id an existing article.
     """
+    ids = F.filter(F.split(F.coalesce("answer", F.lit("")), " "), lambda t: t != "")
+    # one row per answered id (or one for an answer without ids), each with its answer's own flags
+    a = answer.select("query_id", ids.alias("ids")).select(
+        "query_id", (F.size("ids") > k).alias("too_many"), (F.size(F.array_distinct("ids")) < F.size("ids")).alias("repeated"),
+        F.posexplode_outer("ids").alias("pos", "tok"))
+    known = articles.select(F.col("article_id").cast("bigint").alias("_known")).distinct()
+    a = a.join(known, F.col("tok").try_cast("bigint") == F.col("_known"), "left")
+    per_query = a.groupBy(F.col("query_id").alias("_answered")).agg(
+        F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("n"), F.max("too_many").alias("too_many"),
+        F.max("repeated").alias("repeated"), F.max(F.col("tok").isNotNull() & F.col("_known").isNull()).alias("unknown"))
     q = queries.select("query_id").distinct()
-    a = answer.select("query_id", F.filter(F.split(F.coalesce("answer", F.lit("")), " "), lambda t: t != "")
-                      .alias("ids"))
-    missing = q.join(a, "query_id", "left_anti").select("query_id", F.lit("missing_query").alias("violation"))
-    unknown = a.join(q, "query_id", "left_anti").select("query_id", F.lit("unknown_query").alias("violation"))
-    dup = (a.groupBy("query_id").count().where(F.col("count") > 1)
-           .select("query_id", F.lit("duplicate_query").alias("violation")))
-    too_many = a.where(F.size("ids") > k).select("query_id", F.lit("too_many_ids").alias("violation"))
-    repeated = (a.where(F.size(F.array_distinct("ids")) < F.size("ids"))
-                .select("query_id", F.lit("repeated_ids").alias("violation")))
-    ids = a.select("query_id", F.explode("ids").alias("tok")).select("query_id", F.col("tok").try_cast("bigint").alias("article_id"))
-    known = articles.select(F.col("article_id").cast("bigint"))
-    unknown_art = (ids.join(known, "article_id", "left_anti").select("query_id").distinct()
-                   .select("query_id", F.lit("unknown_article").alias("violation")))
-    return missing.unionByName(unknown).unionByName(dup).unionByName(too_many).unionByName(repeated) \
-        .unionByName(unknown_art).distinct()
+    both = q.join(per_query, F.col("query_id") == F.col("_answered"), "full")
+    found = [(F.col("_answered").isNull(), "missing_query"), (F.col("query_id").isNull(), "unknown_query"),
+             (F.col("n") > 1, "duplicate_query"), (F.col("too_many"), "too_many_ids"), (F.col("repeated"), "repeated_ids"),
+             (F.col("unknown"), "unknown_article")]
+    names = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in found]), lambda v: v.isNotNull())
+    return both.select(F.coalesce("query_id", "_answered").alias("query_id"), F.explode(names).alias("violation"))
 
 
 def answer_check_summary(violations: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from quarry.functions.text import with_prefix
 from quarry.operators.infer import hashing_encode
 from quarry.operators.rank import Ranker, dense_ranker, to_answer
+from quarry.plans.evaluation import materialize
 from quarry.sources.tables import write_answer
 
 
@@ -27,7 +28,9 @@ def answer_queries(queries: DataFrame, articles: DataFrame, embed=None, ranker:
     if article_vectors is None:
         article_vectors = embed(articles.select("article_id", articles["title"].alias("_t")), "_t").select(
             "article_id", "embedding")
-    rankings = ranker(article_vectors, qv, k)
+        article_vectors = materialize(article_vectors, "answer-articles")
+    # written once: neither the ranker's look at the size nor a further block of queries runs the encoder again
+    rankings = ranker(article_vectors, materialize(qv, "answer-queries"), k)
     return to_answer(rankings, queries)
 
 

@@ -56,3 +56,39 @@ def test_answer_and_checks(spark):
     arts = spark.createDataFrame([(i,) for i in range(1, 12)], "article_id long")
     v = {(x.query_id, x.violation) for x in rank.check_answer(bad, q, arts).collect()}
     assert v == {(1, "repeated_ids"), (4, "unknown_query"), (3, "missing_query"), (2, "too_many_ids")}
+
+
+def test_texts_are_encoded_once(spark, tmp_path):
+    from quarry.operators import infer
+    from quarry.plans.answer import answer_queries
+    seen = str(tmp_path / "seen")
+
+    def factory():
+        def encode(texts):
+            with open(seen, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return np.array([[float(len(t)), 1.0] for t in texts], dtype=np.float32)
+        return encode
+    q = spark.createDataFrame([(i, "q" * i) for i in range(1, 21)], "query_id long, query_text string")
+    a = spark.createDataFrame([(i, "t" * i) for i in range(1, 41)], "article_id long, title string")
+    for blocks in (1, 4):
+        spark.conf.set("quarry.rank.blockBytes", str(20 * (2 + 30) * 8 // blocks))
+        try:
+            ans = answer_queries(q, a, embed=lambda df, col: infer.embed_column(df, col, factory), k=10)
+            assert ans.count() == 20
+        finally:
+            spark.conf.unset("quarry.rank.blockBytes")
+        with open(seen) as f:
+            assert sum(map(int, f)) == 60
+        import os
+        os.remove(seen)
+
+
+def test_every_violation_of_an_answer(spark):
+    from quarry.operators.rank import check_answer
+    q = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "query_id long")
+    a = spark.createDataFrame([(1, "7 8"), (2, "7 7"), (3, "9 x"), (4, "7"), (4, ""), (9, "7 8 7")], "query_id long, answer string")
+    art = spark.createDataFrame([(7,), (8,)], "article_id long")
+    got = sorted((r.query_id, r.violation) for r in check_answer(a, q, art, k=2).collect())
+    assert got == [(2, "repeated_ids"), (3, "unknown_article"), (4, "duplicate_query"), (5, "missing_query"),
+                   (9, "repeated_ids"), (9, "too_many_ids"), (9, "unknown_query")]
