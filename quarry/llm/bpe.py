@@ -18,6 +18,7 @@ marks, from left to right, the one token that reaches each place of the word.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -203,6 +204,12 @@ class WordBpe:
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
 
 
+@functools.lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    """The worker's automaton: Spark reuses Python workers, so tasks after the first find it built, with its memo."""
+    return WordBpe(path)
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again: doc_id, n_tokens, ids_sha256, decoded_sha256 (and, if asked
@@ -222,9 +229,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     schema = pa.schema(fields)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
+        bpe = word_bpe(tokenizer)
         for big in batches:
-            bpe = bpe or WordBpe(tokenizer)
             for k in range(0, big.num_rows, 256):  # bounds what a batch of long texts decodes to
                 batch = big.slice(k, 256)
                 rows = []

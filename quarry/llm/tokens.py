@@ -13,6 +13,7 @@ writes to will do, and a lost task leaves nothing behind). All integers are litt
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -228,6 +229,12 @@ class ChunkEncoder:
         return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder: Spark reuses Python workers, so tasks after the first find it loaded, with its memo."""
+    return ChunkEncoder(path)
+
+
 def encode_to_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id",
                        text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Segments (part, seq, n_ids, payload) of all texts in ascending id order, each text followed by ``end_id``.
@@ -243,7 +250,7 @@ def encode_to_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ids, held, doc_ids, counts, seq, before, part = None, [], 0, [], [], 0, 0, 0
+        enc, ids, held, doc_ids, counts, seq, before, part = encoder(tokenizer), [], 0, [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), dtype="<u4")
@@ -252,7 +259,6 @@ def encode_to_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col:
                                                "n_ids": pa.array([len(flat)], pa.int64()),
                                                "payload": pa.array([payload], pa.binary())})
         for batch in batches:
-            enc = enc or ChunkEncoder(tokenizer)
             for d, text, part in zip(batch.column("doc_id").to_pylist(), string_column(batch, "text"),
                                      batch.column("part").to_pylist()):
                 got = enc.encode(text) + end
