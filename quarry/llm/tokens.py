@@ -34,7 +34,7 @@ PERCENTILE = 0.9
 #: A segment is closed once it holds this many ids.
 SEGMENT_IDS = 1 << 20
 #: Distinct chunks remembered by a worker (two generations of this size).
-MEMO = 400_000
+MEMO = 300_000
 MAGIC = b"PFR1"
 
 #: White space of Unicode as the tokenizer's own patterns have it (fixed values).
