@@ -746,8 +746,7 @@ def e5_rewrite_queries(spark, sf_dir):
 @register("e6_generate_titles", f"""
 SELECT doc_id AS article_id, {_SQL_STRIP("coalesce(substr(text, 1, 1500), '')")} AS generated_title FROM documents""")
 def e6_generate_titles(spark, sf_dir):
-    fx = fixtures.text_fixture(spark, sf_dir)
-    return enrich.generate_titles(fx.articles, infer.last_user_message)
+    return enrich.generate_titles(fixtures.text_articles(spark, sf_dir), infer.last_user_message)
 
 
 _SQL_REWRITTEN = f"rewritten AS (SELECT query_id, {_SQL_STRIP("coalesce(query_text, '')")} AS t FROM noisy)"
@@ -768,8 +767,7 @@ WITH e8_t AS (SELECT doc_id, {_SQL_STRIP("coalesce(substr(text, 1, 1500), '')")}
 SELECT doc_id AS article_id, t AS generated_title, {HASH_DIM}::BIGINT AS dim, n_filled, filled_sum
 FROM e8_t JOIN {_sql_hash_digest('e8_v')} v ON v.id = e8_t.doc_id""")
 def e8_generate_and_embed(spark, sf_dir):
-    fx = fixtures.text_fixture(spark, sf_dir)
-    out = enrich.generate_and_embed(fx.articles, infer.last_user_message, infer.hashing_encoder_factory(HASH_DIM))
+    out = enrich.generate_and_embed(fixtures.text_articles(spark, sf_dir), infer.last_user_message, infer.hashing_encoder_factory(HASH_DIM))
     return out.select("article_id", "generated_title", F.size("embedding").cast("bigint").alias("dim"), *_hash_digest())
 
 
@@ -912,13 +910,11 @@ def r7_answer_stream(spark, sf_dir):
 # ---------------------------------------------------------------- sink / scan round trips
 
 @register("s1_read_articles", f"""WITH {OH.fixture_sql()}
-SELECT count(*)::BIGINT AS n_rows, sum(length(title))::BIGINT AS title_chars, sum(length(body))::BIGINT AS body_chars FROM h_src""")
+SELECT article_id, title, md5(body) AS body_md5 FROM h_src""")
 def s1_read_articles(spark, sf_dir):
     path = scratch_path(spark, "articles")
     _html_articles(spark, sf_dir).write.parquet(path)
-    a = tables.read_articles(spark, path)
-    return a.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.sum(F.length("title")).cast("bigint").alias("title_chars"),
-                 F.sum(F.length("body")).cast("bigint").alias("body_chars"))
+    return tables.read_articles(spark, path).select("article_id", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 @register("s2_read_labelled_queries", f"WITH {SQL_T} SELECT query_id, query_text, ground_truth FROM t_queries")
@@ -944,13 +940,17 @@ def s4_cleaned_round_trip(spark, sf_dir):
 
 
 @register("s6_embeddings_round_trip", """
-SELECT count(*)::BIGINT AS n_rows, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim
+SELECT vec_id AS article_id, 'vector ' || vec_id || ' label ' || label AS title, len(embedding)::BIGINT AS dim,
+       round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last
 FROM embeddings WHERE vec_id % 10 <> 0""")
 def s6_embeddings_round_trip(spark, sf_dir):
     path = scratch_path(spark, "title-emb")
     v = fixtures.vector_fixture(spark, sf_dir)
     tables.write_embeddings(v.article_vectors.join(v.articles, "article_id"), path, "article_id", ("title",))
-    return tables.embedding_summary(tables.read_embeddings(spark, path))
+    e = tables.read_embeddings(spark, path)
+    return e.select("article_id", "title", F.size("embedding").cast("bigint").alias("dim"),
+                    F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"),
+                    F.round(F.element_at("embedding", 64).cast("double"), 6).alias("last"))
 
 
 @register("s7_derived_text", f"""WITH {SQL_NOISY}
@@ -995,14 +995,14 @@ def p6_title_lookup(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("bigint"), "article_id", "title")
 
 
-@register("p7_title_source", "SELECT count(*)::BIGINT AS n_titles FROM embeddings WHERE vec_id % 10 <> 0")
+@register("p7_title_source", "SELECT vec_id AS article_id, 'vector ' || vec_id || ' label ' || label AS title FROM embeddings WHERE vec_id % 10 <> 0")
 def p7_title_source(spark, sf_dir):
     """Titles come from the embedding table when it has them, else from the article table."""
     v = fixtures.vector_fixture(spark, sf_dir)
     with_title = v.article_vectors.join(v.articles.select("article_id", "title"), "article_id")
     a = title_source(with_title, v.articles)
     b = title_source(v.article_vectors, v.articles)
-    return a.join(b, ["article_id", "title"]).agg(F.count(F.lit(1)).cast("bigint").alias("n_titles"))
+    return a.join(b, ["article_id", "title"])
 
 
 @register("p8_render_ids", f"""WITH {SQL_V}, {SQL_PAGE_TITLES}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -77,7 +79,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
     if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-ckpt-"))
+        own = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)  # nobody else knows of this folder
+        sc.setCheckpointDir(own)
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder shared by the cluster")
 

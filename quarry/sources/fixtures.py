@@ -150,12 +150,18 @@ def containment_pairs(docs: DataFrame, passages: DataFrame, block_bytes: int = D
     return out
 
 
+def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of fixture T, without the work for its ground truth."""
+    docs = tables.read_table(spark, f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("article_id"),
+                       F.concat(F.col("source"), F.lit(" #"), F.col("doc_id").cast("string")).alias("title"),
+                       F.col("text").alias("body"))
+
+
 def text_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     docs = tables.read_table(spark, f"{sf_dir}/documents.parquet")
     bench = tables.read_table(spark, f"{sf_dir}/benchmark.parquet")
-    articles = docs.select(F.col("doc_id").alias("article_id"),
-                           F.concat(F.col("source"), F.lit(" #"), F.col("doc_id").cast("string")).alias("title"),
-                           F.col("text").alias("body"))
+    articles = text_articles(spark, sf_dir)
     pairs = containment_pairs(docs.select("doc_id", "text"),
                               bench.select(F.col("item_id").alias("pid"), F.col("text").alias("ptext")))
     gt = _ids_string(pairs, "pid", "doc_id", "ground_truth").withColumnRenamed("pid", "query_id")
