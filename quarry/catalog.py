@@ -419,6 +419,11 @@ def sql_hash(name: str, table: str, id_col: str, text_expr: str, dim: int = HASH
 """
 
 
+def sql_stored(name: str, src: str) -> str:
+    """Vectors as the embedding sink (S6) stores them: single precision."""
+    return f"{name} AS (SELECT id, list_transform(e, lambda x: x::FLOAT::DOUBLE) AS e FROM {src})"
+
+
 def sql_topk(name: str, qv: str, av: str, k: int = 10) -> str:
     return f"""
 {name} AS (SELECT query_id, rank, article_id, score FROM (
@@ -671,6 +676,7 @@ from quarry.operators import infer  # noqa: E402
 from quarry.plans import answer as ANS  # noqa: E402
 from quarry.plans import enrich  # noqa: E402
 from quarry.plans import evaluation as EVR  # noqa: E402
+from quarry.plans import index as IX  # noqa: E402
 from quarry.session import scratch_path  # noqa: E402
 from quarry.streaming import answer_stream  # noqa: E402
 
@@ -842,9 +848,10 @@ def _sql_suite() -> str:
              sql_hash("t_qv", "t_queries", "query_id", prefix + "query_text"), sql_hash("t_rv", "t_rw", "query_id", prefix + "t"),
              sql_hash("t_tv", "t_docs", "article_id", "title"), sql_hash("t_bv", "t_docs", "article_id", prefix + "body"),
              sql_hash("t_gv", "t_gen", "article_id", "t")]
+    parts += [sql_stored(f"t_{x}s", f"t_{x}v") for x in "qrtbg"]
     union = []
     for name, qv, av in SUITE:
-        parts += [sql_topk(f"top_{name}", f"t_{qv}v", f"t_{av}v"), sql_eval(f"e_{name}", f"top_{name}", "t_queries", "t_docs")]
+        parts += [sql_topk(f"top_{name}", f"t_{qv}s", f"t_{av}s"), sql_eval(f"e_{name}", f"top_{name}", "t_queries", "t_docs")]
         union.append(f"SELECT '{name}' AS method, ap FROM e_{name}_ap")
     return "WITH " + ", ".join(p.strip() for p in parts) + " " + sql_compare(" UNION ALL ".join(union))
 
@@ -907,6 +914,19 @@ def r7_answer_stream(spark, sf_dir):
     return spark.read.parquet(out).select("query_id", "answer")
 
 
+@register("index_build", f"""WITH {SQL_NOISY}, {OH.fixture_sql()}, {sql_hash('ix_qv', 'noisy', 'query_id', f"'{QUERY_INSTRUCTION}' || query_text")},
+{sql_hash('ix_av', 'h_src', 'article_id', 'title')}, {sql_stored('ix_q', 'ix_qv')}, {sql_stored('ix_a', 'ix_av')},
+{sql_topk('ix_top', 'ix_q', 'ix_a')}
+SELECT n.query_id, coalesce(string_agg(t.article_id::VARCHAR, ' ' ORDER BY t.rank), '') AS answer
+FROM noisy n LEFT JOIN ix_top t USING (query_id) GROUP BY n.query_id""")
+def index_build(spark, sf_dir):
+    """The whole index of fixture H built and written; conversation queries answered from its title and query vectors."""
+    path, queries = scratch_path(spark, "index"), fixtures.noisy_queries(spark, sf_dir)
+    IX.build_index(_html_articles(spark, sf_dir), queries, path, ANS.hashing_embedder(HASH_DIM), infer.last_user_message)
+    ranked = rank.block_top_k(IX.read_vectors(spark, path, "titles", HASH_DIM), IX.read_vectors(spark, path, "queries", HASH_DIM))
+    return rank.to_answer(ranked, queries)
+
+
 # ---------------------------------------------------------------- sink / scan round trips
 
 @register("s1_read_articles", f"""WITH {OH.fixture_sql()}
