@@ -104,8 +104,19 @@ def _children(node: np.ndarray, tokens: np.ndarray, similarity: float) -> list[t
     return [child(rows, first), child(rows[twice], second)]
 
 
-def _token_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(len(column), TOKENS)
+def _token_matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), TOKENS)
+
+
+def _sketches(classes: DataFrame) -> DataFrame:
+    """(cls, sketch): the low byte of every token, which is all that leaves compare."""
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = _token_matrix(batch.column("tokens")).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([t.tobytes() for t in tokens], pa.binary())],
+                                             names=["cls", "sketch"])
+
+    return materialize(classes.select("cls", "tokens").mapInArrow(low, "cls long, sketch binary"), "op3-sketches")
 
 
 _NODE = pa.schema([("node", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
@@ -171,7 +182,7 @@ def _blocks(large: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- leaves
 
 def _close_members(rows: DataFrame, similarity: float) -> DataFrame:
-    """Members of sorted leaves (node, cls, n, comp, tokens) that have, in another component, a partner whose size
+    """Members of sorted leaves (node, cls, n, comp, sketch) that have, in another component, a partner whose size
     and tokens allow the wanted similarity."""
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for leaf in groups(batches, "node"):
@@ -179,7 +190,7 @@ def _close_members(rows: DataFrame, similarity: float) -> DataFrame:
             if len(comp) < 2 or (comp == comp[0]).all():
                 continue
             n, cls = leaf.column("n").to_numpy(), leaf.column("cls").to_numpy()
-            tokens = _token_matrix(leaf.column("tokens").combine_chunks())
+            tokens = _token_matrix(leaf.column("sketch").combine_chunks(), "u1")
             hit = np.zeros(len(cls), dtype=bool)
             for i in range(len(cls) - 1):
                 rest = slice(i + 1, None)
@@ -195,7 +206,7 @@ def _close_members(rows: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(cls[hit]), pa.array(comp[hit])],
                                                  names=["node", "cls", "comp"])
 
-    return (rows.select("node", "cls", "n", "comp", "tokens").repartition("node").sortWithinPartitions("node")
+    return (rows.select("node", "cls", "n", "comp", "sketch").repartition("node").sortWithinPartitions("node")
             .mapInArrow(close, "node long, cls long, comp long"))
 
 
@@ -266,11 +277,24 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) ->
 
     own = classes.join(wanted.select("cls").distinct(), "cls").select("cls", "set_key", "doc_id")
     # by null-safe equality: a null id may stand for a class too; rows that share an id are told apart by set_key
-    texts = docs.join(own.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = _possible(docs, own).join(own.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = texts.select("text").mapInArrow(sets, "set_key binary, shingles binary")
     return found.join(own.select("cls", "set_key"), "set_key").dropDuplicates(["cls"]).select("cls", "shingles")
 
 
+def _possible(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """``docs`` less rows whose id is certainly not among ``own``, by a bit per hashed id: 1024 bitmaps of 4 KB, whatever the
+    number of documents, so their broadcast is bounded. Most texts thus need no shuffle to meet ``own``; were the
+    bitmaps full, all texts would be shuffled, and the join that follows would still be exact."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1024 * 32768))
+    bits = own.select((F.floor(place / 32768)).cast("int").alias("_bucket"), F.pmod(place, F.lit(32768)).alias("_bit"))
+    bitmaps = F.broadcast(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap")))
+    marked = docs.withColumn("_at", F.pmod(place, F.lit(32768)).cast("int")).withColumn("_in", F.floor(place / 32768).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    set_ = F.getbit(byte, F.pmod("_at", F.lit(8))) == 1
+    return marked.join(bitmaps, F.col("_in") == F.col("_bucket")).filter(set_).select(*docs.columns)
+
+
 def _key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
@@ -312,11 +336,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                           .select("set_key", "first", F.col("first.doc_id").alias("doc_id"), "n", "tokens")
                           .withColumn("cls", F.monotonically_increasing_id()), "op3-classes")
 
+    sketches = _sketches(classes)
     edges, comp, start = None, None, 0
     for trees in TREES:
         leaves = _leaves(classes, range(start, start + trees), similarity)
         start += trees
-        members = leaves.join(classes.select("cls", "tokens"), "cls")
+        members = leaves.join(sketches, "cls")
         if comp is not None:
             members = members.join(comp.select(F.col("v").alias("cls"), "label"), "cls", "left")
         label = F.coalesce("label", "cls") if comp is not None else F.col("cls")
