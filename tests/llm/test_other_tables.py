@@ -49,6 +49,30 @@ def test_odd_vectors(spark):
     assert rows_of(ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0)) == []
 
 
+@pytest.mark.parametrize("rows, dim", [(6, 64), (50, 64), (500, 64), (2000, 256)])
+def test_recall_of_few_and_of_wide_vectors(spark, rows, dim):
+    x = np.random.default_rng(rows).normal(size=(rows, dim))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = range(0, rows, max(1, rows // 100))
+    got = {q: {} for q in asked}
+    for r in ann.nearest(table, F.col("vec_id").isin(list(asked))).collect():
+        got[r.query_id][r["rank"]] = r.vec_id
+    hit = 0
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert sorted(got[q]) == list(range(1, min(10, rows - 1) + 1))
+        hit += len(set(got[q].values()) & set(np.argsort(d)[:min(10, rows - 1)].tolist()))
+    assert hit >= 0.9 * len(asked) * min(10, rows - 1)
+
+
+def test_query_alone_in_its_buckets(spark):
+    rows = [(0, [-1.0] + [0.0] * 63)] + [(i, [1.0] + [0.001 * i] + [0.0] * 62) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(ann.nearest(df, F.col("vec_id") == 0, probe=96))
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(i, i) for i in range(1, 11)]
+
+
 # ---------------------------------------------------------------- pages
 
 def lcs(a, b):
