@@ -11,12 +11,15 @@ never compared. The classes are joined by random trees:
 * larger nodes branch again. A node that is still large at the last level is compared exhaustively too, in blocks.
 * independent trees are repeated. The first few run alone: what they connect needs no further comparison,
   so the remaining trees look only at pairs from different components.
+* a pair's chance in one tree falls with the level at which its node gets small. Classes that were in large nodes
+  so deep that the trees so far miss the target recall go through further trees, as many as their depth needs.
 
 A leaf returns links that connect its members (at most one a member), never all its pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -29,10 +32,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded_batches, columns, groups, materialize, read, string_column
 from quarry.llm.graph import components
 
-#: Coordinates of the embedding, trees of the first and second run, deepest level.
+#: Coordinates of the embedding, trees of the first and second run, most trees of a further run, deepest level.
 TOKENS = 128
 TREES = (2, 10)
+MORE_TREES = 10
 LEVELS = 24
+#: Chance to be found of a pair of just the wanted similarity, however deep the nodes that it stays in.
+RECALL = 0.95
 #: A leaf has at most this many members and shingles in all.
 LEAF_ROWS = 1600
 LEAF_SHINGLES = 2_000_000
@@ -104,6 +110,26 @@ def _children(node: np.ndarray, tokens: np.ndarray, similarity: float) -> list[t
     return [child(rows, first), child(rows[twice], second)]
 
 
+@functools.lru_cache(maxsize=None)
+def trees_needed(depth: int, similarity: float, recall: float = RECALL) -> int:
+    """Trees until a pair of the wanted similarity has met at level ``depth`` of one of them with chance ``recall``.
+
+    Both go on to a common child by the first coordinate and, in a share of nodes, by a second one, if their tokens
+    are equal there; the share of equal tokens, the same for all trees, is binomial."""
+    equal = np.arange(TOKENS + 1)
+    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, TOKENS + 1)))])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chance = np.exp(log_fact[-1] - log_fact - log_fact[::-1] + equal * np.log(similarity)
+                        + np.where(equal == TOKENS, 0.0, (TOKENS - equal) * np.log1p(-similarity)))
+    share, lost = equal / TOKENS, np.zeros(TOKENS + 1)
+    for _ in range(depth):
+        lost = (1 - share * (1 - lost)) * (1 - min(1.0, 1 / similarity - 1) * share * (1 - lost))
+    trees = 1
+    while (chance * lost ** trees).sum() > 1 - recall + 1e-12:
+        trees += 1
+    return trees
+
+
 def _token_matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), TOKENS)
 
@@ -152,9 +178,10 @@ def _next_level(rows: DataFrame, classes: DataFrame, similarity: float) -> DataF
             .mapInArrow(split, "node long, cls long, n long"))
 
 
-def _leaves(classes: DataFrame, trees: range, similarity: float) -> DataFrame:
-    """(node, cls, n) of all leaves with two or more members."""
-    rows, leaves = _first_level(classes, trees, similarity), None
+def _leaves(classes: DataFrame, trees: range, similarity: float, deep: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, cls, n) of all leaves with two or more members, and (cls, depth) of the classes in nodes that branch to
+    level ``deep`` or deeper, if there are any."""
+    rows, leaves, far = _first_level(classes, trees, similarity), None, None
     for level in range(1, LEVELS + 1):
         rows = materialize(rows, f"op3-level{level}")
         sizes = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_n")).filter("_rows > 1"))
@@ -165,9 +192,13 @@ def _leaves(classes: DataFrame, trees: range, similarity: float) -> DataFrame:
         leaves = here if leaves is None else leaves.union(here)
         large = kept.filter("not leaf")
         if large.isEmpty():
-            return leaves
+            return leaves, far
+        depth = min(level + 1, LEVELS)
+        if depth >= deep:
+            here = large.select("cls", F.lit(depth).alias("depth")).distinct()
+            far = here if far is None else far.union(here)
         rows = _next_level(large, classes, similarity)
-    return leaves.union(_blocks(large))
+    return leaves.union(_blocks(large)), far
 
 
 def _blocks(large: DataFrame) -> DataFrame:
@@ -300,10 +331,11 @@ def _key(values: np.ndarray) -> bytes:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """Link documents whose sets of ``k``-word shingles have at least ``percent`` % of their union in common, and
     return per row: doc_id, n_shingles, component_id (smallest id reachable), kept (it is that one), text_hash, and
-    stays (it is the first row of its component, also where ids repeat).
+    stays (it is the first row of its component, also where ids repeat). A pair of just ``percent`` % is found with a
+    chance of at least ``recall`` (below 1), a closer one with a higher chance.
 
     Defined cases: null and empty texts and texts of white space have an empty set and stay alone; a text with
     fewer than ``k`` words is one shingle; rows with equal sets share a component; rows that repeat an id
@@ -337,9 +369,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                           .withColumn("cls", F.monotonically_increasing_id()), "op3-classes")
 
     sketches = _sketches(classes)
-    edges, comp, start = None, None, 0
-    for trees in TREES:
-        leaves = _leaves(classes, range(start, start + trees), similarity)
+    edges, comp, start, far = None, None, 0, None
+    #: the least depth for which the trees of the first two runs are too few
+    deep = next((d for d in range(1, LEVELS + 1) if trees_needed(d, similarity, recall) > sum(TREES)), LEVELS + 1)
+    runs, part = list(TREES), classes
+    while runs:
+        trees = runs.pop(0)
+        leaves, deeper = _leaves(part, range(start, start + trees), similarity, deep)
         start += trees
         members = leaves.join(sketches, "cls")
         if comp is not None:
@@ -350,6 +386,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         links = materialize(_confirmed_links(close.join(sets, "cls"), percent).distinct(), "op3-links")
         edges = links if edges is None else edges.union(links)
         comp = components(edges, "op3-comp")
+        if deeper is not None:
+            far = materialize((deeper if far is None else far.union(deeper)).groupBy("cls").agg(F.max("depth").alias("depth")),
+                              "op3-deep")
+        if not runs and far is not None:
+            # a pair's common nodes are no deeper than either class was: both go on until that depth is paid for
+            most = trees_needed(far.agg(F.max("depth")).first()[0], similarity, recall)
+            if most > start:
+                short = [d for d in range(deep, LEVELS + 1) if trees_needed(d, similarity, recall) > start]
+                part = materialize(classes.join(far.filter(F.col("depth").isin(short)), "cls", "left_semi"), "op3-again")
+                runs = [min(MORE_TREES, most - start)]
 
     named = classes.select("cls", "set_key", "first").join(comp, F.col("cls") == F.col("v"), "left")
     named = named.select("set_key", "first", F.coalesce("label", "cls").alias("label"))

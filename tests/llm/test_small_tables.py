@@ -199,6 +199,19 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, leaf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_borderline_pairs_in_a_deep_node(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF_ROWS", 20)
+    monkeypatch.setattr(near_dedup, "TREES", (1, 1))  # as much too few for six levels as (2, 10) are for 24
+    monkeypatch.setattr(near_dedup, "LEVELS", 6)
+    rows = []
+    for pair in range(120):  # 168 words are everybody's, 10 the pair's, 22 the document's own: 178 of 222
+        shared = [f"all{i}" for i in range(168)] + [f"pair{pair}x{i}" for i in range(10)]
+        rows += [(2 * pair + j, " ".join(shared + [f"own{pair}x{j}x{i}" for i in range(22)])) for j in (0, 1)]
+    got = rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80))
+    assert all(r["component_id"] == r["doc_id"] - r["doc_id"] % 2 for r in got if not r["kept"])
+    assert sum(not r["kept"] for r in got) >= 0.95 * 120
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     rows = source_rows(odd_docs)
     got = rows_of(near_dedup.near_duplicates(odd_docs, k=3, percent=85))
