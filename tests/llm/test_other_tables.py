@@ -113,6 +113,15 @@ def test_pages_without_article_lose_what_they_share(spark):
     assert rows_of(pages.main_text(df.limit(0))) == []
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    one = "<div>Home</div><p>Text one</p><p>Copyright</p>"
+    rows = [(i, f"http://h/a?s={i}", one) for i in range(20)] + [(20, "http://h/mirror/a", one)]
+    rows += [(21, "http://h/b", "<div>Home</div><p>Text two</p><p>Copyright</p>"), (22, "http://twice/", "<p>all</p>"), (23, "http://twice/x", "<p>all</p>"),
+             (24, "http://part/a", "<p>x</p><p>y</p>"), (25, "http://part/b", "<p>x</p><p>y</p><p>z</p>")]
+    got = {r["page_id"]: r["text"] for r in rows_of(pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == {**{i: "Text one" for i in range(21)}, 21: "Text two", 22: "all", 23: "all", 24: "x\ny", 25: "z"}
+
+
 def test_given_pages_by_their_template(spark):
     import html
     import re
