@@ -33,10 +33,12 @@ BLOCK = 512
 PERCENTILE = 0.9
 #: A segment is closed once it holds this many ids.
 SEGMENT_IDS = 1 << 20
-#: Distinct chunks remembered by a worker (two generations of this size).
-MEMO = 300_000
+#: Distinct chunks, and distinct pieces, remembered by a worker (two generations of this size each).
+MEMO = 500_000
 MAGIC = b"PFR1"
 
+#: Letters (all of Latin up to U+024F) and marks whose class is the same in every Unicode version (fixed values).
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~"
 #: White space of Unicode as the tokenizer's own patterns have it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -181,7 +183,8 @@ class Memo(dict):
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, which sees every distinct piece once.
 
-    A chunk is a run of white space with the run of other characters after it. The tokenizer's own splitting
+    A text of Latin letters, digits and ASCII marks is split whole by the tokenizer's pattern, with its classes spelled
+    out, and its pieces go to the library's model. Any other text is taken chunk by chunk. A chunk is a run of white space with the run of other characters after it. The tokenizer's own splitting
     never joins a character to white space that follows it, and looks no further ahead than the next
     character that isn't white space, so the ids of a text are those of its chunks, one after another. A plain
     chunk (at most one space or newline, then letters, then marks other than an apostrophe) is split here as the
@@ -203,8 +206,10 @@ class ChunkEncoder:
         self.names = dict(zip(some.encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(some)[0][0]))
         byte_level = isinstance(self.tok.pre_tokenizer, ByteLevel) and self.tok.normalizer is None
         self.plain = re.compile(r"([ \n]?)([^\W\d_]*)((?:[^\w\s'\x1c-\x1f]|_)*)").fullmatch if byte_level else lambda chunk: None
-        self.pieces = Memo(self._piece, memo // 2)
-        self.known = Memo(self._chunk, memo)
+        self.latin = re.compile(f"[\t\n\r {LETTERS}0-9{MARKS}]*").fullmatch if byte_level else lambda text: None
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\\s+(?!\\S)|\\s+").findall
+        self.pieces = Memo(self._piece, memo)
+        self.known = Memo(self._chunk, memo // 2)
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
 
     def _piece(self, piece: str) -> bytes:
@@ -226,6 +231,8 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers of the machine (little-endian wherever Spark runs on x86 or ARM)."""
+        if self.latin(text) and not any(map(text.__contains__, self.added)):
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
         return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
 
