@@ -80,8 +80,9 @@ def refined_eigenvectors(a: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray,
                 most = abs(inner).max()
                 if most:
                     x[:, places] = space @ np.linalg.eigh((inner / most).astype(np.float64))[1].astype(wide)
-    # a last step of orthogonalisation; eigenvalues as Rayleigh quotients
-    x = x + x @ (eye - x.T @ x) / 2
+    # last steps of orthogonalisation; eigenvalues as Rayleigh quotients
+    for _ in range(3):
+        x = x + x @ (eye - x.T @ x) / 2
     x = x / np.sqrt((x * x).sum(axis=0))
     values = (x * (a @ x)).sum(axis=0)
     order = np.argsort(-values, kind="stable")
