@@ -1,10 +1,13 @@
 """HTML article cleanup (H1-H14): one row in, one row out, no shuffle.
 
-Flat steps (images, breaks, inputs, headline/chunk) are regular-expression rewrites in the JVM. Element steps run
-on the document's tokens in one Arrow-batched pass: the text is cut into tags and text, opens and closes of one tag
-name are paired with a stack (a stray close shifts nothing), and every step is a sweep over the tokens, linear in
-their number. Documents are independent, so nothing is exchanged, sorted or joined back, and rows that share an id,
-or have none, stay rows of their own.
+A document is cut into tags and text by a linear scanner (quarry.functions.markup) and cleaned in one Arrow-batched pass.
+Flat steps (images, breaks, inputs, headline/chunk) are decided tag by tag; element steps are sweeps over the tokens.
+Documents are independent, so nothing is exchanged, sorted or joined back, and rows that share an id, or have none,
+stay rows of their own.
+
+Elements are those of the reference's parser: a close ends the nearest open element of its name and, with it, every
+element inside that is still open; an element that nothing ends reaches to the end of the document; a stray close is no
+element. So an unclosed <p> in a <div> ends with the <div>.
 
 Step order follows the reference and is part of the contract: images, breaks, inputs, empty labels, links,
 headline/chunk, empty p/div/span/strong/em, factoids, spoilers, tabsets, nested tables, empty tables, then the
@@ -12,19 +15,18 @@ children of <body>. H6 runs with the flat steps: unwrapping tags changes no text
 two tags.
 
 Spoilers are taken outermost first and in document order, so one inside another's content is treated in its turn.
-Out of contract: tabsets in tabsets, panels in panels (only the outermost count).
 """
 
 from __future__ import annotations
 
 import html
-import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import WS_CHARS, WS_CLASS
+from quarry.functions.markup import Scanner, attributes
+from quarry.functions.text import WS_CHARS
 
 # Tag sets of the cleanup steps.
 EMPTY_TAGS = ["p", "div", "span", "strong", "em"]
@@ -35,85 +37,80 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 CLASS_BITS = {"factoid": 1, "spoiler": 2, "spoiler-content": 4, "spoiler-text": 8, "tabset": 16, "tab-panel": 32,
               "tab-label": 64}
 
-TOKEN_PATTERN = r"""<[A-Za-z/!?](?:"[^"]*"|'[^']*'|[^>"'])*>|<|[^<]+"""
-NBSP_ENTITIES = r"&nbsp;|&#160;|&#[xX][aA]0;"
 STEPS = ["images", "breaks", "inputs", "empty_labels", "links", "headline_chunk", "empty_tags", "factoids",
          "spoilers", "tabsets", "nested_tables", "empty_tables", "body"]
 
-# Flat rewrites: (pattern, replacement in Java syntax). Order matters.
-FLAT_PREP = [(r"(?s)<!--.*?-->", ""),
-             (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-             (r"(?is)<style\b[^>]*>.*?</style\s*>", "")]
-FLAT_STEPS = {
-    "images": [(r'(?i)<img\b[^>]*?\salt\s*=\s*"' + WS_CLASS + r'*([^"]*?)' + WS_CLASS + r'*"[^>]*>', "$1"),
-               (r"(?i)<img\b[^>]*?\salt\s*=\s*'" + WS_CLASS + r"*([^']*?)" + WS_CLASS + r"*'[^>]*>", "$1"),
-               (r"(?i)<img\b[^>]*?\salt\s*=\s*([^\s\"'=<>`]+)[^>]*>", "$1"),
-               (r"(?i)<img\b[^>]*>", "")],
-    "breaks": [(r"(?i)<br\b[^>]*>", " ")],
-    "inputs": [(r"(?i)<input\b[^>]*>", "")],
-    "headline_chunk": [(r"(?i)</?(headline|chunk)\b[^>]*>", "")],
-}
-
-_TOKENS = re.compile(TOKEN_PATTERN).findall
-_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:_-]*)")
-_CLASS = re.compile(r"""\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""", re.I)
-
 
-def flat_rewrite(col: Column, steps) -> Column:
-    out = col
-    for pattern, repl in FLAT_PREP:
-        out = F.regexp_replace(out, pattern, repl)
-    for step in steps:
-        for pattern, repl in FLAT_STEPS.get(step, []):
-            out = F.regexp_replace(out, pattern, repl)
-    return out
+def _alternative(tag: str) -> str:
+    """The text that stands for an image: its alternative text, stripped."""
+    alt = attributes(tag).get("alt", "").strip(WS_CHARS)
+    return alt.replace("<", "&lt;").replace(">", "&gt;")
 
 
 class Tokens:
-    """A document's tokens. A step removes tokens or replaces one by a heading; positions never move."""
+    """A document's tokens. A step removes tokens or replaces one by a heading; positions never move.
 
-    def __init__(self, text: str):
-        self.tok = _TOKENS(text)
+    An open token ``i`` has ``close[i]``, the position of its own close tag (-1 without one), and ``stop[i]``, the position
+    after its last token."""
+
+    def __init__(self, text: str, steps=()):
+        self.tok, self.kind, self.name, self.cls = [], [], [], []
+        for kind, name, tok in Scanner(text).tokens():
+            if kind in ("comment", "raw") or (name in ("headline", "chunk") and "headline_chunk" in steps):
+                continue
+            if kind == "open":
+                if name == "img" and "images" in steps:
+                    kind, name, tok = "text", "", _alternative(tok)
+                elif name == "br" and "breaks" in steps:
+                    kind, name, tok = "text", "", " "
+                elif name == "input" and "inputs" in steps:
+                    continue
+                elif name in VOID_TAGS or tok.endswith("/>"):
+                    kind = "void"
+                if not tok:
+                    continue
+            self.tok.append(tok)
+            self.kind.append(kind)
+            self.name.append(name)
         n = len(self.tok)
-        self.kind, self.name, self.cls = ["text"] * n, [""] * n, [0] * n
-        self.partner = [-1] * n           # of an open or a close: the position of the other
-        self.alive = [True] * n
+        self.cls, self.alive = [0] * n, [True] * n
+        self.close, self.stop = [-1] * n, [-1] * n
         self.heading: dict[int, str] = {}
-        opened: dict[str, list[int]] = {}
-        for i, tok in enumerate(self.tok):
-            if tok[0] != "<" or len(tok) < 2:
-                continue
-            if tok[1] in "!?":
-                self.kind[i] = "decl"
-                continue
-            m = _NAME.match(tok)
-            if not m:
-                continue
-            name = self.name[i] = m[1].lower()
-            if tok[1] == "/":
-                self.kind[i] = "close"
-                if opened.get(name):
-                    j = opened[name].pop()
-                    self.partner[i], self.partner[j], self.cls[i] = j, i, self.cls[j]
-            elif name in VOID_TAGS or tok.rstrip(">").rstrip().endswith("/"):
-                self.kind[i] = "void"
-            else:
-                self.kind[i] = "open"
-                opened.setdefault(name, []).append(i)
-                m = _CLASS.search(tok)
-                if m:
-                    words = set((m[1] or m[2] or m[3] or "").split())
+        opened: list[int] = []
+        count: dict[str, int] = {}
+        for i, (kind, name) in enumerate(zip(self.kind, self.name)):
+            if kind == "open":
+                opened.append(i)
+                count[name] = count.get(name, 0) + 1
+                if "class" in self.tok[i].lower():
+                    words = set(attributes(self.tok[i]).get("class", "").split())
                     self.cls[i] = sum(bit for c, bit in CLASS_BITS.items() if c in words)
+            elif kind == "close" and count.get(name):
+                while True:
+                    j = opened.pop()
+                    count[self.name[j]] -= 1
+                    self.stop[j] = i
+                    if self.name[j] == name:
+                        self.close[j], self.stop[j] = i, i + 1
+                        break
+        for j in opened:
+            self.stop[j] = n
 
     def opens(self, name: str | None = None, cls: str | None = None, inside: tuple[int, int] | None = None) -> list[int]:
-        """Opens of whole, living elements, in document order."""
+        """Opens of living elements, in document order."""
         bit = CLASS_BITS[cls] if cls else 0
         lo, hi = inside or (-1, len(self.tok))
-        return [i for i in range(lo + 1, hi) if self.kind[i] == "open" and self.alive[i] and self.whole(i)
+        return [i for i in range(lo + 1, hi) if self.kind[i] == "open" and self.alive[i]
                 and (name is None or self.name[i] == name) and (not bit or self.cls[i] & bit)]
 
-    def whole(self, i: int) -> bool:
-        return self.partner[i] >= 0 and self.alive[i] and self.alive[self.partner[i]]
+    def end(self, i: int) -> int:
+        """Where the content of element ``i`` ends."""
+        return self.close[i] if self.close[i] >= 0 else self.stop[i]
+
+    def unwrap(self, i: int) -> None:
+        self.alive[i] = False
+        if self.close[i] >= 0:
+            self.alive[self.close[i]] = False
 
     def pieces(self, lo: int, hi: int) -> list[str]:
         """Stripped pieces of text between two positions, those without text left out."""
@@ -147,30 +144,24 @@ def remove_empty(t: Tokens, tags: list[str]) -> None:
     for i in range(len(t.tok)):
         filled += t.alive[i] and not t.blank(i)
         seen[i + 1] = filled
-    end = 0
     for i in t.opens():
-        if t.name[i] in tags and seen[t.partner[i]] == seen[i] and t.partner[i] >= end:
-            t.drop(max(i, end), t.partner[i] + 1)
-            end = t.partner[i] + 1
+        if t.alive[i] and t.name[i] in tags and seen[t.stop[i]] == seen[i]:
+            t.drop(i, t.stop[i])
 
 
 def unwrap_links(t: Tokens) -> None:
     """H5: an <a> becomes its text: every tag inside the link goes, with the link's own tags."""
-    end = 0
     for i in t.opens("a"):
-        for j in range(max(i, end), t.partner[i] + 1):
-            if t.kind[j] not in ("text", "html"):
-                t.alive[j] = False
-        end = max(end, t.partner[i] + 1)
+        if t.alive[i]:
+            for j in range(i, t.stop[i]):
+                if t.kind[j] not in ("text", "html"):
+                    t.alive[j] = False
 
 
 def unwrap_factoids(t: Tokens) -> None:
     """H8: drop the tags of divs whose class list holds the token 'factoid'; the content stays."""
-    for i in range(len(t.tok)):
-        if t.alive[i] and t.kind[i] == "open" and t.name[i] == "div" and t.cls[i] & CLASS_BITS["factoid"]:
-            if t.whole(i):
-                t.alive[t.partner[i]] = False
-            t.alive[i] = False
+    for i in t.opens("div", "factoid"):
+        t.unwrap(i)
 
 
 def clean_spoilers(t: Tokens) -> None:
@@ -178,70 +169,102 @@ def clean_spoilers(t: Tokens) -> None:
     <p><strong>title</strong>: </p> when its first .spoiler-text has text; without content or children the whole
     spoiler goes. A spoiler that is left in another's content follows in its turn."""
     for i in t.opens("div", "spoiler"):
-        if not t.whole(i):
+        if not t.alive[i]:
             continue
-        end = t.partner[i]
-        content = next(iter(t.opens(cls="spoiler-content", inside=(i, end))), None)
-        titled = next(iter(t.opens(cls="spoiler-text", inside=(i, end))), None)
-        title = "".join(t.pieces(titled, t.partner[titled])) if titled is not None else ""
-        if content is None or not any(t.alive[content + 1:t.partner[content]]):
-            t.drop(i, end + 1)
+        stop = t.stop[i]
+        content = next(iter(t.opens(cls="spoiler-content", inside=(i, stop))), None)
+        titled = next(iter(t.opens(cls="spoiler-text", inside=(i, stop))), None)
+        title = "".join(t.pieces(titled, t.end(titled))) if titled is not None else ""
+        if content is None or not any(t.alive[content + 1:t.end(content)]):
+            t.drop(i, stop)
             continue
-        t.drop(t.partner[content], end + 1)
+        t.drop(t.end(content), stop)
         t.drop(i, content + 1)
         if title:
             t.head(content, title)
 
 
-def clean_tabsets(t: Tokens) -> None:
-    """The i-th div.tab-panel pairs with the i-th label.tab-label. Each panel with children is replaced by its
-    children led by the label heading (none for surplus panels); the rest of the tabset goes. A tabset without
-    panels is unwrapped."""
+def clean_tabsets(t: Tokens) -> Tokens:
+    """The children of every div.tab-panel, led by the heading of the label.tab-label with the same number (none for
+    surplus panels and for panels without children), take the place of their tabset; the rest of the tabset goes. A
+    tabset without panels is unwrapped.
+
+    Panels and labels are all those inside the tabset, at any depth, in document order, as the reference counts them:
+    the children of a panel inside a panel come after those of the outer one, and a tabset inside a tabset, whose panels
+    are emptied by that, goes."""
+    moved = False
     for i in t.opens("div", "tabset"):
-        if not t.whole(i):
+        if not t.alive[i]:
             continue
-        end = t.partner[i]
-        titles = ["".join(t.pieces(j, t.partner[j])) for j in t.opens("label", "tab-label", (i, end))]
-        panels, last = [], i
-        for j in t.opens("div", "tab-panel", (i, end)):
-            if j > last and t.partner[j] < end:
-                panels.append(j)
-                last = t.partner[j]
+        stop = t.stop[i]
+        titles = ["".join(t.pieces(j, t.end(j))) for j in t.opens("label", "tab-label", (i, stop))]
+        panels = t.opens("div", "tab-panel", (i, stop))
         if not panels:
-            t.alive[i] = t.alive[end] = False
+            t.unwrap(i)
             continue
-        at = i
+        parts = []
         for k, j in enumerate(panels):
-            t.drop(at, j + 1)
-            at = t.partner[j]
-            if k < len(titles) and titles[k] and any(t.alive[j + 1:at]):
-                t.head(j, titles[k])
-        t.drop(at, end + 1)
+            filled = any(t.alive[j + 1:t.end(j)])
+            parts.append((titles[k] if filled and k < len(titles) else "", _own_children(t, j, panels)))
+        nested = any(b < t.stop[a] for a, b in zip(panels, panels[1:])) or len(t.opens("div", "tabset", (i, stop))) > 0
+        if nested:
+            text = "".join((f"<p><strong>{title}</strong>: </p>" if title else "") + "".join(t.tok[p] for p in places)
+                           for title, places in parts)
+            t.drop(i, stop)
+            t.tok[i], t.kind[i], t.alive[i], moved = text, "html", True, True
+            continue
+        kept = {p for _, places in parts for p in places}
+        for p in range(i, stop):
+            t.alive[p] = p in kept
+        for (title, _), j in zip(parts, panels):
+            if title:
+                t.head(j, title)
+    return Tokens(t.text()) if moved else t
+
+
+def _own_children(t: Tokens, panel: int, panels: list[int]) -> list[int]:
+    """Living tokens inside a panel, less the children of panels inside it and less tabsets that have panels; other
+    tabsets are unwrapped."""
+    out, p, end = [], panel + 1, t.end(panel)
+    loose: set[int] = set()
+    while p < end:
+        if t.alive[p]:
+            if t.kind[p] == "open" and t.name[p] == "div":
+                if t.cls[p] & CLASS_BITS["tabset"]:
+                    if any(p < q < t.stop[p] for q in panels):
+                        p = t.stop[p]
+                        continue
+                    loose |= {p, t.close[p]}
+                if t.cls[p] & CLASS_BITS["tab-panel"]:
+                    out.append(p)
+                    p = t.end(p)
+                    continue
+            if p not in loose:
+                out.append(p)
+        p += 1
+    return out
 
 
 def flatten_nested_tables(t: Tokens) -> None:
     """A table inside a table becomes its text: the stripped, non-blank text pieces joined by a space."""
-    tables = t.opens("table")
     outer = 0   # where the outermost table around ends
     done = 0    # where the last flattened table ends
-    for i in tables:
+    for i in t.opens("table"):
         if i >= outer:
-            outer = t.partner[i] + 1
+            outer = t.stop[i]
         elif i >= done:
-            end = t.partner[i] + 1
-            pieces = [p for p in t.pieces(i, t.partner[i]) if html.unescape(p).strip(WS_CHARS)]
-            t.drop(i, end)
+            pieces = [p for p in t.pieces(i, t.end(i)) if html.unescape(p).strip(WS_CHARS)]
+            t.drop(i, t.stop[i])
             if pieces:
                 t.tok[i], t.kind[i], t.alive[i] = " ".join(pieces), "text", True
-            done = end
+            done = t.stop[i]
 
 
 def body_children(t: Tokens) -> None:
     """The tokens inside the first <body>, or the whole document when there is none."""
-    start = next((i for i in range(len(t.tok)) if t.alive[i] and t.kind[i] == "open" and t.name[i] == "body"), None)
+    start = next(iter(t.opens("body")), None)
     if start is not None:
-        if t.whole(start):
-            t.drop(t.partner[start], len(t.tok))
+        t.drop(t.end(start), len(t.tok))
         t.drop(0, start + 1)
 
 
@@ -259,10 +282,10 @@ ELEMENT_STEPS = {
 
 
 def clean_document(text: str, steps) -> str:
-    t = Tokens(text)
+    t = Tokens(text, steps)
     for step in steps:
         if step in ELEMENT_STEPS:
-            ELEMENT_STEPS[step](t)
+            t = ELEMENT_STEPS[step](t) or t
     return t.text()
 
 
@@ -272,11 +295,8 @@ def clean_html(df: DataFrame, column: str = "body", id_col: str = "article_id",
     A null stays null. ``id_col`` is not looked at.
     """
     steps = STEPS if steps is None else [s for s in STEPS if s in steps]
-    flat = flat_rewrite(F.col(column), steps)
-    if not any(s in ELEMENT_STEPS for s in steps):
-        return df.withColumn(column, flat)
 
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else clean_document(x, steps))
 
-    return df.withColumn(column, F.pandas_udf(clean, "string")(flat))
+    return df.withColumn(column, F.pandas_udf(clean, "string")(F.col(column)))

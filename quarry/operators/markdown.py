@@ -5,7 +5,7 @@ their text, one line break per block, headings as '#' x level, list items as '*
 numbers, rules as '* * *', quoted blocks with '> ' before each line, table cells separated by ' | ', every named and
 numeric character reference decoded once, then the whitespace collapse of T2. A '<' that begins no tag is text.
 
-One Arrow-batched pass per row of a chain of rewrites; nothing is shuffled.
+One Arrow-batched pass per row over the tokens of a linear scanner; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,70 +17,67 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.markup import Scanner, attributes
 from quarry.functions.text import py_strip
 
-# The rewrite chain (pattern, replacement) applied in order. Rules sharing a replacement
-# are one alternation, so the text is scanned once per distinct replacement.
-_BLOCK = "p|div|ul|ol|table|tbody|thead|article|section|header|footer|nav|main|aside|blockquote|pre"
-# What a tag holds up to its end; a quoted value may hold '>'.
-_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^>"'])*"""
-TEXT_RULES = (
-    [(rf"(?is)<!--.*?-->|<script\b{_ATTRS}>.*?</script\s*>|<style\b{_ATTRS}>.*?</style\s*>", "")]
-    + [(rf"(?i)<h{n}\b{_ATTRS}>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
-    + [(r"(?i)</h[1-6]\s*>", "\n\n"),
-       (rf"(?i)<li\b{_ATTRS}>", "\n* "),
-       (r"(?i)</t[dh]\s*>", " | "),
-       (rf"(?i)</li\s*>|</?tr\b{_ATTRS}>|<br\b{_ATTRS}>|</?({_BLOCK})\b{_ATTRS}>", "\n"),
-       (rf"<[A-Za-z/!?]{_ATTRS}>", "")])
-_RULES = [(re.compile(pattern), repl) for pattern, repl in TEXT_RULES]
-_LIST = re.compile(r"(?i)<(/?)(ol|ul|li)\b([^>]*)>")
-_START = re.compile(r"(?i)\bstart\s*=\s*[\"']?(\d+)")
-_RULE = re.compile(r"(?i)<hr\b[^>]*>")
-_QUOTE = re.compile(r"(?is)<blockquote\b[^>]*>((?:(?!<blockquote\b).)*?)</blockquote\s*>")
+# What tags become.
+BLOCKS = {"p", "div", "ul", "ol", "table", "tbody", "thead", "article", "section", "header", "footer", "nav", "main",
+          "aside", "pre", "tr"}
+HEADINGS = {f"h{n}": "#" * n for n in range(1, 7)}
 
 COLLAPSE_RULES = [(r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
 
 
-def _numbered(text: str) -> str:
-    """Items of numbered lists as lines with their numbers; items of other lists are left to the rules."""
-    open_lists: list[int | None] = []
-
-    def item(m: re.Match) -> str:
-        closing, tag = m[1], m[2].lower()
-        if tag == "li":
-            if closing or not open_lists or open_lists[-1] is None:
-                return m[0]
-            open_lists[-1] += 1
-            return f"\n{open_lists[-1] - 1}. "
-        if not closing:
-            start = _START.search(m[3])
-            open_lists.append((int(start[1]) if start else 1) if tag == "ol" else None)
-        elif open_lists:
-            open_lists.pop()
-        return m[0]
-    return _LIST.sub(item, text)
-
-
-def _strip_tags(text: str) -> str:
-    for pattern, repl in _RULES:
-        text = pattern.sub(repl, text)
-    return text
-
-
-def _quoted(m: re.Match) -> str:
-    lines = re.sub(r"\n{2,}", "\n", _strip_tags(m[1]).strip()).split("\n")
+def _quoted(text: str) -> str:
+    lines = re.sub(r"\n{2,}", "\n", text.strip()).split("\n")
     return "\n\n" + "\n".join("> " + line.strip() for line in lines) + "\n\n"
 
 
 def document_text(text: str) -> str:
-    """T1 of one document, before the collapse of T2."""
-    text = _RULES[0][0].sub("", text)
-    text = _RULE.sub("\n\n* * *\n\n", _numbered(text))
-    while True:  # innermost quotes first
-        text, n = _QUOTE.subn(_quoted, text)
-        if not n:
-            break
-    return html.unescape(_strip_tags(text)).replace("\xa0", " ")
+    """T1 of one document, before the collapse of T2. A quote is a buffer of its own until it is closed; one that never
+    is closed is a block like any other."""
+    quotes: list[list[str]] = [[]]
+    lists: list[int | None] = []  # the next number of each open list, None in a list without numbers
+    for kind, name, token in Scanner(text).tokens():
+        out = quotes[-1]
+        if kind == "text":
+            out.append(token)
+        elif kind == "open":
+            if name in BLOCKS or name == "br":
+                out.append("\n")
+            elif name in HEADINGS:
+                out.append(f"\n\n{HEADINGS[name]} ")
+            elif name == "li":
+                if lists and lists[-1] is not None:
+                    out.append(f"\n{lists[-1]}. ")
+                    lists[-1] += 1
+                else:
+                    out.append("\n* ")
+            elif name == "hr":
+                out.append("\n\n* * *\n\n")
+            elif name == "blockquote":
+                quotes.append([])
+            if name == "ol":
+                start = attributes(token).get("start", "")
+                lists.append(int(start) if start.isdecimal() else 1)
+            elif name == "ul":
+                lists.append(None)
+        elif kind == "close":
+            if name in BLOCKS or name == "li":
+                out.append("\n")
+            elif name in HEADINGS:
+                out.append("\n\n")
+            elif name in ("td", "th"):
+                out.append(" | ")
+            elif name == "blockquote":
+                if len(quotes) > 1:
+                    quotes.pop()
+                    quotes[-1].append(_quoted("".join(out)))
+                else:
+                    out.append("\n")
+            if name in ("ol", "ul") and lists:
+                lists.pop()
+    return html.unescape("\n".join("".join(q) for q in quotes)).replace("\xa0", " ")
 
 
 def html_to_text(col) -> Column:

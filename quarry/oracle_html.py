@@ -12,6 +12,32 @@ from quarry.operators import markdown as M
 from quarry.sources.fixtures import HTML_WRAPPERS, SYNTHETIC_ID_OFFSET
 
 
+# Patterns of this twin's own: the engine scans tags without regular expressions over whole documents.
+TOKEN_PATTERN = r"""<[A-Za-z/!?](?:"[^"]*"|'[^']*'|[^>"'])*>|<|[^<]+"""
+NBSP_ENTITIES = r"&nbsp;|&#160;|&#[xX][aA]0;"
+FLAT_PREP = [(r"(?s)<!--.*?-->", ""),
+             (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
+             (r"(?is)<style\b[^>]*>.*?</style\s*>", "")]
+FLAT_STEPS = {
+    "images": [(r'(?i)<img\b[^>]*?\salt\s*=\s*"' + WS_CLASS + r'*([^"]*?)' + WS_CLASS + r'*"[^>]*>', "$1"),
+               (r"(?i)<img\b[^>]*?\salt\s*=\s*'" + WS_CLASS + r"*([^']*?)" + WS_CLASS + r"*'[^>]*>", "$1"),
+               (r"(?i)<img\b[^>]*?\salt\s*=\s*([^\s\"'=<>`]+)[^>]*>", "$1"),
+               (r"(?i)<img\b[^>]*>", "")],
+    "breaks": [(r"(?i)<br\b[^>]*>", " ")],
+    "inputs": [(r"(?i)<input\b[^>]*>", "")],
+    "headline_chunk": [(r"(?i)</?(headline|chunk)\b[^>]*>", "")],
+}
+_BLOCK = "p|div|ul|ol|table|tbody|thead|article|section|header|footer|nav|main|aside|blockquote|pre"
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^>"'])*"""
+TEXT_RULES = (
+    [(rf"(?is)<!--.*?-->|<script\b{_ATTRS}>.*?</script\s*>|<style\b{_ATTRS}>.*?</style\s*>", "")]
+    + [(rf"(?i)<h{n}\b{_ATTRS}>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
+    + [(r"(?i)</h[1-6]\s*>", "\n\n"),
+       (rf"(?i)<li\b{_ATTRS}>", "\n* "),
+       (r"(?i)</t[dh]\s*>", " | "),
+       (rf"(?i)</li\s*>|</?tr\b{_ATTRS}>|<br\b{_ATTRS}>|</?({_BLOCK})\b{_ATTRS}>", "\n"),
+       (rf"<[A-Za-z/!?]{_ATTRS}>", "")])
+
 # The character references that fixture H holds ('&amp;' last, so that nothing is decoded twice).
 ENTITIES = [("&nbsp;", " "), ("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&#39;", "'"), ("&lt;?", "<"), ("&gt;?", ">"),
             ("&amp;?", "&")]
@@ -53,10 +79,10 @@ h_src AS (
 
 def _flat(col: str, steps) -> str:
     out = col
-    for pattern, repl in H.FLAT_PREP:
+    for pattern, repl in FLAT_PREP:
         out = rx(out, pattern, repl)
     for step in steps:
-        for pattern, repl in H.FLAT_STEPS.get(step, []):
+        for pattern, repl in FLAT_STEPS.get(step, []):
             out = rx(out, pattern, repl)
     return out
 
@@ -186,7 +212,7 @@ def clean_html_sql(src: str, id_col: str, body_col: str, prefix: str, steps=None
     ch = _Chain(prefix)
     flat = ch.add(f"SELECT {id_col} AS doc, {_flat(body_col, steps)} AS html FROM {src}")
     raw = ch.add(f"SELECT doc, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM ("
-                 f"SELECT doc, regexp_extract_all(html, {q(H.TOKEN_PATTERN)}) AS toks FROM {flat})")
+                 f"SELECT doc, regexp_extract_all(html, {q(TOKEN_PATTERN)}) AS toks FROM {flat})")
     name = "lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:_-]*)', 1))"
     openlike = "regexp_matches(tok, '^<[A-Za-z]')"
     void = ", ".join(q(v) for v in H.VOID_TAGS)
@@ -197,7 +223,7 @@ def clean_html_sql(src: str, id_col: str, body_col: str, prefix: str, steps=None
                 f"regexp_extract(tok, {q('(?i)' + chr(92) + 'sclass' + chr(92) + 's*=' + chr(92) + 's*' + chr(39) + '([^' + chr(39) + ']*)' + chr(39))}, 1))")
     cls = f"regexp_split_to_array({cls_text}, {q(WS_CLASS + '+')})"
     mask = " + ".join(f"list_contains({cls}, {q(c)})::INT * {bit}" for c, bit in H.CLASS_BITS.items())
-    blank = f"regexp_matches({rx('tok', H.NBSP_ENTITIES, ' ')}, {q('^' + WS_CLASS + '*$')})"
+    blank = f"regexp_matches({rx('tok', NBSP_ENTITIES, ' ')}, {q('^' + WS_CLASS + '*$')})"
     a = ch.add(f"SELECT doc, pos, tok, {kind} AS kind, CASE WHEN {openlike} OR starts_with(tok, '</') THEN {name} END AS name, "
                f"CASE WHEN {kind} = 'open' THEN {mask} ELSE 0 END AS cls, "
                f"({kind} = 'text' AND NOT {blank})::INT AS nbk FROM {raw}")
@@ -236,7 +262,7 @@ def clean_html_sql(src: str, id_col: str, body_col: str, prefix: str, steps=None
 
 def html_to_text_sql(col: str) -> str:
     out = col
-    for pattern, repl in M.TEXT_RULES:
+    for pattern, repl in TEXT_RULES:
         out = rx(out, pattern, repl)
     for pattern, char in ENTITIES:
         out = rx(out, pattern, char)
