@@ -1,5 +1,6 @@
 """Evaluation (V1-V9, V11): AP@k, MAP@k, article error statistics, best/worst reports, histograms.
 
+Tables may hold several methods, told apart by a column ``method``; every operator then works per method, in one pass.
 All operators start from the query table so that queries with no ground truth or no hits keep their
 row (AP 0). Rankings leave the ranker hash-partitioned by query_id; the judge join and the per-query
 windows below keep that partitioning, so only the (small) query table is shuffled to meet them.
@@ -17,6 +18,18 @@ from quarry.operators.lookup import render_ids, with_titles
 BUCKET_DECIMALS = 9
 
 
+def _by(df: DataFrame) -> list[str]:
+    """The columns that tell the methods of a table apart."""
+    return ["method"] if "method" in df.columns else []
+
+
+def _per_method(df: DataFrame, methods: list[str] | None) -> DataFrame:
+    """``df`` once for each method, or as it is."""
+    if methods is None:
+        return df
+    return df.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+
+
 def ground_truth(queries: DataFrame, gt_col: str = "ground_truth") -> DataFrame:
     """(query_id, gt ARRAY<BIGINT>) with the strict parse (P3); duplicate query ids are rejected."""
     # The check rides on the gt column: query_id passes through untouched, so the partitioning by
@@ -30,62 +43,74 @@ def ground_truth(queries: DataFrame, gt_col: str = "ground_truth") -> DataFrame:
 
 def judge(rankings: DataFrame, gt: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, article_id, rel): each of the first k ranks marked relevant or not."""
-    r = rankings.where(F.col("rank") <= k).select("query_id", "rank", "article_id")
+    by = _by(rankings)
+    r = rankings.where(F.col("rank") <= k).select(*by, "query_id", "rank", "article_id")
     return (r.join(gt, "query_id")
-            .select("query_id", "rank", "article_id",
+            .select(*by, "query_id", "rank", "article_id",
                     F.array_contains("gt", F.col("article_id")).cast("int").alias("rel")))
 
 
-def average_precision(judged: DataFrame, gt: DataFrame, k: int = 10) -> DataFrame:
-    """V1/V3: (query_id, ap) for every query of ``gt``.
+def average_precision(judged: DataFrame, gt: DataFrame, k: int = 10, methods: list[str] | None = None) -> DataFrame:
+    """V1/V3: (query_id, ap) for every query of ``gt``, and for each of ``methods`` if the judged ranks are of several.
 
     AP@k = sum over hit ranks of (hits so far / rank), divided by min(|gt|, k); 0 for an empty gt.
     """
-    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = [*_by(judged), "query_id"]
+    w = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = F.sum("rel").over(w)
-    prec = judged.select("query_id", "rank", "rel", hits.alias("hits"))
-    sums = prec.groupBy("query_id").agg(
+    prec = judged.select(*key, "rank", "rel", hits.alias("hits"))
+    sums = prec.groupBy(*key).agg(
         F.sum(F.when(F.col("rel") == 1, F.col("hits") / F.col("rank")).otherwise(F.lit(0.0))).alias("s"))
     n = F.least(F.size("gt"), F.lit(k))
-    return (gt.join(sums, "query_id", "left")
-            .select("query_id", F.when(n > 0, F.coalesce("s", F.lit(0.0)) / n).otherwise(F.lit(0.0)).alias("ap")))
+    return (_per_method(gt, methods).join(sums, key, "left")
+            .select(*key, F.when(n > 0, F.coalesce("s", F.lit(0.0)) / n).otherwise(F.lit(0.0)).alias("ap")))
 
 
 def mean_average_precision(ap: DataFrame) -> DataFrame:
-    """V2: one row (map, n_queries) over all queries."""
-    return ap.agg(F.avg("ap").alias("map"), F.count(F.lit(1)).cast("bigint").alias("n_queries"))
+    """V2: one row (map, n_queries) over all queries, per method."""
+    return ap.groupBy(*_by(ap)).agg(F.avg("ap").alias("map"), F.count(F.lit(1)).cast("bigint").alias("n_queries"))
 
 
-def article_stats(judged: DataFrame, gt: DataFrame, articles: DataFrame) -> DataFrame:
+def article_stats(judged: DataFrame, gt: DataFrame, articles: DataFrame, methods: list[str] | None = None) -> DataFrame:
     """V4: (article_id, retrieved, relevant, hits) for every article, zeros included.
 
     Both counts are partial (map-side) aggregates, so an article retrieved for a third of all queries
     costs one row per task before the shuffle. Ground-truth ids outside the corpus are dropped here (D6).
     """
-    ret = judged.groupBy("article_id").agg(F.count(F.lit(1)).alias("retrieved"), F.sum("rel").alias("hits"))
+    key = [*_by(judged), "article_id"]
+    ret = judged.groupBy(*key).agg(F.count(F.lit(1)).alias("retrieved"), F.sum("rel").alias("hits"))
     relv = (gt.select(F.explode_outer("gt").alias("article_id")).where(F.col("article_id").isNotNull())
             .groupBy("article_id")).agg(F.count(F.lit(1)).alias("relevant"))
-    a = articles.select(F.col("article_id").cast("bigint"))
-    return (a.join(ret, "article_id", "left").join(relv, "article_id", "left")
-            .select("article_id",
+    a = articles.select(F.col("article_id").cast("bigint")).join(relv, "article_id", "left")
+    return (_per_method(a, methods).join(ret, key, "left")
+            .select(*key,
                     F.coalesce("retrieved", F.lit(0)).cast("bigint").alias("retrieved"),
                     F.coalesce("relevant", F.lit(0)).cast("bigint").alias("relevant"),
                     F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits")))
 
 
 def _listed(df: DataFrame, order_cols) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order_cols)).cast("bigint"))
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*_by(df)).orderBy(*order_cols)).cast("bigint"))
+
+
+def _first(df: DataFrame, order_cols, n: int) -> DataFrame:
+    """The first ``n`` rows, of each method; a task keeps no more than that before anything is shuffled."""
+    by = _by(df)
+    if not by:
+        return df.orderBy(*order_cols).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order_cols))
+    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def worst_queries(ap: DataFrame, n: int = 10) -> DataFrame:
     """V5: the n lowest-AP queries (ties by query_id), with their listing position."""
-    top = ap.orderBy(F.col("ap").asc(), F.col("query_id").asc()).limit(n)
-    return _listed(top, [F.col("ap").asc(), F.col("query_id").asc()])
+    order = [F.col("ap").asc(), F.col("query_id").asc()]
+    return _listed(_first(ap, order, n), order)
 
 
 def best_queries(ap: DataFrame, n: int = 10) -> DataFrame:
     """V6: the last n of the ascending order, listed ascending."""
-    top = ap.orderBy(F.col("ap").desc(), F.col("query_id").desc()).limit(n)
+    top = _first(ap, [F.col("ap").desc(), F.col("query_id").desc()], n)
     return _listed(top, [F.col("ap").asc(), F.col("query_id").asc()])
 
 
@@ -98,32 +123,33 @@ def query_report(selected: DataFrame, queries: DataFrame, rankings: DataFrame, t
     Expected ids are the raw ground-truth tokens in their order (a NULL ground truth renders as '');
     returned ids are in rank order.
     """
+    key = [*_by(selected), "query_id"]
     sel = selected.join(queries.select("query_id", "query_text", "ground_truth"), "query_id", "left")
-    expected = sel.select("query_id", F.coalesce(split_ws("ground_truth"), F.array().cast("array<string>")).alias("ids"))
-    got = (rankings.where(F.col("rank") <= max_rank).join(selected.select("query_id"), "query_id", "left_semi")
-           .groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))),
-                                                lambda x: x["article_id"]).alias("ids")))
-    got = selected.select("query_id").join(got, "query_id", "left")
+    expected = sel.select(*key, F.coalesce(split_ws("ground_truth"), F.array().cast("array<string>")).alias("ids"))
+    got = (rankings.where(F.col("rank") <= max_rank).join(selected.select(*key), key, "left_semi")
+           .groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))),
+                                          lambda x: x["article_id"]).alias("ids")))
+    got = selected.select(*key).join(got, key, "left")
     # Returned ids are bounded by n_selected x max_rank, so their title lookup broadcasts the ids and
     # streams the title table; ground-truth lists have no static bound and use a plain join.
-    e = render_ids(expected, "query_id", "ids", titles, "expected")
-    g = render_ids(got, "query_id", "ids", titles, "got")
-    return sel.join(e, "query_id", "left").join(g, "query_id", "left")
+    e = render_ids(expected, key, "ids", titles, "expected")
+    g = render_ids(got, key, "ids", titles, "got")
+    return sel.join(e, key, "left").join(g, key, "left")
 
 
 def worst_by_fp(stats: DataFrame, titles: DataFrame, n: int = 10) -> DataFrame:
     """V7: articles with the most false positives (retrieved - hits), only > 0; ties by article_id."""
     s = stats.withColumn("fp", F.col("retrieved") - F.col("hits")).where(F.col("fp") > 0)
-    top = s.orderBy(F.col("fp").desc(), F.col("article_id").asc()).limit(n)
-    return with_titles(_listed(top, [F.col("fp").desc(), F.col("article_id").asc()]), titles)
+    order = [F.col("fp").desc(), F.col("article_id").asc()]
+    return with_titles(_listed(_first(s, order, n), order), titles)
 
 
 def worst_by_missed(stats: DataFrame, titles: DataFrame, n: int = 10) -> DataFrame:
     """V8: articles most often missed (relevant - hits), only > 0, with recall (0 when never relevant)."""
     s = (stats.withColumn("missed", F.col("relevant") - F.col("hits")).where(F.col("missed") > 0)
          .withColumn("recall", F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(F.lit(0.0))))
-    top = s.orderBy(F.col("missed").desc(), F.col("article_id").asc()).limit(n)
-    return with_titles(_listed(top, [F.col("missed").desc(), F.col("article_id").asc()]), titles)
+    order = [F.col("missed").desc(), F.col("article_id").asc()]
+    return with_titles(_listed(_first(s, order, n), order), titles)
 
 
 def ap_bucket(ap_col="ap") -> F.Column:
@@ -134,7 +160,7 @@ def ap_bucket(ap_col="ap") -> F.Column:
 
 def ap_distribution(ap: DataFrame) -> DataFrame:
     """V9: (bucket, n_queries) for the non-empty buckets; listing order is bucket descending."""
-    return ap.groupBy(ap_bucket().alias("bucket")).agg(F.count(F.lit(1)).cast("bigint").alias("n_queries"))
+    return ap.groupBy(*_by(ap), ap_bucket().alias("bucket")).agg(F.count(F.lit(1)).cast("bigint").alias("n_queries"))
 
 
 def compare_methods(ap_tables: DataFrame) -> DataFrame:

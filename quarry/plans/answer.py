@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from quarry.functions.text import with_prefix
 from quarry.operators.infer import hashing_encode
 from quarry.operators.rank import Ranker, dense_ranker, to_answer
-from quarry.plans.evaluation import materialize
+from quarry.session import materialize
 from quarry.sources.tables import write_answer
 
 

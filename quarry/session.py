@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a session we build ourselves (tests, bench). A session handed to us keeps its own settings.
 _DEFAULT_CONF = {
@@ -90,3 +90,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name + "-" + os.urandom(6).hex()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: a lineage cut that survives the
+    loss of executors (a cached copy would be recomputed on loss)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,16 +112,20 @@ def read_ap(spark: SparkSession, path: str, methods: list[str] | None = None) ->
     return df if methods is None else df.where(F.col("method").isin(methods))
 
 
-def write_run(report: dict[str, DataFrame], path: str, method: str, mode: str = "overwrite") -> None:
-    """One parquet table per report section under ``path/<section>``, partitioned by method.
+def write_run(report: dict[str, DataFrame], path: str, method: str | None = None, mode: str = "overwrite") -> None:
+    """One parquet table per report section under ``path/<section>``, partitioned by method (the given one, or the
+    sections' own column).
 
-    Dynamic partition overwrite replaces this method's folder and keeps other methods' runs.
+    Dynamic partition overwrite replaces the folders of the methods written and keeps other methods' runs.
     """
-    for section, df in report.items():
-        (df.withColumn("method", F.lit(method)).write.mode(mode)
-           .option("partitionOverwriteMode", "dynamic").partitionBy("method")
+    def write(section: str) -> None:
+        df = report[section] if method is None else report[section].withColumn("method", F.lit(method))
+        (df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("method")
            .parquet(f"{path.rstrip('/')}/{section}"))
 
+    with ThreadPoolExecutor(4) as pool:  # the sections are small jobs that don't depend on each other
+        list(pool.map(write, report))
+
 
 def read_run(spark: SparkSession, path: str, section: str, method: str | None = None) -> DataFrame:
     df = spark.read.parquet(f"{path.rstrip('/')}/{section}")

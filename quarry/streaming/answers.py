@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans.answer import answer_queries, hashing_embedder
-from quarry.plans.evaluation import materialize
+from quarry.session import materialize
 from quarry.sources.tables import QUERY_SCHEMA
 
 
