@@ -85,22 +85,6 @@ def r2_top_k(spark, sf_dir):
     return r.select("query_id", F.col("rank").cast("bigint"), "article_id", _r6("score").alias("score"))
 
 
-@register("r2_top_k_beyond_corpus", """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0),
-a AS (SELECT vec_id AS article_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 <> 0)
-SELECT query_id, count(*)::BIGINT AS n_ranked, min(rank)::BIGINT AS first_rank, max(rank)::BIGINT AS last_rank
-FROM (SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id
-        ORDER BY round(list_dot_product(q.e, a.e), 9) DESC, a.article_id) AS rank FROM q, a)
-GROUP BY query_id""")
-def r2_top_k_beyond_corpus(spark, sf_dir):
-    """k larger than the corpus returns every article of fixture V for each of its queries."""
-    v = fixtures.vector_fixture(spark, sf_dir)
-    r = rank.block_top_k(v.article_vectors, v.query_vectors, k=1_000_000)
-    return r.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_ranked"),
-                                     F.min("rank").cast("bigint").alias("first_rank"),
-                                     F.max("rank").cast("bigint").alias("last_rank"))
-
-
 @register("r3_block_ranker_small_blocks", f"""
 WITH {SQL_V}
 SELECT query_id, rank::BIGINT AS rank, article_id, round(score, 6) AS score FROM v_top""")
@@ -677,7 +661,7 @@ from quarry.plans import answer as ANS  # noqa: E402
 from quarry.plans import enrich  # noqa: E402
 from quarry.plans import evaluation as EVR  # noqa: E402
 from quarry.plans import index as IX  # noqa: E402
-from quarry.session import scratch_path  # noqa: E402
+from quarry.session import materialize, scratch_path  # noqa: E402
 from quarry.streaming import answer_stream  # noqa: E402
 
 
@@ -866,6 +850,7 @@ def v12_method_suite(spark, sf_dir):
     """V12 over fixture T: five methods run and compared from their written AP tables. Each side is encoded once and
     written (S6); titles and generated titles go without the prefix, queries, rewrites and bodies with it."""
     fx = fixtures.text_fixture(spark, sf_dir)
+    fx.queries = materialize(fx.queries, "suite-queries")
     path = scratch_path(spark, "suite")
     rewritten = enrich.rewrite_queries(fx.queries, infer.last_user_message)
     generated = enrich.generate_titles(fx.articles, infer.last_user_message)
@@ -1059,17 +1044,58 @@ def v3_per_query_ap(spark, sf_dir):
 
 @register("a5_analyze", f"""{WITH_T}, {SQL_ZERO},
 z AS (SELECT method, count(*)::BIGINT AS n_queries, count_if(ap = 0)::BIGINT AS n_zero FROM aps GROUP BY method),
-l AS (SELECT method, count(*)::BIGINT AS n_lengths, max(body_len)::BIGINT AS max_len FROM zlen GROUP BY method)
-SELECT z.method, z.n_queries, z.n_zero, coalesce(l.n_lengths, 0)::BIGINT AS n_lengths, l.max_len
-FROM z LEFT JOIN l USING (method)""")
+l AS (SELECT method, count(*)::BIGINT AS n_lengths, max(body_len)::BIGINT AS max_len,
+             count(DISTINCT len(list_filter([500, 1000, 2000, 5000, 10000, 20000, 50000], lambda e: body_len >= e)))::BIGINT AS n_bins
+      FROM zlen GROUP BY method),
+x AS (SELECT method, sum(greatest(len({sql_lenient('ground_truth')}), 1))::BIGINT AS n_examples FROM (
+        SELECT method, query_id FROM aps WHERE ap = 0 QUALIFY row_number() OVER (PARTITION BY method ORDER BY query_id) <= 15)
+      JOIN t_queries USING (query_id) GROUP BY method)
+SELECT z.method, z.n_queries, z.n_zero, coalesce(l.n_lengths, 0)::BIGINT AS n_lengths, l.max_len, coalesce(l.n_bins, 0)::BIGINT AS n_bins,
+       coalesce(x.n_examples, 0)::BIGINT AS n_examples
+FROM z LEFT JOIN l USING (method) LEFT JOIN x USING (method)""")
 def a5_analyze(spark, sf_dir):
-    """A5: the full analysis of both text methods in one pass; two sections joined by method."""
+    """A5: the full analysis of both text methods in one pass; its four sections joined by method."""
     fx, aps = text_ap(spark, sf_dir)
-    sec = an.analyze(aps, fx.queries, fx.articles)
+    sec = an.analyze(materialize(aps, "a5-ap"), fx.queries, fx.articles)
     st = sec["gt_length_stats"].select("method", F.col("n").alias("n_lengths"), "max_len")
-    return (sec["zero_split"].join(st, "method", "left")
-            .select("method", "n_queries", "n_zero", F.coalesce("n_lengths", F.lit(0)).cast("bigint").alias("n_lengths"),
-                    "max_len"))
+    bins = sec["gt_length_histogram"].groupBy("method").agg(F.count(F.lit(1)).alias("n_bins"))
+    examples = sec["zero_examples"].groupBy("method").agg(F.count(F.lit(1)).alias("n_examples"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return (sec["zero_split"].join(st, "method", "left").join(bins, "method", "left").join(examples, "method", "left")
+            .select("method", "n_queries", "n_zero", none("n_lengths"), "max_len", none("n_bins"), none("n_examples")))
+
+
+@register("e5_rewrite_distinct", ORACLE["e5_rewrite_queries"])
+def e5_rewrite_distinct(spark, sf_dir):
+    """E5 with each distinct query text rewritten once and joined back."""
+    return enrich.rewrite_queries(fixtures.noisy_queries(spark, sf_dir), infer.last_user_message, distinct=True)
+
+
+# k beyond the number of articles, over a small corpus: the names of all nations, for all passages
+@register("r2_top_k_beyond_corpus", f"""WITH {sql_hash('n_qv', 'benchmark', 'item_id', 'text')}, {sql_hash('n_av', 'nation', 'n_nationkey', 'n_name')},
+{sql_topk('n_top', 'n_qv', 'n_av', 100)}
+SELECT query_id, rank::BIGINT AS rank, article_id, round(score, 6) AS score FROM n_top""")
+def r2_top_k_beyond_corpus(spark, sf_dir):
+    """k larger than the corpus returns every article: 25 nations for each passage, k = 100."""
+    names = tables.read_table(spark, f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("article_id"), "n_name")
+    texts = tables.read_table(spark, f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    r = rank.block_top_k(hashing_encode(names, "n_name", HASH_DIM), hashing_encode(texts, "text", HASH_DIM), k=100)
+    return r.select("query_id", F.col("rank").cast("bigint"), "article_id", _r6("score").alias("score"))
+
+
+@register("s10_worst_queries", ORACLE["v5_worst_queries"])
+def s10_worst_queries(spark, sf_dir):
+    return _run_report(spark, sf_dir, "worst_queries")
+
+
+@register("s10_best_queries", ORACLE["v6_best_queries_labels"])
+def s10_best_queries(spark, sf_dir):
+    return _run_report(spark, sf_dir, "best_queries")
+
+
+def _run_report(spark, sf_dir, section):
+    out = _run_section(spark, sf_dir, section)
+    return out.select(F.col("pos").cast("bigint"), "query_id", _r6("ap").alias("ap"), "query_text", "ground_truth", "expected", "got")
 
 
 FLAGSHIP = "r5_answer"

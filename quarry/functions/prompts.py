@@ -66,3 +66,20 @@ def rewrite_prompt(col) -> Column:
 def title_prompt(col, shots: list[tuple[str, str]] = TITLE_SHOTS) -> Column:
     """Prompt for a short article title; pass the article head (P2), and example pairs (head, title) of one's own."""
     return build_prompt(col, TITLE_SYSTEM, shots, TITLE_LABEL)
+
+
+# Our own prompt for document expansion: queries that a part of an article answers.
+EXPANSION_SYSTEM = ("Ты — система генерации поисковых запросов. По фрагменту статьи справки напиши один запрос, "
+                    "на который этот фрагмент отвечает.")
+EXPANSION_LABEL = "Фрагмент: "
+EXPANSION_SHOTS = [
+    ("Пароль можно сменить в настройках профиля: откройте раздел безопасности и введите новый пароль дважды.",
+     "как сменить пароль"),
+    ("Если посылка не пришла в срок, напишите в поддержку и приложите номер отправления.",
+     "что делать, если посылка не пришла"),
+]
+
+
+def expansion_prompt(col) -> Column:
+    """Prompt for a query that the given part of an article answers."""
+    return build_prompt(col, EXPANSION_SYSTEM, EXPANSION_SHOTS, EXPANSION_LABEL)

@@ -34,20 +34,3 @@ def l2_normalize(col) -> Column:
     return F.aggregate(
         v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
         lambda acc: F.transform(v, lambda x: F.when(acc > 0, x.cast("double") / F.sqrt(acc)).otherwise(F.lit(0.0))))
-
-
-def token_buckets(text, dim: int) -> Column:
-    """Hash bucket of each token: the first 32 bits of its md5, modulo dim."""
-    toks = F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), 0)
-    return F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim))
-
-
-def bucket_counts(buckets, dim: int) -> Column:
-    """Dense count vector (ARRAY<DOUBLE>, length dim) of a bucket array column.
-
-    One native array_remove scan per bucket; ``buckets`` must be a column reference, since the lambda
-    evaluates it once per bucket.
-    """
-    b = _col(buckets)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: (F.size(b) - F.size(F.array_remove(b, i.cast("bigint")))).cast("double"))

@@ -11,10 +11,12 @@ from quarry.operators.infer import (BATCH_GENERATE_TITLES, BATCH_QUERIES, BATCH_
                                     MAX_NEW_TOKENS_REWRITE, MAX_NEW_TOKENS_TITLES, generate_column)
 
 
-def rewrite_queries(queries: DataFrame, make_generator, max_new_tokens: int = MAX_NEW_TOKENS_REWRITE) -> DataFrame:
-    """E5: (query_id, query_text, rewritten_text, ground_truth) with the generator's rewrite."""
+def rewrite_queries(queries: DataFrame, make_generator, max_new_tokens: int = MAX_NEW_TOKENS_REWRITE,
+                    distinct: bool = False) -> DataFrame:
+    """E5: (query_id, query_text, rewritten_text, ground_truth) with the generator's rewrite; ``distinct``: each distinct query
+    is rewritten once."""
     p = queries.withColumn("_prompt", rewrite_prompt("query_text"))
-    out = generate_column(p, "_prompt", make_generator, BATCH_REWRITE, "rewritten_text", max_new_tokens).drop("_prompt")
+    out = generate_column(p, "_prompt", make_generator, BATCH_REWRITE, "rewritten_text", max_new_tokens, distinct).drop("_prompt")
     cols = [c for c in ["query_id", "query_text", "rewritten_text", "ground_truth"] if c in out.columns]
     return out.select(*cols)
 
@@ -26,10 +28,11 @@ def rewrite_and_embed(queries: DataFrame, make_generator, make_encoder) -> DataF
     return enc.drop("_in")
 
 
-def generate_titles(articles: DataFrame, make_generator, max_new_tokens: int = MAX_NEW_TOKENS_TITLES) -> DataFrame:
+def generate_titles(articles: DataFrame, make_generator, max_new_tokens: int = MAX_NEW_TOKENS_TITLES,
+                    distinct: bool = False) -> DataFrame:
     """(article_id, generated_title) from the first 1500 characters of the body."""
     p = articles.select("article_id", title_prompt(text_head("body")).alias("_prompt"))
-    out = generate_column(p, "_prompt", make_generator, BATCH_GENERATE_TITLES, "generated_title", max_new_tokens)
+    out = generate_column(p, "_prompt", make_generator, BATCH_GENERATE_TITLES, "generated_title", max_new_tokens, distinct)
     return out.drop("_prompt")
 
 

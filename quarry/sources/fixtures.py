@@ -12,13 +12,12 @@ Every fixture reads whole tables; rows are assigned roles (query or article), ne
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
 from quarry.sources import tables
 from quarry.sources.tables import read_embeddings
 
@@ -28,8 +27,6 @@ RANK_CASES = {0: [1], 1: [1, 4], 2: [10], 3: [2, 3, 7], 4: []}
 # Articles in a query's ground truth in fixture V.
 GT_IDS = 40
 
-DEFAULT_MATCH_BLOCK_BYTES = 64 << 20
-
 
 @dataclass
 class Fixture:
@@ -92,62 +89,63 @@ def rank_fixture(spark: SparkSession, sf_dir: str, rankings: DataFrame | None =
     return Fixture(v.articles, queries, v.article_vectors, v.query_vectors)
 
 
-def _match_passages(passages: pd.DataFrame):
-    """Per-partition containment test of documents against a broadcast set of passages."""
-    def run(batches):
-        try:
-            import ahocorasick
-        except ImportError:  # pragma: no cover - baked into the image; plain scan otherwise
-            ahocorasick = None
-        by_text: dict[str, list[int]] = {}
-        for pid, text in zip(passages["pid"], passages["ptext"]):
-            if text is not None:
-                by_text.setdefault(text, []).append(int(pid))
-        empty = by_text.pop("", [])
-        automaton = None
-        if ahocorasick is not None and by_text:
-            automaton = ahocorasick.Automaton()
-            for text, pids in by_text.items():
-                automaton.add_word(text, pids)
-            automaton.make_automaton()
-        for pdf in batches:
-            out_doc, out_pid = [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                if text is None:
-                    continue
-                found = set(empty)
-                if automaton is not None:
-                    for _, pids in automaton.iter(text):
-                        found.update(pids)
-                elif by_text:
-                    found.update(p for t, ps in by_text.items() if t in text for p in ps)
-                out_doc.extend([doc_id] * len(found))
-                out_pid.extend(found)
-            yield pd.DataFrame({"doc_id": pd.Series(out_doc, dtype="int64"),
-                                "pid": pd.Series(out_pid, dtype="int64")})
-    return run
-
-
-def containment_pairs(docs: DataFrame, passages: DataFrame, block_bytes: int = DEFAULT_MATCH_BLOCK_BYTES) -> DataFrame:
+#: Words, and characters, of the gram by which a passage meets the documents that may hold it.
+MATCH_WORDS, MATCH_CHARS = 4, 8
+
+
+def _gram_of_words(words: str, at, n: int):
+    """Hash of ``n`` words from place ``at`` (from 0) of an array column on."""
+    return F.xxhash64(*[F.get(F.col(words), at + j) for j in range(n)])
+
+
+def _grams(docs: DataFrame, unit: str, n: int) -> DataFrame:
+    """(doc_id, gram): hashes of all runs of ``n`` words (or characters) of each text (doc_id, text, words).
+
+    The words are a column of their own, read from a written table: a lambda would split the text anew at every place. The
+    outer explode keeps Spark from deriving a filter that repeats the expression."""
+    if unit == "empty":
+        return docs.select("doc_id", F.lit(0).cast("bigint").alias("gram"))
+    if unit == "words":
+        places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
+        grams = F.transform(places, lambda i: _gram_of_words("words", i, n))
+    else:
+        places = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1))
+        grams = F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.lit(n))))
+    return docs.select("doc_id", F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())
+
+
+def containment_pairs(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, pid) for every document text containing a passage text (exact substring).
 
-    The passage side is size-checked and shipped in blocks; each document is scanned once per block with
-    an Aho-Corasick automaton, so the cost is linear in the text, not in documents x passages.
+    A passage meets documents by a gram of its own: its first words but the very first one, which may be the end of a longer
+    word in the document, as may the last one be its beginning. A passage without such words is met by its first characters, an
+    empty one by every document. That is an equi-join on hashes; what it finds is checked on the texts.
     """
-    spark = docs.sparkSession
-    p = passages.select(F.col("pid").cast("bigint"), F.col("ptext").cast("string"))
-    size = p.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("ptext")).alias("chars")).first()
-    n_blocks = max(1, math.ceil(4 * (size["chars"] or 0) / block_bytes))
-    blocks = [p] if n_blocks == 1 else [p.where(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)) == b)
-                                        for b in range(n_blocks)]
-    d = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    out = None
-    for block in blocks:
-        # Bounded by the check above; the arrow path keeps the transfer columnar.
-        pdf = block.toPandas()
-        part = d.mapInPandas(_match_passages(pdf), "doc_id BIGINT, pid BIGINT")
-        out = part if out is None else out.unionByName(part)
-    return out
+    p = passages.select(F.col("pid").cast("bigint").alias("pid"), F.col("ptext").cast("string").alias("ptext"))
+    words = F.split("ptext", r"\s+")
+    inner = F.size(words) - 2
+    unit = F.when(F.length("ptext") == 0, "empty").when(inner > 0, "words").otherwise("chars")
+    n = F.when(unit == "empty", 0).when(unit == "words", F.least(inner, F.lit(MATCH_WORDS))).otherwise(
+        F.least(F.length("ptext"), F.lit(MATCH_CHARS)))
+    p = p.where(F.col("ptext").isNotNull()).withColumn("unit", unit).withColumn("n", n)
+    key = F.when(F.col("unit") == "empty", F.lit(0).cast("bigint"))
+    for size in range(1, MATCH_WORDS + 1):
+        key = key.when((F.col("unit") == "words") & (F.col("n") == size), _gram_of_words("words", F.lit(1), size))
+    key = (key.when(F.col("unit") == "chars", F.xxhash64(F.substring("ptext", F.lit(1), F.col("n")))))
+    p = materialize(p.withColumn("words", words).withColumn("gram", key).drop("words"), "match-passages")
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    split = materialize(d.withColumn("words", F.split("text", r"\s+")), "match-words")
+    found = None
+    for kind in p.select("unit", "n").distinct().collect():  # at most MATCH_WORDS + MATCH_CHARS + 1 of them
+        unit, n = kind["unit"], kind["n"]
+        own = p.where((F.col("unit") == unit) & (F.col("n") == n)).select("pid", "gram")
+        one = _grams(split, unit, n).join(own, "gram").select("doc_id", "pid")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id BIGINT, pid BIGINT")
+    maybe = materialize(found.distinct(), "match-candidates")
+    return (maybe.join(p.select("pid", "ptext"), "pid").join(d, "doc_id").where(F.contains("text", "ptext"))
+            .select("doc_id", "pid"))
 
 
 def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
