@@ -33,6 +33,8 @@ LONGEST, LEAST, TOP, PERCENT, SCALE = 5, 100, 2000, 100, 1000
 CHUNK, WORDS, GATHER = 2 << 20, 500_000, 3_000_000
 #: Counters per byte of text, their number at least and at most, and counters in a part (which one task adds up).
 PER_BYTE, FEWEST, MOST, PART = 1 / 48, 1 << 16, 1 << 28, 1 << 20
+#: Bytes of text for a part of the windows (8 parts at least, 4096 at most).
+PART_BYTES = 8 << 20
 
 _U = np.uint64
 #: Separators of pieces become 0xFF, which no text has; a tabulator becomes a space (fixed values of the contract).
@@ -193,37 +195,41 @@ def _count_grams(src: DataFrame, orders: tuple[int, ...], size: int, seen, least
 
 # ---------------------------------------------------------------- windows
 
-def _windows(src: DataFrame, size: int, seen, seed: int, longest: int) -> DataFrame:
+def _windows(src: DataFrame, size: int, seen, seed: int, longest: int, parts: int) -> DataFrame:
     """Counted windows (lang, w1 .. , c), with the words behind the hashes (w1, word) and the number of all words (lang, c) in
-    rows of their own (``kind`` 0, 1 and 2)."""
+    rows of their own (``kind`` 0, 1 and 2). A task sends what it has counted as lists, dealt out by the hash of a window's
+    first two words; a task that gets a part adds its lists up, so that ROLLUP sees a window about once."""
     lead = [f"w{j}" for j in range(1, longest + 1)]
-    names = ["kind", "lang", *lead, "c", "word"]
 
-    def rows(kind: int, n: int, **given) -> pa.RecordBatch:
-        types = [pa.int32(), pa.string(), *[pa.int64()] * (longest + 1), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, t) if c == "kind" else given.get(c, pa.nulls(n, t))
-                                           for c, t in zip(names, types)], names=names)
+    def sent(kind: int, part: int, lang: str | None, keys: np.ndarray, often: np.ndarray, text=()) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([lang], pa.string()),
+             pa.array([keys.astype("<i8").tobytes()], pa.binary()), pa.array([often.astype("<i8").tobytes()], pa.binary()),
+             pa.array([text], pa.list_(pa.string()))], names=["kind", "part", "lang", "keys", "often", "words"])
+
+    def dealt(part_of: np.ndarray):
+        order = np.argsort(part_of, kind="stable")
+        cuts = np.searchsorted(part_of[order], np.arange(parts + 1))
+        return ((p, order[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, n, totals, used = _Words(seed), {}, 0, {}, np.zeros(0, dtype=np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
-                window = np.concatenate(found)
-                window, often = _distinct(window, len(words))
-                cols = {}
-                for j, name in enumerate(lead):
-                    hashes = words.hashes[window[:, j]].view(np.int64)
-                    cols[name] = pa.array(hashes, pa.int64(), mask=window[:, j] == 0)
-                yield rows(0, len(window), lang=pa.array([lang] * len(window), pa.string()), c=pa.array(often, pa.int64()), **cols)
+                window, often = _distinct(np.concatenate(found), len(words))
+                window = words.hashes[window]
+                for part, at in dealt((_mix(window[:, 0] + _mix(window[:, min(1, longest - 1)])) % _U(parts)).astype(np.int64)):
+                    yield sent(0, part, lang, window[at].view(np.int64), often[at])
             held.clear()
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             by_number = list(words)  # in the order of their numbers
             which = np.unique(used)
             which = which[which > 0]
-            text = [by_number[i].decode("utf-8", "surrogatepass") for i in which.tolist()]
-            yield rows(1, len(which), w1=pa.array(words.hashes[which].view(np.int64)), word=pa.array(text, pa.string()))
+            for part, at in dealt((words.hashes[which] % _U(parts)).astype(np.int64)):
+                text = [by_number[i].decode("utf-8", "surrogatepass") for i in which[at].tolist()]
+                yield sent(1, part, None, words.hashes[which[at]].view(np.int64), np.zeros(0), text)
 
         for lang, numbers in _runs(batches, words):
             hashes = words.hashes[numbers]
@@ -246,9 +252,60 @@ def _windows(src: DataFrame, size: int, seen, seed: int, longest: int) -> DataFr
                 used = used[:0]
         yield from flush()
         yield from dictionary()
-        yield rows(2, len(totals), lang=pa.array(list(totals), pa.string()), c=pa.array(list(totals.values()), pa.int64()))
+        for lang, total in totals.items():
+            yield sent(2, 0, lang, np.zeros(0), np.array([total]))
+
+    types = [pa.int32(), pa.string(), *[pa.int64()] * (longest + 1), pa.string()]
+    names = ["kind", "lang", *lead, "c", "word"]
 
-    return src.mapInArrow(count, f"kind int, lang string, {', '.join(f'{w} long' for w in lead)}, c long, word string")
+    def rows(kind: int, n: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, t) if c == "kind" else given.get(c, pa.nulls(n, t))
+                                           for c, t in zip(names, types)], names=names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, keys, often, n, texts, total = None, [], [], 0, {}, 0
+
+        def merged() -> None:
+            if len(keys) > 1:
+                window, place = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+                keys[:], often[:] = [window], [np.bincount(place.ravel(), weights=np.concatenate(often)).astype(np.int64)]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal keys, often, texts, total
+            if keys:
+                merged()
+                cols = {name: pa.array(keys[0][:, j], pa.int64(), mask=keys[0][:, j] == 0) for j, name in enumerate(lead)}
+                yield rows(0, len(keys[0]), lang=pa.array([last[2]] * len(keys[0]), pa.string()), c=pa.array(often[0]), **cols)
+            if texts:
+                yield rows(1, len(texts), w1=pa.array([h for h, _ in texts], pa.int64()), word=pa.array([w for _, w in texts], pa.string()))
+            if total:
+                yield rows(2, 1, lang=pa.array([last[2]], pa.string()), c=pa.array([total], pa.int64()))
+            keys, often, texts, total = [], [], {}, 0
+
+        for batch in batches:
+            for kind, part, lang, k, c, w in zip(*[batch.column(x) if x in ("keys", "often") else batch.column(x).to_pylist()
+                                                   for x in ("kind", "part", "lang", "keys", "often", "words")]):
+                if (kind, part, lang) != last:
+                    yield from close()
+                    last, n = (kind, part, lang), 0
+                k, c = np.frombuffer(k.as_buffer(), "<i8"), np.frombuffer(c.as_buffer(), "<i8")
+                if kind == 0:
+                    keys.append(k.reshape(-1, longest))
+                    often.append(c)
+                    n += len(c)
+                    if n > GATHER:  # bounds what waits to be added up
+                        merged()
+                        n = 0
+                elif kind == 1:
+                    texts.update(dict.fromkeys(zip(k.tolist(), w)))
+                else:
+                    total += int(c.sum())
+        yield from close()
+
+    lists = src.mapInArrow(count, "kind int, part int, lang string, keys binary, often binary, words array<string>")
+    by = ["kind", "part", "lang"]
+    return (lists.repartition(*by).sortWithinPartitions(*by)
+            .mapInArrow(add, f"kind int, lang string, {', '.join(f'{w} long' for w in lead)}, c long, word string"))
 
 
 def _distinct(window: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +340,9 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, t
     src = columns(docs, *dict.fromkeys([text_col, lang_col]))
     src = src.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     src = src.filter("text is not null")
-    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = int(min(max(1 << int(np.ceil(np.log2(max(size * PER_BYTE, 1)))), FEWEST), MOST))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(min(max(total // PART_BYTES, 8), 4096))
+    size = int(min(max(1 << int(np.ceil(np.log2(max(total * PER_BYTE, 1)))), FEWEST), MOST))
     lead = [f"w{j}" for j in range(1, longest + 1)]
     seed = 0
     while True:
@@ -294,7 +352,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, t
             if orders:
                 shared = spark.sparkContext.broadcast(seen)
                 seen = {**seen, **_count_grams(src, orders, size, shared, least, seed)}
-        made = materialize(_windows(src, size, spark.sparkContext.broadcast(seen), seed, longest), "op12-windows")
+        made = materialize(_windows(src, size, spark.sparkContext.broadcast(seen), seed, longest, parts), "op12-windows")
         words = made.filter("kind = 1").groupBy(F.col("w1").alias("w")).agg(
             F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("shared"))
         words = materialize(words, "op12-words")
