@@ -306,18 +306,19 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) ->
                 [pa.array([_key(v) for v in values], pa.binary()), pa.array([v.astype("<u8").tobytes() for v in values], pa.binary())],
                 names=["set_key", "shingles"])
 
-    own = classes.join(wanted.select("cls").distinct(), "cls").select("cls", "set_key", "doc_id")
-    # by null-safe equality: a null id may stand for a class too; rows that share an id are told apart by set_key
-    texts = _possible(docs, own).join(own.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = texts.select("text").mapInArrow(sets, "set_key binary, shingles binary")
-    return found.join(own.select("cls", "set_key"), "set_key").dropDuplicates(["cls"]).select("cls", "shingles")
+    own = materialize(classes.join(wanted.select("cls").distinct(), "cls").select("cls", "set_key", "doc_id"), "op3-wanted")
+    # a text of any document with the set will do; the join on the set, which is as large as the text, is the only shuffle
+    found = _possible(docs, own).select("text").mapInArrow(sets, "set_key binary, shingles binary")
+    return (found.join(own.select("cls", "set_key"), "set_key").groupBy("set_key").agg(F.first("cls").alias("cls"), F.first("shingles").alias("shingles"))
+            .select("cls", "shingles"))
 
 
 def _possible(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """``docs`` less rows whose id is certainly not among ``own``, by a bit per hashed id: 1024 bitmaps of 4 KB, whatever the
-    number of documents, so their broadcast is bounded. Most texts thus need no shuffle to meet ``own``; were the
-    bitmaps full, all texts would be shuffled, and the join that follows would still be exact."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1024 * 32768))
+    """``docs`` less rows whose id is not among those of ``own``, by a bit per hashed id, so that texts need no shuffle to
+    meet ``own``: bitmaps of 4 KB, 16 bits per wanted id and 64 MB in all at most, so their broadcast is bounded. Rows that
+    pass by chance cost time only: what they are joined with afterwards is exact."""
+    maps = min(max(own.count() * 16 // 32768, 64), 16384)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(maps * 32768))
     bits = own.select((F.floor(place / 32768)).cast("int").alias("_bucket"), F.pmod(place, F.lit(32768)).alias("_bit"))
     bitmaps = F.broadcast(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap")))
     marked = docs.withColumn("_at", F.pmod(place, F.lit(32768)).cast("int")).withColumn("_in", F.floor(place / 32768).cast("int"))
