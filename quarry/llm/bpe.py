@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import columns, read, string_column
 from quarry.llm.tokens import SPACE, Memo
 
-#: Distinct chunks and words remembered by a worker (two generations of this size).
-MEMO = 300_000
+#: Distinct words, and half as many distinct chunks, remembered by a worker (two generations of this size).
+MEMO = 400_000
+#: Letters that are lower-cased one by one and that no normalization changes, and ASCII marks (fixed values).
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153", "!-/:-@\\[-`{-~"
 #: Arcs remembered by a worker.
 ARCS = 2_000_000
 
@@ -153,10 +155,15 @@ class TokenAutomaton:
 
 
 class WordBpe:
-    """Whole texts to ids and back, for a tokenizer file that lower-cases and marks word ends."""
+    """Whole texts to ids and back, for a tokenizer file that lower-cases and marks word ends.
+
+    A text of Latin letters, digits and ASCII marks is lower-cased and split whole by the tokenizer's pattern, with its classes
+    spelled out; any other text is normalized and split by the library, chunk by chunk. Every distinct word goes through
+    the automaton once."""
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         with open(path) as f:
             spec = json.load(f)
         model = spec["model"]
@@ -170,38 +177,47 @@ class WordBpe:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find_added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        #: the label of every id: what the arcs with that label spell
+        names = {**{i: t for t, i in self.vocab.items()}, **{i: t for t, i in self.added.items()}}
+        self.labels = [names.get(i, "") for i in range(max(names) + 1)]
         self.chunks = re.compile(f"[^{SPACE}]+").findall
-        # ASCII letters and then marks: two words for the tokenizer's pattern, with nothing to normalize but case
-        self.plain = re.compile(r"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
-        self.words = Memo(self._word, memo // 2)
-        self.known = Memo(self._chunk, memo)
-
-    def _word(self, word: str) -> tuple[bytes, str]:
-        tokens = self.automaton.encode([*word[:-1], word[-1] + self.end])
-        return array("I", [self.vocab[t] for t in tokens]).tobytes(), " ".join(tokens)
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (unsigned 32-bit integers of the machine) and labels of a text without white space."""
-        m = self.plain(chunk)
-        if m and "<" not in chunk:
-            words = [w for w in (m[1].lower(), m[2]) if w]
-            if len(words) == 1:
-                return self.words[words[0]]
-            got = [self.words[w] for w in words]
-        else:
-            got = []
-            pieces = self.find_added.split(chunk) if self.find_added else [chunk]
-            for k, piece in enumerate(pieces):
-                if k % 2:
-                    got.append((array("I", [self.added[piece]]).tobytes(), piece))
-                elif piece:
-                    got += [self.words[w] for w, _ in self.split(self.normalize(piece))]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as unsigned 32-bit integers, and the text that their arc labels give."""
-        got = list(map(self.known.__getitem__, self.chunks(text)))
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+        self.latin = re.compile(f"[\t\n\r {LETTERS}0-9{MARKS}]*").fullmatch
+        self.latin_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[{MARKS}]+").findall
+        # the library's name of every byte up to 0xDF; higher bytes are named by themselves
+        some = "".join(map(chr, range(2048)))
+        self.names = dict(zip(some.encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(some)[0][0]))
+        self.words = Memo(self._word, memo)
+        self.named = Memo(self._named, memo // 2)
+        self.known = Memo(self._chunk, memo // 2)
+
+    def _named(self, name: str) -> bytes:
+        """Ids of a word given by the library's names of its bytes."""
+        tokens = self.automaton.encode([*name[:-1], name[-1] + self.end])
+        return array("I", [self.vocab[t] for t in tokens]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._named(word if word.isascii() else word.encode().decode("latin-1").translate(self.names))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a text without white space, split by the library."""
+        got = []
+        pieces = self.find_added.split(chunk) if self.find_added else [chunk]
+        for k, piece in enumerate(pieces):
+            if k % 2:
+                got.append(array("I", [self.added[piece]]).tobytes())
+            elif piece:
+                got += [self.named[w] for w, _ in self.split(self.normalize(piece))]
+        return b"".join(got)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit integers of the machine."""
+        if self.latin(text) and not any(map(text.__contains__, self.added)):
+            return b"".join(map(self.words.__getitem__, self.latin_words(text.lower())))
+        return b"".join(map(self.known.__getitem__, self.chunks(text)))
+
+    def decode(self, ids: bytes) -> str:
+        """The labels of the arcs that ids stand for, one after another."""
+        return " ".join(map(self.labels.__getitem__, memoryview(ids).cast("I")))
 
 
 @functools.lru_cache(maxsize=2)
@@ -210,6 +226,15 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def bpe_decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``, the text of ids (little-endian unsigned 32-bit integers): the labels of their arcs, with a space between
+    two. Null ids have a null text; an id outside the vocabulary is an error."""
+    def decode(ids: pa.Array) -> pa.Array:
+        bpe = word_bpe(tokenizer)
+        return pa.array([None if i is None else bpe.decode(i) for i in ids.to_pylist()], pa.string())
+    return encoded.withColumn(out, F.arrow_udf(decode, "string")(F.col(ids_col)))
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again: doc_id, n_tokens, ids_sha256, decoded_sha256 (and, if asked
@@ -235,7 +260,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 batch = big.slice(k, 256)
                 rows = []
                 for d, text in zip(batch.column("doc_id").to_pylist(), string_column(batch, "text")):
-                    ids, decoded = bpe.encode(text)
+                    ids = bpe.encode(text)
+                    decoded = bpe.decode(ids)
                     row = (d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                     rows.append(row + (ids, decoded) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
