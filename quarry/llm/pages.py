@@ -21,11 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.markup import Scanner, attributes
 from quarry.llm.common import bounded_batches, columns, materialize, ordered_totals, read, string_column
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-
 # Elements of HTML by what they mean here.
 #: Their content is never text.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "head", "title", "textarea"}
@@ -44,87 +42,164 @@ MARKS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrum
 COMMENTS = {"comment", "comments", "respond", "replies"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 _WHOLE = {"html", "body", "main", "article"}
-
-
-def _mark(tag: str, attrs: str) -> str:
-    """'' for text, 'chrome' or 'comments' by the element's attributes."""
-    if not attrs.strip():
+#: Elements that end an open paragraph; elements that end an open one of the same kind, with what bounds the search for it; elements
+#: that most closes don't reach out of; elements whose close reaches out of those.
+PARAGRAPH_ENDS = {"address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+                  "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main",
+                  "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+           "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+           "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+           "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+           "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, {"html"})}
+SCOPES = {"table", "td", "th", "caption", "button"}
+REACHING = {"html", "body", "main", "article", "section", "nav", "aside", "header", "footer", "form", "table", "tbody", "thead", "tfoot",
+            "tr", "td", "th", "caption", "button"}
+
+
+def _mark(tag: str, token: str, inside: bool) -> str:
+    """'' for text, 'chrome' or 'comments' by the element's attributes. Inside an article or main part only whole classes
+    count: there an id is made from a heading, and 'no-sidebar' says nothing of the kind."""
+    found = attributes(token)
+    if not found:
         return ""
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    classes = html.unescape(found.get("class", "")).lower()
+    words = set(classes.split() if inside else re.split(r"[^a-z]+", f"{classes} {html.unescape(found.get('id', '')).lower()}"))
     if words & COMMENTS and tag not in ("html", "body", "main"):
         return "comments"
     if tag in _WHOLE:
         return ""
-    style = found.get("style", "").replace(" ", "").lower()
+    style = html.unescape(found.get("style", "")).replace(" ", "").lower()
     if (words & MARKS or found.get("role", "").lower() in ROLES or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true" or "display:none" in style):
         return "chrome"
     return ""
 
 
+class _Open:
+    """The stack of open elements: (name, why it is left out or '', whether it has a close of its own)."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, bool]] = []
+        self.left_out = self.ended = self.comments = self.article = self.main = 0
+        self.names: dict[str, int] = {}
+
+    def _count(self, entry: tuple[str, str, bool], by: int) -> None:
+        name, why, closed = entry
+        self.names[name] = self.names.get(name, 0) + by
+        self.left_out += by if why else 0
+        self.ended += by if why and closed else 0
+        self.comments += by if why == "comments" else 0
+        self.article += by if name == "article" else 0
+        self.main += by if name == "main" else 0
+
+    def push(self, name: str, why: str, closed: bool) -> None:
+        self.stack.append((name, why, closed))
+        self._count(self.stack[-1], 1)
+
+    def cut(self, at: int) -> None:
+        for entry in self.stack[at:]:
+            self._count(entry, -1)
+        del self.stack[at:]
+
+    def close(self, names: set[str], bounds: set[str]) -> None:
+        """End the nearest open element of these names, and what is open inside it, unless a bound comes first."""
+        if not any(self.names.get(name) for name in names):
+            return
+        for at in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[at][0]
+            if name in names:
+                self.cut(at)
+                return
+            if name in bounds:
+                return
+
+    def resume(self) -> None:
+        """An article is never part of a menu that is left open: end the outermost such element."""
+        if self.left_out and not self.ended:
+            self.cut(next(i for i, (_, why, _) in enumerate(self.stack) if why))
+
+
+def _closed(tokens: list[tuple[str, str, str]]) -> set[int]:
+    """Places of the opens that have a close of their own."""
+    opened: dict[str, list[int]] = {}
+    out = set()
+    for i, (kind, name, _) in enumerate(tokens):
+        if kind == "open":
+            opened.setdefault(name, []).append(i)
+        elif kind == "close" and opened.get(name):
+            out.add(opened[name].pop())
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(region, text) of every block that may be text: 'article', 'main' or 'body', in page order."""
+    """(region, text) of every block that may be text: 'article', 'main' or 'body', in page order.
+
+    Elements end as HTML says: by their close, by that of an element around them, or by an element that implies their end (a
+    paragraph by the next block, an item by the next item, a cell by the next cell), so leaving one out never takes more than it
+    holds."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    skip = kind = None      # the element that is skipped, and why
-    depth = article = main = 0
+    tokens = list(Scanner(page).tokens())
+    closed = _closed(tokens)
+    opened = _Open()
 
     def flush():
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(("article" if article else "main" if main else "body", text))
+                out.append(("article" if opened.article else "main" if opened.main else "body", text))
             parts.clear()
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        token, tag = m[0], m[2]
-        if tag is None:
-            if skip is None and not token.startswith(("<!", "<?")):
+    for i, (kind, tag, token) in enumerate(tokens):
+        if kind == "text":
+            if not opened.left_out:
                 parts.append(html.unescape(token))
             continue
-        tag, closing = tag.lower(), bool(m[1])
-        if skip is not None:
-            if not closing and kind != "comments" and tag in ("article", "main") and _mark(tag, m[3]) != "comments":
-                skip = None  # an article is never part of an unclosed menu
-            else:
-                if tag == skip:
-                    depth += -1 if closing else (0 if m[3].endswith("/") else 1)
-                    if not depth:
-                        skip = None
-                continue
-        if tag not in INLINE:
-            flush()
-        if closing:
-            if tag == "article":
-                article = max(0, article - 1)
-            elif tag == "main":
-                main = max(0, main - 1)
+        if kind not in ("open", "close"):
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end or tag in ("script", "style"):
-                flush()
-                at = end.end() if end else n
+        if tag not in INLINE and not opened.left_out:
+            flush()
+        if kind == "close":
+            opened.close({tag}, SCOPES - {tag} if tag not in REACHING else set())
             continue
+        if tag in PARAGRAPH_ENDS:
+            opened.close({"p"}, SCOPES)
+        if tag in IMPLIED:
+            opened.close(*IMPLIED[tag])
         if tag in VOID:
-            parts.append(" ")
+            if not opened.left_out:
+                parts.append(" ")
             continue
-        why = "chrome" if tag in CHROME or (tag == "header" and not (article or main)) else _mark(tag, m[3])
-        if why and not m[3].endswith("/"):
-            flush()
-            skip, kind, depth = tag, why, 1
-        elif tag == "article":
-            article += 1
-        elif tag == "main":
-            main += 1
-    flush()
+        if tag in RAW:
+            if i in closed:  # one that is left open hides nothing
+                opened.push(tag, "chrome", True)
+            continue
+        inside = bool(opened.article or opened.main)
+        why = "chrome" if tag in CHROME or (tag == "header" and not inside) else _mark(tag, token, inside)
+        if tag in ("article", "main") and why != "comments" and opened.left_out and not opened.comments:
+            opened.resume()
+        if not token.endswith("/>"):
+            if why and not opened.left_out:
+                flush()
+            opened.push(tag, why, i in closed)
+    if not opened.left_out:
+        flush()
     return out
 
 
+def marked_text(found: list[tuple[str, str]]) -> str | None:
+    """The text of a page that marks its article or main part: the articles, or the whole main part where more of its
+    text is outside them; None for a page that marks neither."""
+    article = [t for r, t in found if r == "article"]
+    main = [t for r, t in found if r == "main"]
+    if not article and not main:
+        return None if found else ""
+    if sum(map(len, article)) >= sum(map(len, main)):
+        return "\n".join(article)
+    return "\n".join(t for r, t in found if r != "body")
+
+
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Places in ``a`` of a longest common subsequence with ``b``, in memory linear in their lengths."""
     if not len(a) or not len(b):
@@ -193,10 +268,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             texts = []
             for page in string_column(batch, "html"):
-                found = blocks(page)
-                regions = {r for r, _ in found}
-                want = next((r for r in ("article", "main") if r in regions), None)
-                texts.append("\n".join(t for r, t in found if r == want) if want else "" if not found else None)
+                texts.append(marked_text(blocks(page)))
             keep = pa.array([t is not None for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"]).filter(keep)
