@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, columns, ordered_totals, read
+from quarry.llm.common import WORD, columns, materialize, ordered_totals, read
 
 #: Weights of the sources in code point order, repeated; share of all sizes that the mix takes; most epochs.
 CYCLE = (5.0, 2.0, 1.0)
@@ -54,8 +54,9 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     A row's key is -ln(u) / weight with u drawn from a hash of (seed, id, text), so reruns agree and an order
     by key is a weighted sample without replacement. A source first gives its complete epochs; the rest of
-    its target is filled in key order as long as a row's middle word lies within it, which leaves the source
-    within half a document of its target. The sort within a source is a range partitioning over all sources,
+    its target is filled in key order as long as a row's middle word lies within it. What that leaves open before a long
+    row is filled once more in the same way, by the later rows that fit in it, so the source ends within half of the
+    smaller of a document and that gap. The sort within a source is a range partitioning over all sources,
     so a source with a third of all rows is spread like any other rows.
 
     Defined cases: null text has size 0; a null source is a source of its own and comes last; null ids are
@@ -70,18 +71,26 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = src.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
                       (-F.log(u) / (weight if weight is not None else quality_weight(text))).alias("key"),
                       text_hash(text).alias("text_hash"))
-    placed = ordered_totals(rows, ["key", "doc_id", "text_hash"], ["size"], group=["source"], name="op6-sizes")
+    # written first: a range partitioning looks at its input twice, and this one is all that the texts are needed for
+    rows = materialize(rows, "op6-rows")
+    order = ["key", "doc_id", "text_hash"]
+    placed = ordered_totals(rows, order, ["size"], group=["source"], name="op6-sizes")
     placed = placed.withColumnRenamed("_total_size", "source_size")
     targets = source_targets(rows_by_source(placed), cycle, share, max_epochs)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - epochs * F.col("source_size")
-    extra = ((F.col("size") > 0) & (F.col("_before_size") + F.col("size") / 2.0 <= rest)).cast("long")
-    copies = (epochs + F.least(extra, F.lit(int(max_epochs)) - epochs)).cast("long")
     targets = targets.select(F.col("source").alias("_source"), "target")
-    return (placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("copies", copies)
-            .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
-                    "source", "text_hash"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    placed = placed.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("epochs", epochs)
+    placed = placed.withColumn("rest", F.when(F.col("epochs") < int(max_epochs), F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
+    extra = ((F.col("size") > 0) & (F.col("_before_size") + F.col("size") / 2.0 <= F.col("rest"))).cast("long")
+    placed = materialize(placed.withColumn("extra", extra).select(*rows.columns, "source_size", "target", "epochs", "rest", "extra"), "op6-chosen")
+    # what the cut left open goes to the next rows that fit in it
+    gaps = placed.groupBy(F.col("source").alias("_source")).agg((F.max("rest") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
+    placed = placed.join(gaps, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    filling = ordered_totals(placed.filter(fits), order, ["size"], group=["source"], name="op6-filling")
+    filling = filling.withColumn("extra", (F.col("_before_size") + F.col("size") / 2.0 <= F.col("gap")).cast("long")).select(*placed.columns)
+    return placed.filter(~fits).union(filling).withColumn("copies", (F.col("epochs") + F.col("extra")).cast("long")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "text_hash")
 
 
 def rows_by_source(placed: DataFrame) -> DataFrame:
