@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.catalog import (_SQL_STRIP, HASH_DIM, SQL_T, _r6, register, sql_compare, sql_eval, sql_hash, sql_stored,
+from quarry.catalog import (_SQL_STRIP, HASH_DIM, ORACLE, SQL_T, _r6, register, sql_compare, sql_eval, sql_hash, sql_stored,
                             sql_topk)
 from quarry.functions.text import QUERY_INSTRUCTION, with_prefix
 from quarry.functions.vectors import TOKEN_PATTERN
@@ -94,6 +94,14 @@ def _rankings_out(r):
     return r.select("query_id", F.col("rank").cast("bigint"), "article_id", _r6("score").alias("score"))
 
 
+@register("r3_clustered_articles", ORACLE["r2_top_k"])
+def r3_clustered_articles(spark, sf_dir):
+    """R3 over fixture V's articles written in clusters, so that chunks below a query's bar can be skipped."""
+    v = fixtures.vector_fixture(spark, sf_dir)
+    articles = materialize(rank.cluster_articles(v.article_vectors), "clustered")
+    return _rankings_out(rank.block_top_k(articles, v.query_vectors, 10))
+
+
 @register("r4_bm25", f"WITH {SQL_TEXTS}, {SQL_BM25} SELECT query_id, rank, article_id, round(score, 6) AS score FROM bm_top")
 def r4_bm25(spark, sf_dir):
     """BM25 over article bodies as an R4 ranker, by postings in blocks."""

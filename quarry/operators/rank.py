@@ -10,6 +10,10 @@ leaves a task is ``|queries in block| x k`` rows however many articles it read.
 ``row_number`` window over ``query_id`` picks the global top-k; Catalyst inserts a partial
 ``WindowGroupLimit`` before that shuffle.
 
+A chunk of articles is first looked at as a ball: its centre, and the radius that holds all of its vectors. No vector in it
+scores above ``q . centre + |q| * radius``, so queries whose k-th best lies above that skip the chunk, exactly. On vectors
+in no order the balls are wide and little is skipped; ``cluster_articles`` writes like vectors side by side.
+
 Order: score descending, then article_id ascending. Scores are compared after rounding to
 ``TIE_DECIMALS`` decimals, so BLAS summation order (last-bit noise) can neither split exact ties
 nor reorder them; the rounded key travels with each candidate so the task-level and the final
@@ -55,15 +59,14 @@ class _Best:
         self.key = np.full((nq, k), -np.inf)
         self.id = np.full((nq, k), np.iinfo(np.int64).max)
 
-    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Take in the scores of some articles (columns) for the queries from ``first`` on (rows).
+    def add(self, places: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in the scores of some articles (columns) for the queries at ``places`` (rows).
 
         Only cells that reach a query's k-th best are looked at any further; after the first articles these are few,
         so a cell costs a comparison.
         """
         keys = np.round(scores, TIE_DECIMALS)
-        rows = slice(first, first + len(scores))
-        bar = self.key[rows, -1]
+        bar = self.key[places, -1]
         empty = np.isneginf(bar)
         if empty.any() and keys.shape[1] > self.k:
             bar = bar.copy()
@@ -72,7 +75,7 @@ class _Best:
         if not len(r):
             return
         touched = np.unique(r)
-        at = first + touched
+        at = places[touched]
         owner = np.concatenate([np.repeat(touched, self.k), r])
         score = np.concatenate([self.score[at].ravel(), scores[r, c]])
         key = np.concatenate([self.key[at].ravel(), keys[r, c]])
@@ -84,11 +87,12 @@ class _Best:
         self.score[at], self.key[at], self.id[at] = score[pick], key[pick], id_[pick]
 
 
-def _block_topk(bc, k: int, id_col: str, emb_col: str):
+def _block_topk(bc, k: int, id_col: str, emb_col: str, counted=None):
     def run(batches):
         qids, qmat = bc.value
         nq, dim = qmat.shape
         best, seen = None, 0
+        norms = np.sqrt((qmat * qmat).sum(axis=1))
         for rb in batches:
             n = rb.num_rows
             if n == 0 or nq == 0:
@@ -102,13 +106,30 @@ def _block_topk(bc, k: int, id_col: str, emb_col: str):
             seen += n
             if best is None or best.k < min(k, seen):  # places are made as articles come, so a large k costs no more than them
                 best = _grown(best, nq, min(k, max(seen, 2 * (best.k if best else 0))))
-            for s in range(0, n, CELLS_PER_CHUNK // QUERY_TILE):
-                part = slice(s, s + CELLS_PER_CHUNK // QUERY_TILE)
-                for q in range(0, nq, QUERY_TILE):
-                    block = qmat[q:q + QUERY_TILE] @ amat[part].T
-                    if np.isnan(block).any():
-                        raise ValueError("NaN score: embeddings must not hold NaN")
-                    best.add(q, block, ids[part])
+            if np.isnan(amat).any():
+                raise ValueError("NaN score: embeddings must not hold NaN")
+            step = CELLS_PER_CHUNK // QUERY_TILE
+            chunks = [slice(s, s + step) for s in range(0, n, step)]
+            centres = np.stack([amat[c].mean(axis=0) for c in chunks], axis=1)
+            radii = np.array([np.sqrt(((amat[c] - m) ** 2).sum(axis=1).max()) for c, m in zip(chunks, centres.T)])
+            for q in range(0, nq, QUERY_TILE):
+                tile = slice(q, q + QUERY_TILE)
+                # a little more than the bound, for what rounding adds and for ties
+                bound = qmat[tile] @ centres + norms[tile, None] * radii
+                bound += 1e-6 * (1.0 + norms[tile, None] * (radii + np.abs(centres).max(axis=0)))
+                lead = bound.argmax(axis=1)
+                for first in (True, False):  # the chunk that promises most sets a query's bar for the others
+                    for c, part in enumerate(chunks):
+                        turn = (lead == c) == first
+                        places = np.flatnonzero(turn & ~(bound[:, c] < best.key[tile, -1]))
+                        if counted is not None:
+                            counted[0].add(int(turn.sum()))
+                            counted[1].add(int(turn.sum()) - len(places))
+                        if len(places):
+                            block = (qmat[tile] if len(places) == len(bound) else qmat[q + places]) @ amat[part].T
+                            if np.isnan(block).any():
+                                raise ValueError("NaN score: embeddings must not hold infinite values")
+                            best.add(q + places, block, ids[part])
         if best is None:
             return
         for q in range(0, nq, max(1, 200_000 // best.k)):
@@ -166,7 +187,7 @@ def _to_matrix(block: DataFrame, id_col: str, emb_col: str, dim: int):
 
 def block_top_k(articles: DataFrame, queries: DataFrame, k: int = 10, *, article_id: str = "article_id",
                 query_id: str = "query_id", emb_col: str = "embedding", block_bytes: int | None = None,
-                max_tasks: int | None = None) -> DataFrame:
+                max_tasks: int | None = None, counted=None) -> DataFrame:
     """R1+R2+R3: exact top-k articles per query by dot product.
 
     Returns (query_id, rank, article_id, score); k > number of articles returns all of them.
@@ -174,7 +195,8 @@ def block_top_k(articles: DataFrame, queries: DataFrame, k: int = 10, *, article
     Every GEMM task emits |query block| x k candidates however much of the corpus it read, so the
     shuffle before the final top-k scales with the number of tasks. ``max_tasks`` (or the session
     setting ``quarry.rank.maxTasks``) merges input splits without a shuffle (``coalesce``) so that one
-    task keeps one running top-k across many splits; leave it unset while splits are already large.
+    task keeps one running top-k across many splits; leave it unset while splits are already large. ``counted``, two
+    accumulators, learns how many (query, chunk) pairs there were and how many were skipped.
     """
     spark = articles.sparkSession
     if block_bytes is None:
@@ -191,7 +213,7 @@ def block_top_k(articles: DataFrame, queries: DataFrame, k: int = 10, *, article
     partials = []
     for block in blocks:
         bc = spark.sparkContext.broadcast(_to_matrix(block, "query_id", "embedding", dim))
-        part = arts.mapInArrow(_block_topk(bc, k, "article_id", "embedding"), _PARTIAL_SCHEMA)
+        part = arts.mapInArrow(_block_topk(bc, k, "article_id", "embedding", counted), _PARTIAL_SCHEMA)
         if len(blocks) > 1:  # written down, so that one block's broadcast at a time is alive
             path = scratch_path(spark, "top-k-block")
             part.write.parquet(path)
@@ -209,6 +231,38 @@ def block_top_k(articles: DataFrame, queries: DataFrame, k: int = 10, *, article
     return out.withColumnRenamed("query_id", query_id) if query_id != "query_id" else out
 
 
+#: Sampled vectors that name the groups of ``cluster_articles``, at most.
+PIVOTS = 1024
+
+
+def cluster_articles(articles: DataFrame, pivots: int = 64, id_col: str = "article_id", emb_col: str = "embedding") -> DataFrame:
+    """The articles in an order in which like vectors stand side by side: by the nearest of ``pivots`` sampled vectors (those
+    first by a hash of their ids), which is a range partitioning. Written so, chunks of the ranker have small balls."""
+    pivots = min(pivots, PIVOTS)
+    sample = articles.select(F.col(emb_col).cast("array<double>").alias("v"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(pivots)
+    centres = np.array([r["v"] for r in sample.collect()], dtype=np.float64)  # bounded: PIVOTS vectors
+    if not len(centres):
+        return articles
+    # like pivots get neighbouring numbers: each is followed by the nearest of those left
+    square = (centres ** 2).sum(axis=1)
+    apart = square[:, None] + square[None, :] - 2.0 * (centres @ centres.T)
+    chain, left = [0], set(range(1, len(centres)))
+    while left:
+        chain.append(min(left, key=lambda j: apart[chain[-1], j]))
+        left.remove(chain[-1])
+    centres = centres[chain]
+    half = square[chain] / 2
+
+    def nearest(vectors: pa.Array) -> pa.Array:
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+        return pa.array((matrix @ centres.T - half).argmax(axis=1).astype(np.int32)) if len(vectors) else pa.array([], pa.int32())
+
+    group = F.arrow_udf(nearest, "int")(F.col(emb_col))
+    order = ["_group", "_spread"]  # a large group is spread over several partitions
+    grouped = articles.withColumn("_group", group).withColumn("_spread", F.xxhash64(id_col))
+    return grouped.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+
+
 def top_k_pairs(scored: DataFrame, k: int = 10) -> DataFrame:
     """R2 over an explicit table of scored pairs (query_id, article_id, score).
 
