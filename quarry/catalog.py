@@ -1072,7 +1072,7 @@ def e5_rewrite_distinct(spark, sf_dir):
 
 
 # k beyond the number of articles, over a small corpus: the names of all nations, for all passages
-@register("r2_top_k_beyond_corpus", f"""WITH {sql_hash('n_qv', 'benchmark', 'item_id', 'text')}, {sql_hash('n_av', 'nation', 'n_nationkey', 'n_name')},
+@register("r2_top_k_beyond_corpus", f"""WITH {sql_hash('n_qv', 'benchmark', 'item_id', 'text')}, {sql_hash('n_av', 'nation', 'n_nationkey::BIGINT', 'n_name')},
 {sql_topk('n_top', 'n_qv', 'n_av', 100)}
 SELECT query_id, rank::BIGINT AS rank, article_id, round(score, 6) AS score FROM n_top""")
 def r2_top_k_beyond_corpus(spark, sf_dir):
