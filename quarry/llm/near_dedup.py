@@ -214,7 +214,8 @@ def _blocks(large: DataFrame) -> DataFrame:
 
 def _close_members(rows: DataFrame, similarity: float) -> DataFrame:
     """Members of sorted leaves (node, cls, n, comp, sketch) that have, in another component, a partner whose size
-    and tokens allow the wanted similarity."""
+    and tokens allow the wanted similarity, in the groups that such partners connect. A group is named by its members, so
+    one that is met in several trees is compared in full once."""
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for leaf in groups(batches, "node"):
             comp = leaf.column("comp").to_numpy()
@@ -222,7 +223,7 @@ def _close_members(rows: DataFrame, similarity: float) -> DataFrame:
                 continue
             n, cls = leaf.column("n").to_numpy(), leaf.column("cls").to_numpy()
             tokens = _token_matrix(leaf.column("sketch").combine_chunks(), "u1")
-            hit = np.zeros(len(cls), dtype=bool)
+            hit, group = np.zeros(len(cls), dtype=bool), np.arange(len(cls))
             for i in range(len(cls) - 1):
                 rest = slice(i + 1, None)
                 near = ((np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-9)
@@ -232,10 +233,15 @@ def _close_members(rows: DataFrame, similarity: float) -> DataFrame:
                     at = at[(tokens[at] == tokens[i]).mean(axis=1) >= similarity - SLACK]
                     if len(at):
                         hit[at] = hit[i] = True
+                        joined = np.append(group[at], group[i])
+                        if (joined != joined[0]).any():
+                            group[np.isin(group, joined)] = joined.min()
             if hit.any():
-                node = leaf.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(cls[hit]), pa.array(comp[hit])],
-                                                 names=["node", "cls", "comp"])
+                node, at = np.zeros(len(cls), dtype=np.int64), np.flatnonzero(hit)
+                for g in np.unique(group[at]).tolist():
+                    members = at[group[at] == g]
+                    node[members] = xxhash.xxh3_64_intdigest(np.sort(cls[members]).tobytes()) - 2 ** 63
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(cls[at]), pa.array(comp[at])], names=["node", "cls", "comp"])
 
     return (rows.select("node", "cls", "n", "comp", "sketch").repartition("node").sortWithinPartitions("node")
             .mapInArrow(close, "node long, cls long, comp long"))
@@ -382,7 +388,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if comp is not None:
             members = members.join(comp.select(F.col("v").alias("cls"), "label"), "cls", "left")
         label = F.coalesce("label", "cls") if comp is not None else F.col("cls")
-        close = materialize(_close_members(members.withColumn("comp", label), similarity), "op3-close")
+        close = materialize(_close_members(members.withColumn("comp", label), similarity).distinct(), "op3-close")
         sets = materialize(_sets_of(close, docs, classes, k), "op3-full")
         links = materialize(_confirmed_links(close.join(sets, "cls"), percent).distinct(), "op3-links")
         edges = links if edges is None else edges.union(links)
