@@ -8,10 +8,10 @@ from contextlib import redirect_stdout
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from quarry import catalog  # noqa: E402
+from quarry import catalog, catalog_retrieval  # noqa: E402, F401 (registers its queries)
 from quarry.session import get_session  # noqa: E402
 
-SHOW = ["r2_top_k", "v1_ap_labels", "v4_article_stats", "v7_worst_by_fp", "a2_gt_length_stats", "h14_clean_html"]
+SHOW = ["r2_top_k", "v1_ap_labels", "v4_article_stats", "v7_worst_by_fp", "a2_gt_length_stats", "h14_clean_html", "r4_bm25", "r4_expanded"]
 
 
 def tree(df) -> str:
