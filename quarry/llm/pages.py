@@ -83,6 +83,7 @@ class _Open:
         self.stack: list[tuple[str, str, bool]] = []
         self.left_out = self.ended = self.comments = self.article = self.main = 0
         self.names: dict[str, int] = {}
+        self.marks: list[int] = []  # places of the elements that are left out
 
     def _count(self, entry: tuple[str, str, bool], by: int) -> None:
         name, why, closed = entry
@@ -94,6 +95,8 @@ class _Open:
         self.main += by if name == "main" else 0
 
     def push(self, name: str, why: str, closed: bool) -> None:
+        if why:
+            self.marks.append(len(self.stack))
         self.stack.append((name, why, closed))
         self._count(self.stack[-1], 1)
 
@@ -101,6 +104,8 @@ class _Open:
         for entry in self.stack[at:]:
             self._count(entry, -1)
         del self.stack[at:]
+        while self.marks and self.marks[-1] >= at:
+            self.marks.pop()
 
     def close(self, names: set[str], bounds: set[str]) -> None:
         """End the nearest open element of these names, and what is open inside it, unless a bound comes first."""
@@ -117,7 +122,7 @@ class _Open:
     def resume(self) -> None:
         """An article is never part of a menu that is left open: end the outermost such element."""
         if self.left_out and not self.ended:
-            self.cut(next(i for i, (_, why, _) in enumerate(self.stack) if why))
+            self.cut(self.marks[0])
 
 
 def _closed(tokens: list[tuple[str, str, str]]) -> set[int]:
