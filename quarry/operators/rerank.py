@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.terms import words_of
 from quarry.operators.rank import Ranker, top_k_pairs
-from quarry.session import materialize
+from quarry.session import bounded_batches, materialize
 
 #: Characters of a batch, padding included, and pairs of a batch at most.
 BATCH_CHARS, BATCH_PAIRS = 1 << 18, 256
@@ -64,6 +64,7 @@ def score_text_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer], chars:
             yield pa.RecordBatch.from_arrays([batch.column("query_hash"), batch.column("article_hash"), pa.array(scores)],
                                              names=["query_hash", "article_hash", "score"])
 
+    bounded_batches(pairs.sparkSession)
     sized = pairs.withColumn("length", (F.length("query") + F.length("article")).cast("long"))
     placed = sized.repartition("query_hash", "article_hash").sortWithinPartitions("length")
     return placed.mapInArrow(score, "query_hash string, article_hash string, score double")

@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions.terms import sparse_weights, term_counts
 from quarry.operators.rank import TIE_DECIMALS, Ranker, top_k_pairs
-from quarry.session import materialize
+from quarry.session import bounded_batches, materialize
 
 #: Articles and queries in a block; lists of a term from which it is salted.
 ARTICLE_BLOCK, QUERY_BLOCK, SPLIT = 4096, 1024, 64
+#: Queries of a cell whose best are picked at a time.
+QUERY_TILE = 64
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -72,16 +74,18 @@ class _Cell:
             self.score = wider
         self.score[np.ix_(q, a)] += query_weights[:, None] * article_weights[None, :]
 
-    def best(self, k: int) -> pa.RecordBatch:
+    def best(self, k: int) -> Iterator[pa.RecordBatch]:
         queries, articles = self.queries.all(), self.articles.all()
-        score = self.score[:len(queries), :len(articles)]
-        key = np.round(score, TIE_DECIMALS)
-        bar = np.full(len(queries), 0.0)
-        if len(articles) > k:  # ties with the k-th best stay: the window over all cells decides between them
-            bar = np.maximum(-np.partition(-key, k - 1, axis=1)[:, k - 1], 0.0)
-        r, c = np.nonzero((score > 0) & (key >= bar[:, None]))
-        return pa.RecordBatch.from_arrays([pa.array(queries[r]), pa.array(articles[c]), pa.array(score[r, c])],
-                                          names=["query_id", "article_id", "score"])
+        for q in range(0, len(queries), QUERY_TILE):  # copies of a part of the scores at a time
+            some = queries[q:q + QUERY_TILE]
+            score = self.score[q:q + len(some), :len(articles)]
+            key = np.round(score, TIE_DECIMALS)
+            bar = np.full(len(some), 0.0)
+            if len(articles) > k:  # ties with the k-th best stay: the window over all cells decides between them
+                bar = np.maximum(-np.partition(-key, k - 1, axis=1)[:, k - 1], 0.0)
+            r, c = np.nonzero((score > 0) & (key >= bar[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(some[r]), pa.array(articles[c]), pa.array(score[r, c])],
+                                             names=["query_id", "article_id", "score"])
 
 
 def _add_up(k: int):
@@ -99,13 +103,13 @@ def _add_up(k: int):
             for row, key in enumerate(keys):
                 if key != last:
                     if cell is not None:
-                        yield cell.best(k)
+                        yield from cell.best(k)
                     cell, last = _Cell(), key
                 (ai, aw, ae), (qi, qw, qe) = lists["docs"], lists["asked"]
                 a, q = slice(ae[row], ae[row + 1]), slice(qe[row], qe[row + 1])
                 cell.add(qi[q], qw[q], ai[a], aw[a])
         if cell is not None:
-            yield cell.best(k)
+            yield from cell.best(k)
     return run
 
 
@@ -122,6 +126,7 @@ def sparse_top_k(article_terms: DataFrame, query_terms: DataFrame, k: int = 10)
     term of an id, with positive weights. Order: score rounded to ``TIE_DECIMALS`` descending, then article_id.
     Articles without a common term are not ranked; a query without any gets no row.
     """
+    bounded_batches(article_terms.sparkSession)
     asked = query_terms.select("query_id", "term", "weight")
     postings = article_terms.join(asked.select("term").distinct(), "term", "left_semi")
     lists = (postings.groupBy("term", _blocks(article_terms, "article_id", ARTICLE_BLOCK).alias("block"))
@@ -146,6 +151,7 @@ def bm25_terms(articles: DataFrame, queries: DataFrame, text_col: str = "body",
                k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
     """(article_id, term, weight) and (query_id, term, weight) whose products add up to the BM25 score: the saturated,
     length-normed frequency, and the query's frequency times ln(1 + (N - df + 0.5) / (df + 0.5)). N counts all articles."""
+    bounded_batches(articles.sparkSession)
     terms = materialize(term_counts(articles, "article_id", text_col), "bm25-terms")
     n = articles.count()
     total = terms.agg(F.sum("tf")).first()[0] or 0
@@ -171,6 +177,7 @@ def bm25_ranker(text_col: str = "body", query_col: str = "query_text", k1: float
 def idf_weights(df: DataFrame, text_col: str, dim: int) -> np.ndarray:
     """First pass: ln((1 + N) / (1 + df)) + 1 for each of ``dim`` buckets, df the texts with a word in it, N all of them.
     ``dim`` numbers reach the driver, whatever the table."""
+    bounded_batches(df.sparkSession)
     vectors = df.select(sparse_weights(text_col, dim).alias("v"))
     counts = vectors.select(F.explode("v.indices").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     found = np.zeros(dim)
@@ -181,6 +188,7 @@ def idf_weights(df: DataFrame, text_col: str, dim: int) -> np.ndarray:
 def idf_encode(df: DataFrame, text_col: str, weights: np.ndarray, out: str = "embedding") -> DataFrame:
     """Second pass: add ``out``, the hashed bag of words weighted by ``weights`` and L2-normalised, as a sparse vector
     (indices ascending, values). A text without words is the empty vector."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(out, sparse_weights(text_col, len(weights), weights))
 
 
