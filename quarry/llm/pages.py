@@ -59,12 +59,15 @@ REACHING = {"html", "body", "main", "article", "section", "nav", "aside", "heade
 
 def _mark(tag: str, token: str, inside: bool) -> str:
     """'' for text, 'chrome' or 'comments' by the element's attributes. Inside an article or main part only whole classes
-    count: there an id is made from a heading, and 'no-sidebar' says nothing of the kind."""
+    count: there an id is made from a heading, and 'no-sidebar' says nothing of the kind. But an element that is no heading and
+    whose whole id says comments holds them."""
     found = attributes(token)
     if not found:
         return ""
     classes = html.unescape(found.get("class", "")).lower()
     words = set(classes.split() if inside else re.split(r"[^a-z]+", f"{classes} {html.unescape(found.get('id', '')).lower()}"))
+    if inside and not re.fullmatch("h[1-6]", tag):
+        words |= {html.unescape(found.get("id", "")).strip().lower()} & COMMENTS
     if words & COMMENTS and tag not in ("html", "body", "main"):
         return "comments"
     if tag in _WHOLE:
