@@ -174,7 +174,9 @@ def _next_level(rows: DataFrame, classes: DataFrame, similarity: float) -> DataF
             for at, child in _children(node.view(np.uint64), tokens, similarity):
                 yield _node_batch(child, cls[at], n[at])
 
-    return (rows.join(classes.select("cls", "tokens"), "cls").select("node", "cls", "n", "tokens")
+    # large nodes hold a part of the classes: the tokens of the others stay where they are
+    inside = _possible(classes.select("cls", "tokens"), rows.select("cls").distinct(), "cls")
+    return (rows.join(inside, "cls").select("node", "cls", "n", "tokens")
             .mapInArrow(split, "node long, cls long, n long"))
 
 
@@ -302,8 +304,9 @@ def _confirmed_links(rows: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(confirm, "a long, b long"))
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles): full sets of the wanted classes, from the text of each class's first document."""
+def _with_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, cls, shingles): ``wanted`` (node, cls) with the full sets, from the text of each class's first document. The sets
+    are dealt by their keys, and ``wanted`` is sent to them: they move once more only, to their nodes."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
@@ -312,25 +315,25 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) ->
                 [pa.array([_key(v) for v in values], pa.binary()), pa.array([v.astype("<u8").tobytes() for v in values], pa.binary())],
                 names=["set_key", "shingles"])
 
-    own = materialize(classes.join(wanted.select("cls").distinct(), "cls").select("cls", "set_key", "doc_id"), "op3-wanted")
-    # a text of any document with the set will do; the join on the set, which is as large as the text, is the only shuffle
-    found = _possible(docs, own).select("text").mapInArrow(sets, "set_key binary, shingles binary")
-    return (found.join(own.select("cls", "set_key"), "set_key").groupBy("set_key").agg(F.first("cls").alias("cls"), F.first("shingles").alias("shingles"))
-            .select("cls", "shingles"))
+    own = materialize(wanted.select("node", "cls").join(classes.select("cls", "set_key", "doc_id"), "cls"), "op3-wanted")
+    # a text of any document with the set will do; the join on the set, which is as large as the text, is the first shuffle
+    found = _possible(docs, own.select("cls", "doc_id").distinct(), "doc_id").select("text").mapInArrow(sets, "set_key binary, shingles binary")
+    found = found.join(own.select("set_key").distinct(), "set_key").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+    return found.join(own, "set_key").select("node", "cls", "shingles")
 
 
-def _possible(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """``docs`` less rows whose id is not among those of ``own``, by a bit per hashed id, so that texts need no shuffle to
-    meet ``own``: bitmaps of 4 KB, 16 bits per wanted id and 64 MB in all at most, so their broadcast is bounded. Rows that
+def _possible(rows: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """``rows`` less those whose ``key`` is not among those of ``own``, by a bit per hashed key, so that texts need no shuffle
+    to meet ``own``: bitmaps of 4 KB, 16 bits per wanted key and 64 MB in all at most, so their broadcast is bounded. Rows that
     pass by chance cost time only: what they are joined with afterwards is exact."""
     maps = min(max(own.count() * 16 // 32768, 64), 16384)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(maps * 32768))
+    place = F.pmod(F.xxhash64(key), F.lit(maps * 32768))
     bits = own.select((F.floor(place / 32768)).cast("int").alias("_bucket"), F.pmod(place, F.lit(32768)).alias("_bit"))
     bitmaps = F.broadcast(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap")))
-    marked = docs.withColumn("_at", F.pmod(place, F.lit(32768)).cast("int")).withColumn("_in", F.floor(place / 32768).cast("int"))
+    marked = rows.withColumn("_at", F.pmod(place, F.lit(32768)).cast("int")).withColumn("_in", F.floor(place / 32768).cast("int"))
     byte = F.conv(F.hex(F.expr("substring(_bitmap, _at div 8 + 1, 1)")), 16, 10).cast("int")
     set_ = F.getbit(byte, F.pmod("_at", F.lit(8))) == 1
-    return marked.join(bitmaps, F.col("_in") == F.col("_bucket")).filter(set_).select(*docs.columns)
+    return marked.join(bitmaps, F.col("_in") == F.col("_bucket")).filter(set_).select(*rows.columns)
 
 
 def _key(values: np.ndarray) -> bytes:
@@ -389,8 +392,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             members = members.join(comp.select(F.col("v").alias("cls"), "label"), "cls", "left")
         label = F.coalesce("label", "cls") if comp is not None else F.col("cls")
         close = materialize(_close_members(members.withColumn("comp", label), similarity).distinct(), "op3-close")
-        sets = materialize(_sets_of(close, docs, classes, k), "op3-full")
-        links = materialize(_confirmed_links(close.join(sets, "cls"), percent).distinct(), "op3-links")
+        links = materialize(_confirmed_links(_with_sets(close, docs, classes, k), percent).distinct(), "op3-links")
         edges = links if edges is None else edges.union(links)
         comp = components(edges, "op3-comp")
         if deeper is not None:

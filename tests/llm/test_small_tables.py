@@ -322,6 +322,24 @@ def test_mix_repeats_rows(odd_docs, no_docs):
     assert rows_of(mixing.mix_rows(no_docs)) == [] and mixing.mix(no_docs).count() == 0
 
 
+def test_full_sets_move_once_and_tokens_of_large_nodes_only(spark, monkeypatch):
+    written, write = {}, near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: (written.update({name: df.columns}), write(df, name))[1])
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p {i // 2} {'z' * (i % 2)}") for i in range(40)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, k=1, percent=80).collect()}
+    assert set(got) == set(range(40)) and all(got[i] == got[i - i % 2] for i in got)
+    assert not [name for name, columns in written.items() if "shingles" in columns]
+
+    classes = spark.createDataFrame([(c, 3, near_dedup.min_tokens(np.arange(c, c + 3, dtype=np.uint64) << np.uint64(40)).tobytes())
+                                     for c in range(2000)], "cls long, n long, tokens binary")
+    rows = spark.createDataFrame([(7, c, 3) for c in range(0, 2000, 100)], "node long, cls long, n long")
+    inside = {r["cls"] for r in near_dedup._possible(classes, rows, "cls").collect()}
+    assert set(range(0, 2000, 100)) <= inside and len(inside) < 200
+    level = near_dedup._next_level(rows, classes, 0.85)
+    assert {r["cls"] for r in level.collect()} == set(range(0, 2000, 100))
+    assert "bitmap_construct_agg" in level._jdf.queryExecution().toString()
+
+
 # ---------------------------------------------------------------- search
 
 def test_search_by_brute_force(spark, odd_docs, no_docs, monkeypatch):
