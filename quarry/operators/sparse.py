@@ -10,7 +10,10 @@ sparse matrix product without a row per (query, article) pair:
 * the lists of one cell (article block x query block) are added up in a task as small dense matrices, and the cell
   gives its ``k`` best per query. A final window keeps the best of all cells.
 
-Nothing is broadcast and nothing passes through the driver but counts; cells are bounded whatever the table.
+Nothing is broadcast there and nothing passes through the driver but counts; cells are bounded whatever the table.
+
+Few queries (within ``FEW_ENTRIES`` and ``FEW_PLACES``) are broadcast as lists per term instead, and the articles stay where they are: a task
+adds up the scores of some articles at a time for all queries and keeps each query's ``k`` best, so nothing is shuffled but those.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.terms import sparse_weights, term_counts
+from quarry.functions.terms import bucket_texts, known_counts, sparse_weights, term_counts
 from quarry.operators.rank import TIE_DECIMALS, Ranker, top_k_pairs
 from quarry.session import bounded_batches, materialize
 
@@ -31,6 +35,9 @@ from quarry.session import bounded_batches, materialize
 ARTICLE_BLOCK, QUERY_BLOCK, SPLIT = 4096, 1024, 64
 #: Queries of a cell whose best are picked at a time.
 QUERY_TILE = 64
+#: Entries of the queries' terms, and places for their best, up to which queries are broadcast. Products that a task adds up,
+#: cells of their sums, and candidates that it holds at a time.
+FEW_ENTRIES, FEW_PLACES, PRODUCTS, CELLS, CANDIDATES = 1_000_000, 1_000_000, 250_000, 1_000_000, 200_000
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -145,6 +152,98 @@ def sparse_top_k(article_terms: DataFrame, query_terms: DataFrame, k: int = 10)
     return top_k_pairs(found, k)
 
 
+# ---------------------------------------------------------------- few queries
+
+class _Queries:
+    """Queries as lists per term: ``ids``; ``terms`` (ascending); of the term at place p, the queries (places in ``ids``) and
+    weights from ``start[p]`` to ``start[p + 1]``. A term that a query has twice counts once."""
+
+    def __init__(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.ids, q = np.unique(query, return_inverse=True)
+        self.terms, p = np.unique(term, return_inverse=True)
+        cell, first = np.unique(p.astype(np.int64) * max(len(self.ids), 1) + q, return_index=True)
+        self.query, self.weight = q[first].astype(np.int64), weight[first].astype(np.float64)
+        self.start = np.searchsorted(cell, np.arange(len(self.terms) + 1, dtype=np.int64) * max(len(self.ids), 1))
+
+
+class _BestOf:
+    """The k best articles of each query so far, each article once: highest score, rounded, then smallest id."""
+
+    def __init__(self, nq: int, k: int):
+        self.k, self.bar, self.held, self.more, self.size = k, np.full(nq, -np.inf), [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)], [], 0
+
+    def add(self, query: np.ndarray, score: np.ndarray, article: np.ndarray) -> None:
+        near = score >= self.bar[query] - 10.0 ** -TIE_DECIMALS
+        if near.any():
+            self.more.append([query[near], score[near], article[near]])
+            self.size += int(near.sum())
+            if self.size > CANDIDATES or np.isneginf(self.bar).any():
+                self.settle()
+
+    def settle(self) -> None:
+        query, score, article = (np.concatenate(x) for x in zip(self.held, *self.more))
+        key = np.round(score, TIE_DECIMALS)
+        order = np.lexsort((-key, article, query))
+        once = np.ones(len(order), dtype=bool)
+        once[1:] = (query[order][1:] != query[order][:-1]) | (article[order][1:] != article[order][:-1])
+        order = order[once]
+        order = order[np.lexsort((article[order], -key[order], query[order]))]
+        at = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        last = order[at == self.k - 1]
+        order = order[at < self.k]
+        self.bar[query[last]] = key[last]
+        self.held, self.more, self.size = [query[order], score[order], article[order]], [], 0
+
+
+def _add_up_here(queries, k: int, weights):
+    """Batches with id, places and what ``weights`` makes article weights of (batch -> an array) -> each query's best."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = queries.value
+        nq = len(asked.ids)
+        best = _BestOf(nq, k)
+        for batch in batches:
+            column = batch.column("places")
+            place = column.flatten().to_numpy(zero_copy_only=False)
+            size = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            weight, ids = weights(batch, size), batch.column("id").to_numpy(zero_copy_only=False)
+            lists = asked.start[place + 1] - asked.start[place]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            total = np.concatenate([[0], np.cumsum(lists)])[ends]
+            lo = 0
+            while lo < len(ids):  # as many articles at a time as PRODUCTS and CELLS have room for, one at least
+                hi = int(np.searchsorted(total, total[lo] + PRODUCTS, side="right")) - 1
+                hi = max(lo + 1, min(hi, len(ids), lo + CELLS // max(nq, 1)))
+                at = slice(ends[lo], ends[hi])
+                n, first = lists[at], asked.start[place[at]]
+                entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                article = np.repeat(np.repeat(np.arange(hi - lo), size[lo:hi]), n)
+                score = np.bincount(article * nq + asked.query[entry], weights=np.repeat(weight[at], n) * asked.weight[entry],
+                                    minlength=(hi - lo) * nq)
+                found = np.flatnonzero(score > 0)
+                best.add(found % nq, score[found], ids[lo + found // nq])
+                lo = hi
+        best.settle()
+        query, score, article = best.held
+        for a in range(0, len(query), 100_000):
+            some = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[query[some]]), pa.array(article[some]), pa.array(score[some])],
+                                             names=["query_id", "article_id", "score"])
+    return run
+
+
+def _few(asked: DataFrame, k: int) -> bool:
+    """Whether the queries (query_id, ..), a row per term, are few enough to be broadcast."""
+    n, queries = asked.agg(F.count(F.lit(1)), F.approx_count_distinct("query_id")).first()
+    return n <= FEW_ENTRIES and queries * k <= FEW_PLACES
+
+
+def _best_of_tasks(found: DataFrame, k: int) -> DataFrame:
+    return top_k_pairs(found.groupBy("query_id", "article_id").agg(F.max("score").alias("score")), k)
+
+
+_FOUND = "query_id bigint, article_id bigint, score double"
+
+
 # ---------------------------------------------------------------- BM25
 
 def bm25_terms(articles: DataFrame, queries: DataFrame, text_col: str = "body", query_col: str = "query_text",
@@ -168,18 +267,54 @@ def bm25_ranker(text_col: str = "body", query_col: str = "query_text", k1: float
     """An R4 ranker over tables of texts: articles (article_id, ``text_col``), queries (query_id, ``query_col``).
     Ids are unique. Texts that are null or without words match nothing."""
     def rank(articles: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-        return sparse_top_k(*bm25_terms(articles, queries, text_col, query_col, k1, b), k)
+        bounded_batches(articles.sparkSession)
+        asked = materialize(term_counts(queries, "query_id", query_col).withColumnRenamed("id", "query_id"), "bm25-few")
+        if not _few(asked, k):
+            return sparse_top_k(*bm25_terms(articles, queries, text_col, query_col, k1, b), k)
+        return _bm25_of_few(articles, asked, k, text_col, k1, b)
     return rank
 
 
+def _bm25_of_few(articles: DataFrame, asked: DataFrame, k: int, text_col: str, k1: float, b: float) -> DataFrame:
+    """BM25 for queries (query_id, term, tf) that are broadcast: the texts are read once, for the words that are asked for."""
+    spark = articles.sparkSession
+    rows = asked.where(F.col("query_id").isNotNull()).select("query_id", "term", "tf").toArrow()
+    terms, place = np.unique(np.array(rows.column("term").to_pylist(), dtype=object), return_inverse=True)
+    known = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    counts = materialize(known_counts(articles, "article_id", text_col, known), "bm25-counts")
+    n, total = counts.agg(F.count(F.lit(1)), F.sum("length")).first()
+    mean = max((total or 0) / n, 1e-9) if n else 1.0
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(known.value), dtype=np.int64)
+        for batch in batches:
+            df += np.bincount(batch.column("places").flatten(), minlength=len(df))
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], names=["place", "df"])
+
+    df = np.zeros(len(terms))
+    for row in counts.select("places").mapInArrow(frequencies, "place bigint, df bigint").groupBy("place").agg(F.sum("df")).collect():
+        df[row[0]] = row[1]  # at most as many as the queries have terms
+    idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+    tf = rows.column("tf").to_numpy().astype(np.float64)
+    queries = spark.sparkContext.broadcast(_Queries(rows.column("query_id").to_numpy().astype(np.int64), place, tf * idf[place]))
+
+    def weights(batch: pa.RecordBatch, size: np.ndarray) -> np.ndarray:
+        tf = batch.column("tf").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        norm = k1 * ((1.0 - b) + b * batch.column("length").to_numpy(zero_copy_only=False) / mean)
+        return tf * (k1 + 1.0) / (tf + np.repeat(norm, size))
+
+    held = counts.where(F.col("id").isNotNull())
+    return _best_of_tasks(held.mapInArrow(_add_up_here(queries, k, weights), _FOUND), k)
+
+
 # ---------------------------------------------------------------- IDF-weighted hashed vectors
 
 def idf_weights(df: DataFrame, text_col: str, dim: int) -> np.ndarray:
     """First pass: ln((1 + N) / (1 + df)) + 1 for each of ``dim`` buckets, df the texts with a word in it, N all of them.
     ``dim`` numbers reach the driver, whatever the table."""
     bounded_batches(df.sparkSession)
-    vectors = df.select(sparse_weights(text_col, dim).alias("v"))
-    counts = vectors.select(F.explode("v.indices").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = bucket_texts(df, text_col, dim).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(dim)
     found[[r["bucket"] for r in counts]] = [r["n"] for r in counts]
     return np.log((1.0 + df.count()) / (1.0 + found)) + 1.0
@@ -213,4 +348,34 @@ def _entries(df: DataFrame, id_col: str, emb_col: str) -> DataFrame:
 
 def sparse_ranker(articles: DataFrame, queries: DataFrame, k: int = 10, emb_col: str = "embedding") -> DataFrame:
     """An R4 ranker over sparse vectors: exact top k by dot product among articles with a common bucket."""
-    return sparse_top_k(_entries(articles, "article_id", emb_col), _entries(queries, "query_id", emb_col), k)
+    asked = materialize(_entries(queries, "query_id", emb_col), "sparse-few")
+    if not _few(asked, k):
+        return sparse_top_k(_entries(articles, "article_id", emb_col), asked, k)
+    bounded_batches(articles.sparkSession)
+    rows = asked.where(F.col("query_id").isNotNull()).toArrow()
+    few = _Queries(rows.column("query_id").to_numpy().astype(np.int64), rows.column("term").to_numpy().astype(np.int64),
+                   rows.column("weight").to_numpy().astype(np.float64))
+    shared = articles.sparkSession.sparkContext.broadcast(few)
+    return _best_of_tasks(articles.select(F.col("article_id").cast("bigint").alias("id"), F.col(emb_col).alias("v"))
+                          .where(F.col("id").isNotNull()).mapInArrow(_vectors_here(shared, k), _FOUND), k)
+
+
+def _vectors_here(queries, k: int):
+    """As ``_add_up_here``, for sparse vectors (id, v): indices that no query has are left out."""
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = queries.value.terms
+        for batch in batches:
+            vectors = batch.column("v")
+            lists, values = pc.struct_field(vectors, "indices"), pc.struct_field(vectors, "values")
+            size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            index, value = lists.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+            place = np.searchsorted(terms, index)
+            there = place < len(terms)
+            there[there] = terms[place[there]] == index[there]
+            ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(size)])]
+            ends = pa.array(ends.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(place[there].astype(np.int32))),
+                                              pa.ListArray.from_arrays(ends, pa.array(value[there]))], names=["id", "places", "weights"])
+
+    add_up = _add_up_here(queries, k, lambda batch, size: batch.column("weights").flatten().to_numpy(zero_copy_only=False))
+    return lambda batches: add_up(known(batches))
